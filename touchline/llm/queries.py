@@ -17,4 +17,4 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL = {"op2_chat_format": chat.OP2_SQL}
+ORACLE_SQL = {"op2_chat_format": chat.OP2_SQL, "op8_decontaminate": decontaminate.op8_sql()}
