@@ -55,3 +55,24 @@ def platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple:
 
 def folds_of(n: int, k: int = 3, seed: int = 1) -> np.ndarray:
     return np.random.default_rng(seed).permutation(n) % k
+
+
+def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple:
+    """(knots, heights) of an increasing probability by pooling adjacent violators; read by linear interpolation.
+
+    Each pool is smoothed by half an example of either class and spans its scores; heights rise a
+    little along a pool, so that order within it is kept.
+    """
+    order = np.argsort(scores, kind="stable")
+    pools: list = []  # positives, examples, least and greatest score
+    for s, y in zip(np.asarray(scores, float)[order], np.asarray(labels, float)[order]):
+        pools.append([y, 1, s, s])
+        while len(pools) > 1 and (pools[-2][0] + 0.5) / (pools[-2][1] + 1) >= (pools[-1][0] + 0.5) / (pools[-1][1] + 1):
+            y2, n2, _, s2 = pools.pop()
+            pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2], s2]
+    heights = [(y + 0.5) / (n + 1) for y, n, _, _ in pools]
+    tops = [*heights[1:], 1.0]
+    knots = [x for _, _, s, e in pools for x in (s, e)]
+    values = [x for h, top in zip(heights, tops) for x in (h, h + 0.05 * (top - h))]
+    reach = max(1.0, knots[-1] - knots[0])
+    return [knots[0] - reach, *knots, knots[-1] + reach], [heights[0] * 0.9, *values, values[-1] + 0.5 * (1 - values[-1])]
