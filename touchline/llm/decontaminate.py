@@ -32,7 +32,7 @@ def template_tokens(text: Column) -> Column:
     """Lower-case words without punctuation; a slot is MARK, its type, VALUE and its value."""
     # A name is a capitalised word inside a sentence. Neighbouring names need a second pass, as a match uses up the letter before it.
     once = F.regexp_replace(text, NAME, f"$1{MARK}name{VALUE}$2")
-    named = F.regexp_replace(once, NAME, f"$1{MARK}name{VALUE}$2")
+    named = F.when(text.rlike(NAME), F.regexp_replace(once, NAME, f"$1{MARK}name{VALUE}$2")).otherwise(text)
     slotted = F.when(named.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, NUMBER, f"{MARK}num{VALUE}$1"), "(?i)" + UNIT, f"$1 {MARK}unit{VALUE}$2")).otherwise(named)
     return F.filter(F.split(F.regexp_replace(F.lower(slotted), OTHER, ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -42,15 +42,13 @@ def template_windows(rows: DataFrame, size: int, keys: list) -> DataFrame:
     tokens = rows.select(*keys, template_tokens(F.coalesce("text", F.lit(""))).alias("_t")).where(F.size("_t") >= size)
     slotted = F.exists("_t", lambda w: w.startswith(MARK))
     shape = F.transform("_t", lambda w: F.when(w.startswith(MARK), F.substring_index(w, VALUE, 1)).otherwise(w))
-    split = tokens.select(*keys, "_t", slotted.alias("_any"), F.when(slotted, shape).otherwise(F.col("_t")).alias("_c"))
+    split = tokens.select(*keys, "_t", slotted.alias("_any"))
+    split = split.select(*keys, "_t", "_any", F.transform(F.when(F.col("_any"), shape).otherwise(F.col("_t")), lambda w: F.xxhash64(w)).alias("_c"))
 
     def window(i):
         parts = [F.get("_c", i + k) for k in range(size)]
-        has = parts[0].startswith(MARK)
-        for p in parts[1:]:
-            has = has | p.startswith(MARK)
         values = F.filter(F.slice("_t", i + 1, size), lambda w: w.startswith(MARK))
-        return F.struct(i.alias("pos"), F.xxhash64(*parts).alias("h"), F.when(F.col("_any"), F.when(has, values)).alias("slots"))
+        return F.struct(i.alias("pos"), F.xxhash64(*parts).alias("h"), F.when(F.col("_any"), F.when(F.size(values) > 0, values)).alias("slots"))
 
     starts = F.sequence(F.lit(0), F.size("_c") - size)
     return split.select(*keys, (F.size("_c") - size + 1).alias("n"), F.explode(F.transform(starts, window)).alias("w")).select(*keys, "n", "w.*")

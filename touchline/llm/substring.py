@@ -51,37 +51,38 @@ class Rolling:
 
     def load(self, words: list) -> None:
         self._grow(len(words) + 1)
-        w = self.words.array(words)
-        self.n = len(w)
-        self.sums = []
-        for salt, up in zip(SALTS, self.up):
-            s = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(mix64(w ^ np.uint64(salt)) * up[: self.n], out=s[1:])
-            self.sums.append(s)
+        self.w = self.words.array(words)
+        self.n = len(self.w)
+        self.sums = [None, None]
+
+    def _sums(self, which: int) -> np.ndarray:
+        if self.sums[which] is None:
+            s = self.sums[which] = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(mix64(self.w ^ np.uint64(SALTS[which])) * self.up[which][: self.n], out=s[1:])
+        return self.sums[which]
 
     def ranges(self, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
-        return mix64((self.sums[which][stop] - self.sums[which][start]) * self.down[which][start])
+        sums = self._sums(which)
+        return mix64((sums[stop] - sums[start]) * self.down[which][start])
 
     def runs(self, window: int, piece: int):
-        """(anchor, position of its piece, first window, windows) of each run of windows with one anchor."""
+        """(anchor, first window, windows) of each run of windows whose least piece is at one place."""
         n = self.n - window + 1
         if n < 1:
             return None
-        at = np.arange(self.n - piece + 1)
-        g = self.ranges(at, at + piece, 0) ^ np.uint64(0x5851F42D4C957F2D)
+        m = self.n - piece + 1
+        sums = self._sums(0)
+        g = mix64((sums[piece:] - sums[:m]) * self.down[0][:m]) ^ np.uint64(0x5851F42D4C957F2D)
         span = window - piece + 1
-        # Leftmost least piece of each window, by doubling the span that a running minimum covers.
-        least, pos, have = g, at, 1
+        # Least piece of each window, by doubling the span that a running minimum covers.
+        least, have = g, 1
         while have < span:
             step = min(have, span - have)
-            a, b = least[: len(least) - step], least[step:]
-            right = b < a
-            pos = np.where(right, pos[step:], pos[: len(pos) - step])
-            least = np.where(right, b, a)
+            least = np.minimum(least[: len(least) - step], least[step:])
             have += step
-        first = np.nonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))[0]
-        count = np.diff(np.concatenate([first, [n]]))
-        return mix64(least[first]), pos[first], first, count
+        # The leftmost least piece changes where it leaves the window or a smaller one enters.
+        first = np.concatenate([[0], 1 + np.nonzero((g[: n - 1] == least[:-1]) | (least[1:] != least[:-1]))[0]])
+        return mix64(least[first]), first, np.diff(np.append(first, n))
 
 
 def cells(anchors: np.ndarray, width: int) -> list:
@@ -137,7 +138,7 @@ def _batch(columns: list, kinds: list, names: list):
 def _documents(batches, window: int, piece: int, rolling: "Rolling"):
     """Per block of texts, the joined words' runs; a run never crosses documents.
 
-    Yields (block's row numbers, rolling, anchor, position, first window, windows, first word of its document).
+    Yields (batch, row, runs).
     """
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -171,7 +172,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
             rows = list(_sparse(cells(np.concatenate(held), width), width))
             return _batch(list(zip(*rows)), kinds, names)
 
-        for _, _, (anchor, _, _, _) in _documents(batches, window, piece, rolling):
+        for _, _, (anchor, _, _) in _documents(batches, window, piece, rolling):
             held.append(anchor)
             size += len(anchor)
             if size > 4_000_000:
@@ -190,9 +191,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
             keep &= bits[c + d * width]
         return keep
 
-    def content(rolling, anchor, pos, first, count, which):
+    def content(rolling, anchor, first, count, which):
         h = rolling.ranges(first, first + count + window - 1, which)
-        return mix64(h + anchor * np.uint64(3) + (pos - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
+        return mix64(h + anchor * np.uint64(3) + count.astype(np.uint64))
 
     def place(doc_id, text_hash, first):
         seed = ((doc_id or 0) * 0x9E3779B97F4A7C15 ^ (text_hash & 0xFFFFFFFFFFFFFFFF)) & 0xFFFFFFFFFFFFFFFF
@@ -222,8 +223,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
         return pa.RecordBatch.from_arrays([ids, pa.array(hashes), *map(pa.array, longs)], names=["doc_id", "text_hash", *(f"c{i}" for i in range(len(longs)))])
 
     def run_rows(batches):
-        def columns(rolling, doc_id, text_hash, anchor, pos, first, count):
-            both = [content(rolling, anchor, pos, first, count, i) for i in (0, 1)]
+        def columns(rolling, doc_id, text_hash, anchor, first, count):
+            both = [content(rolling, anchor, first, count, i) for i in (0, 1)]
             return [anchor, *both, place(doc_id, text_hash, first), first.astype(np.uint64), count.astype(np.uint64)]
 
         return emit(batches, lambda d, h, runs: estimated(runs[0]), columns)
@@ -249,11 +250,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
         def pick(doc_id, text_hash, runs):
             keep = estimated(runs[0])
             bits = Bits(chosen.value)
-            for d, c in enumerate(cells(place(doc_id, text_hash, runs[2]), width)):
+            for d, c in enumerate(cells(place(doc_id, text_hash, runs[1]), width)):
                 keep &= bits[c + d * width]
             return keep
 
-        def columns(rolling, doc_id, text_hash, anchor, pos, first, count):
+        def columns(rolling, doc_id, text_hash, anchor, first, count):
             start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             return [rolling.ranges(start, start + window, 0), rolling.ranges(start, start + window, 1), start.astype(np.uint64)]
 

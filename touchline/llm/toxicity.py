@@ -25,7 +25,7 @@ from .quality import labelled_sample
 SAMPLE_ROWS, LANDMARKS, NEUTRAL = 6_000, 56, 8
 #: Longest unit that is compared whole, decay of the kernel per character spanned, most characters a
 #: subsequence may span, least kernel value kept.
-UNIT_CHARS, DECAY, SPREAD, FLOOR = 20, 0.5, 7, 0.35
+UNIT_CHARS, DECAY, SPREAD, FLOOR = 20, 0.5, 6, 0.5
 #: Stands before a unit, so that its beginning counts.
 BEGIN = "^"
 THRESHOLD = 0.7
