@@ -199,7 +199,7 @@ def choose_landmarks(texts: list, labels: list, n: int = LANDMARKS, neutral: int
         left -= holders[best]
         ranked = [u for u in ranked if not (u.startswith(best) or best.startswith(u))]
     for u in ranked:  # then what is as telling, though texts are covered
-        if len(chosen) < n - neutral and gain(u, up[u]) >= 20 and not any(u.startswith(c) or c.startswith(u) for c in chosen):
+        if len(chosen) < n - neutral and gain(u, up[u]) >= max(20, 2.3 * up[u]) and not any(u.startswith(c) or c.startswith(u) for c in chosen):
             chosen.append(u)
     frequent = Counter()
     for units in clean:
