@@ -1,4 +1,116 @@
 """Queries of the match-analytics operators and their SQL counterparts, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from .operators import events as E
+from .operators import stats as S
+from .plans.presets import TEMPLATE as P
+from .sources.fixtures import duckdb_views, match_tables
+
+
+def _near(t):
+    return E.nearest_player(E.ball_states(t["ball"]), t["players"], t["teams"])
+
+
+def _spans(t):
+    return E.possession_spans(_near(t))
+
+
+def _passes(t):
+    return E.bridge_passes(_spans(t), E.ball_states(t["ball"]))
+
+
+def _events(t):
+    return E.match_events(t["ball"], t["players"], t["teams"])
+
+
+_PLANS = {
+    "ball_states": lambda t: E.ball_states(t["ball"]),
+    "nearest_player": lambda t: _near(t).select("run_id", "frame", "player_id", "team", "distance"),
+    "possession_spans": _spans,
+    "bridge_passes": _passes,
+    "interceptions": lambda t: E.interceptions(_passes(t)),
+    "goal_line_crossings": lambda t: E.goal_line_crossings(E.ball_states(t["ball"])),
+    "match_events": _events,
+    "player_kinematics": lambda t: S.player_kinematics(t["players"]),
+    "team_stats": lambda t: S.team_stats(_spans(t), _passes(t)),
+    "heatmap": lambda t: S.heatmap(t["players"]),
+    "pass_network": lambda t: S.pass_network(_passes(t)),
+    "pass_nodes": lambda t: S.pass_nodes(_passes(t)),
+    "presence_runs": lambda t: S.presence_runs(t["players"]),
+    "off_field": lambda t: S.off_field(t["players"], margin=-6.0, share=0.1),
+    "track_summary": lambda t: S.track_summary(t["players"]),
+    "identity_switches": lambda t: S.identity_switches(t["players"], stride=8, jump=2.0),
+    "event_counts": lambda t: S.event_counts(_events(t)),
+    "list_events": lambda t: S.list_events(_events(t), types=("pass", "shot"), team="team_A", seconds=(10.0, 500.0)),
+}
+
+
+def _query(plan):
+    return lambda spark, sf_dir: plan(match_tables(spark, sf_dir))
+
+
+QUERIES: dict = {name: _query(plan) for name, plan in _PLANS.items()}
+
+_D = "sqrt((p.x - s.x)*(p.x - s.x) + (p.y - s.y)*(p.y - s.y))"
+_CTES = {
+    "sm": f"""(SELECT run_id, frame,
+      CASE WHEN px IS NULL OR nx IS NULL THEN x ELSE list_sort([px, x, nx])[2] END AS x, CASE WHEN px IS NULL OR nx IS NULL THEN y ELSE list_sort([py, y, ny])[2] END AS y
+    FROM (SELECT *, lag(x) OVER w AS px, lead(x) OVER w AS nx, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM ball WHERE confidence >= {P.ball_confidence} WINDOW w AS (PARTITION BY run_id ORDER BY frame)))""",
+    "st": f"""(SELECT run_id, frame, x, y, CASE WHEN ok THEN vx END AS vx, CASE WHEN ok THEN vy END AS vy, CASE WHEN ok THEN speed ELSE 0.0 END AS speed
+    FROM (SELECT *, sqrt(vx*vx + vy*vy) AS speed, coalesce(dt > 0 AND dt <= 1.0 AND sqrt(vx*vx + vy*vy) <= 60.0, false) AS ok
+      FROM (SELECT *, (x - px) / dt AS vx, (y - py) / dt AS vy FROM (SELECT *, (frame - lag(frame) OVER w) / {P.fps}::DOUBLE AS dt, lag(x) OVER w AS px, lag(y) OVER w AS py FROM sm WINDOW w AS (PARTITION BY run_id ORDER BY frame)))))""",
+    "nr": f"""(SELECT s.run_id, s.frame, n.player_id, n.team, n.distance, s.x, s.y, s.speed FROM st s LEFT JOIN
+    (SELECT * FROM (SELECT s.run_id, s.frame, p.player_id, t.team, {_D} AS distance, row_number() OVER (PARTITION BY s.run_id, s.frame ORDER BY {_D}, p.ord) AS rk
+      FROM st s JOIN players p ON s.run_id = p.run_id AND s.frame = p.frame JOIN teams t ON p.player_id = t.player_id WHERE t.team <> 'referee') WHERE rk = 1) n ON s.run_id = n.run_id AND s.frame = n.frame)""",
+    "sp": f"""(SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY start_frame) AS span_id, player_id, team, start_frame, end_frame, sx, sy, ex, ey FROM
+    (SELECT run_id, island, min(holder) AS player_id, arg_min(team, frame) AS team, min(frame) AS start_frame, max(frame) AS end_frame, arg_min(x, frame) AS sx, arg_min(y, frame) AS sy, arg_max(x, frame) AS ex, arg_max(y, frame) AS ey
+     FROM (SELECT *, sum(CASE WHEN holder IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY frame) AS island
+      FROM (SELECT *, lag(holder) OVER (PARTITION BY run_id ORDER BY frame) AS before
+       FROM (SELECT *, CASE WHEN speed > {P.possession_speed_break} OR distance IS NULL OR distance > {P.possession_distance} THEN NULL ELSE player_id END AS holder FROM nr)))
+     WHERE holder IS NOT NULL GROUP BY run_id, island) WHERE (end_frame - start_frame) / {P.fps} >= {P.possession_seconds})""",
+    "ps": f"""(SELECT a.run_id, a.end_frame AS frame, a.player_id, a.team, b.player_id AS receiver_id, b.team AS receiver_team, b.start_frame AS end_frame, a.ex AS x, a.ey AS y, b.sx AS end_x, b.sy AS end_y,
+      sqrt((b.sx-a.ex)*(b.sx-a.ex) + (b.sy-a.ey)*(b.sy-a.ey)) AS pass_length, CASE WHEN a.team = b.team THEN 'successful' ELSE 'failed' END AS outcome
+    FROM sp a JOIN sp b ON a.run_id = b.run_id AND b.span_id = a.span_id + 1 AND a.player_id <> b.player_id
+    WHERE b.start_frame - a.end_frame BETWEEN 0 AND {P.pass_transit_seconds * P.fps}
+      AND coalesce((SELECT max(speed) FROM st WHERE st.run_id = a.run_id AND st.frame BETWEEN a.end_frame AND b.start_frame), 0) >= {P.pass_speed})""",
+    "ic": "(SELECT run_id, frame, receiver_id AS player_id, receiver_team AS team, end_x AS x, end_y AS y FROM ps WHERE outcome = 'failed' AND team LIKE 'team\\_%' ESCAPE '\\' AND receiver_team LIKE 'team\\_%' ESCAPE '\\')",
+    "gc": f"""(SELECT run_id, CAST(floor(pf + part * (frame - pf) + 0.5) AS BIGINT) AS frame, CASE WHEN x > 0 THEN 'right' ELSE 'left' END AS goal_side, py + part * (y - py) AS cross_y, speed, abs(py + part * (y - py)) <= {P.goal_half_width} AS is_goal
+    FROM (SELECT *, ({P.half_length} - abs(px)) / (abs(x) - abs(px)) AS part FROM (SELECT *, lag(frame) OVER w AS pf, lag(x) OVER w AS px, lag(y) OVER w AS py FROM st WINDOW w AS (PARTITION BY run_id ORDER BY frame)))
+    WHERE (frame - pf) / {P.fps} <= 1.0 AND speed BETWEEN {P.shot_speed} AND 50.0 AND abs(px) <= {P.half_length} AND abs(x) > {P.half_length} AND abs(px) >= {P.half_length} - 10.0)""",
+    "sh": "(SELECT g.run_id, g.frame, g.is_goal, arg_max(s.player_id, s.end_frame) AS player_id, arg_max(s.team, s.end_frame) AS team FROM gc g LEFT JOIN sp s ON g.run_id = s.run_id AND s.end_frame <= g.frame GROUP BY ALL)",
+    "ev": f"""(SELECT run_id, type, frame, frame / {P.fps}::DOUBLE AS match_time, player_id, team, outcome FROM (
+      SELECT run_id, 'possession' AS type, start_frame AS frame, player_id, team, NULL AS outcome FROM sp UNION ALL SELECT run_id, 'pass', frame, player_id, team, outcome FROM ps
+      UNION ALL SELECT run_id, 'interception', frame, player_id, team, NULL FROM ic UNION ALL SELECT run_id, 'shot', frame, player_id, team, CASE WHEN is_goal THEN 'Goal' ELSE 'Off_Target' END FROM sh
+      UNION ALL SELECT run_id, 'goal', frame, player_id, team, 'Goal' FROM sh WHERE is_goal))""",
+    "pk": f"(SELECT *, frame - lag(frame) OVER w AS df, (frame - lag(frame) OVER w) / {P.fps}::DOUBLE AS dt, sqrt((x - lag(x) OVER w)*(x - lag(x) OVER w) + (y - lag(y) OVER w)*(y - lag(y) OVER w)) AS d FROM players WINDOW w AS (PARTITION BY run_id, player_id ORDER BY frame, ord))",
+}
+
+
+def _sql(select: str) -> str:
+    return "WITH " + duckdb_views() + ",\n" + ",\n".join(f"{k} AS {v}" for k, v in _CTES.items()) + "\n" + select
+
+
+ORACLE_SQL: dict = {
+    name: _sql(select)
+    for name, select in {
+        "ball_states": "SELECT * FROM st",
+        "nearest_player": "SELECT run_id, frame, player_id, team, distance FROM nr",
+        "possession_spans": "SELECT * FROM sp",
+        "bridge_passes": "SELECT * FROM ps",
+        "interceptions": "SELECT * FROM ic",
+        "goal_line_crossings": "SELECT * FROM gc",
+        "match_events": "SELECT * FROM ev",
+        "player_kinematics": "SELECT player_id, count(*) AS observed_frames, round(coalesce(sum(d) FILTER (ok), 0), 2) AS distance_m, round(coalesce(max(d / dt) FILTER (ok), 0), 2) AS max_speed_mps, round(coalesce(sum(d) FILTER (ok) / sum(dt) FILTER (ok), 0), 2) AS avg_speed_mps FROM (SELECT *, coalesce(dt > 0 AND dt <= 1.0 AND d / dt <= 12.0, false) AS ok FROM pk) GROUP BY player_id",
+        "team_stats": "SELECT s.team, round(100.0 * s.frames / sum(s.frames) OVER (), 1) AS possession_pct, coalesce(p.n, 0) AS passes, coalesce(p.good, 0) AS successful, round(100.0 * p.good / p.n, 1) AS pass_rate FROM (SELECT team, CAST(sum(greatest(1, end_frame - start_frame + 1)) AS BIGINT) AS frames FROM sp GROUP BY team) s LEFT JOIN (SELECT team, count(*) AS n, count(*) FILTER (outcome = 'successful') AS good FROM ps GROUP BY team) p ON s.team = p.team",
+        "heatmap": "SELECT player_id, CAST(least(floor((x + 52.5::DOUBLE) / 105.0::DOUBLE * 40), 39) AS BIGINT) AS bin_x, CAST(least(floor((y + 34.0::DOUBLE) / 68.0::DOUBLE * 40), 39) AS BIGINT) AS bin_y, count(*) AS n FROM players WHERE abs(x) <= 52.5 AND abs(y) <= 34 GROUP BY ALL",
+        "pass_network": "SELECT player_id, receiver_id, count(*) AS passes FROM ps WHERE outcome = 'successful' GROUP BY ALL HAVING count(*) >= 2",
+        "pass_nodes": "SELECT player_id, count(*) AS touches, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y FROM (SELECT player_id, x, y FROM ps WHERE outcome = 'successful' UNION ALL SELECT receiver_id, end_x, end_y FROM ps WHERE outcome = 'successful') GROUP BY player_id",
+        "presence_runs": "SELECT run_id, player_id, min(frame) AS start_frame, max(frame) AS end_frame FROM (SELECT *, sum(CASE WHEN df > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, player_id ORDER BY frame) AS part FROM pk) GROUP BY run_id, player_id, part",
+        "off_field": "SELECT player_id, count(*) AS n, avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS outside FROM players GROUP BY player_id HAVING count(*) >= 30 AND avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.1",
+        "track_summary": "SELECT player_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n, round(avg(CASE WHEN abs(x) > 47.5 OR abs(y) > 29.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS edge_share FROM players GROUP BY player_id",
+        "identity_switches": "SELECT run_id, player_id, frame, d AS jump_m FROM pk WHERE df <= 24 AND d >= 2.0",
+        "event_counts": "SELECT type, count(*) AS n FROM ev GROUP BY type",
+        "list_events": "SELECT run_id, type, frame, round(match_time, 2) AS time, player_id, team, outcome FROM ev WHERE type IN ('pass', 'shot') AND team = 'team_A' AND round(match_time, 2) BETWEEN 10.0 AND 500.0 ORDER BY run_id, frame, type, player_id LIMIT 50",
+    }.items()
+}
