@@ -93,7 +93,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents that hold no benchmark item; rows without an id stay."""
     held = contamination(docs, items, coverage=coverage).select(F.col("doc_id").alias("_held_id")).distinct()
-    return docs.join(held, docs["doc_id"] == F.col("_held_id"), "left_anti")
+    return docs.join(held, docs["doc_id"] == held["_held_id"], "left_anti")
 
 
 def op8_decontaminate(spark, sf_dir):

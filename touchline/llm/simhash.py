@@ -178,8 +178,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kept = staged(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-NO_ID)).alias("_kept_id")).distinct(), "kept")
     own = F.coalesce("doc_id", F.lit(-NO_ID))
     order = Window.partitionBy(own, F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.col("text").asc_nulls_last())
-    rows = docs.join(kept, own == F.col("_kept_id"), "left_semi")
-    return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    rows = docs.join(kept, own == kept["_kept_id"], "left_semi")
+    return rows.select(F.struct(*docs.columns).alias("row"), F.row_number().over(order).alias("rank")).where("rank = 1").select("row.*")
 
 
 def op1_simhash(spark, sf_dir):
