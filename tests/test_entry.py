@@ -24,7 +24,7 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, name):
     db = duckdb.connect()
-    for table in ("orders", "nation"):
+    for table in ("orders", "nation", "lineitem", "embeddings", "events"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

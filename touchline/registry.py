@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .functions.text import shirt_number
+from .operators import duels as D
 from .operators import events as E
 from .operators import stats as S
+from .operators import tracks as T
 from .plans.presets import TEMPLATE as P
 from .sources.fixtures import duckdb_views, match_tables
 
@@ -46,11 +51,70 @@ _PLANS = {
 }
 
 
+#: Entries of the homography that the projection query uses, row by row.
+VIEW = (12.0, 1.5, 960.0, 0.5, -9.0, 540.0, 0.0005, -0.004, 1.0)
+
+
+def _crossings(t):
+    return E.goal_line_crossings(E.ball_states(t["ball"]))
+
+
+def _boxes(t):
+    left, top = F.col("x") * 10, F.col("y") * 10
+    return t["players"].select("run_id", "player_id", "frame", left.alias("x1"), top.alias("y1"), (left + 30).alias("x2"), (top + 80).alias("y2"))
+
+
+_PLANS |= {
+    "attack_directions": lambda t: D.attack_directions(t["players"], t["teams"]),
+    "carries": lambda t: D.carries(_spans(t), t["players"], t["teams"]),
+    "deflections": lambda t: D.deflections(_spans(t).select("run_id", F.col("end_frame").alias("frame")), E.ball_states(t["ball"])).withColumn("angle", F.round("angle", 3)),
+    "tackles": lambda t: D.tackles(_spans(t), _passes(t), E.ball_states(t["ball"]), t["players"], t["teams"], proximity=30.0, min_angle=0.0, max_gap_seconds=8.0),
+    "possession_at_frames": lambda t: D.possession_at_frames(E.ball_states(t["ball"]), _spans(t)),
+    "nearest_opponents": lambda t: D.nearest_opponents(_near(t), t["players"], t["teams"]),
+    "buildup_starts": lambda t: D.buildup_starts(_crossings(t), E.ball_states(t["ball"])),
+    "event_windows": lambda t: D.event_windows(_events(t), t["players"]),
+    "events_near": lambda t: D.events_near(_crossings(t), _events(t)),
+    "numbered_events": lambda t: D.numbered_events(_events(t)),
+    "position_zones": lambda t: T.position_zones(t["players"]),
+    "referee_check": lambda t: T.referee_check(t["players"]),
+    "cooccurring_pairs": lambda t: T.cooccurring_pairs(t["players"]),
+    "ball_outliers": lambda t: T.ball_outliers(t["ball"], max_deviation=1.0),
+    "kicks": lambda t: T.kicks(t["ball"], threshold=2.0),
+    "observation_gaps": lambda t: T.observation_gaps(t["ball"]),
+    "moving_mean": lambda t: T.moving_mean(t["ball"]),
+    "spread_sample": lambda t: T.spread_sample(t["players"]),
+    "projected_ball": lambda t: T.projected(t["ball"], VIEW),
+    "box_steps": lambda t: T.box_steps(_boxes(t)),
+    "speed_percentiles": lambda t: T.speed_percentiles(E.ball_states(t["ball"])),
+    "roster": lambda t: T.roster(t["players"], t["teams"]),
+    "side_of_teams": lambda t: T.side_of_teams(t["players"], t["teams"]),
+}
+
+
 def _query(plan):
     return lambda spark, sf_dir: plan(match_tables(spark, sf_dir))
 
 
-QUERIES: dict = {name: _query(plan) for name, plan in _PLANS.items()}
+def _number_votes(spark, sf_dir):
+    reading = F.when(F.col("l_linenumber") != 3, F.col("l_partkey") % 120)
+    return T.number_votes(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("track_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), reading.alias("reading"), (F.col("l_discount") * 10).alias("confidence")))
+
+
+def _features(spark, sf_dir):
+    track = F.floor(F.col("vec_id") / 5)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(track / 20).alias("run_id"), track.alias("track_id"), "embedding")
+
+
+def _shirt_numbers(spark, sf_dir):
+    answer = F.concat_ws(" ", F.when(F.col("event_type") == "error", "not visible").otherwise(F.col("event_type")), F.col("props"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", shirt_number(answer).cast("long").alias("number"))
+
+
+QUERIES: dict = {name: _query(plan) for name, plan in _PLANS.items()} | {
+    "number_votes": _number_votes,
+    "similar_tracks": lambda spark, sf_dir: T.similar_tracks(_features(spark, sf_dir), 0.1),
+    "shirt_numbers": _shirt_numbers,
+}
 
 _D = "sqrt((p.x - s.x)*(p.x - s.x) + (p.y - s.y)*(p.y - s.y))"
 _CTES = {
@@ -83,6 +147,14 @@ _CTES = {
       SELECT run_id, 'possession' AS type, start_frame AS frame, player_id, team, NULL AS outcome FROM sp UNION ALL SELECT run_id, 'pass', frame, player_id, team, outcome FROM ps
       UNION ALL SELECT run_id, 'interception', frame, player_id, team, NULL FROM ic UNION ALL SELECT run_id, 'shot', frame, player_id, team, CASE WHEN is_goal THEN 'Goal' ELSE 'Off_Target' END FROM sh
       UNION ALL SELECT run_id, 'goal', frame, player_id, team, 'Goal' FROM sh WHERE is_goal))""",
+    "fn": "(SELECT run_id, frame, row_number() OVER (PARTITION BY run_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM (SELECT DISTINCT run_id, frame FROM players))",
+    "ad": """(SELECT run_id, team, CAST(CASE rk WHEN 1 THEN 1 ELSE -1 END AS BIGINT) AS direction FROM (SELECT run_id, team, row_number() OVER (PARTITION BY run_id ORDER BY xs[len(xs) // 2 + 1], team) AS rk, count(*) OVER (PARTITION BY run_id) AS teams
+      FROM (SELECT p.run_id, t.team, list_sort(list(p.x)) AS xs FROM players p JOIN fn ON p.run_id = fn.run_id AND p.frame = fn.frame JOIN teams t ON p.player_id = t.player_id
+        WHERE fn.i % greatest(1, fn.n // 50) = 0 AND t.team NOT IN ('referee', 'unknown') GROUP BY ALL)) WHERE teams >= 2 AND rk <= 2)""",
+    "df": """(SELECT run_id, frame, CASE WHEN a IS NULL OR b IS NULL THEN 180.0::DOUBLE WHEN sqrt(a.vx*a.vx + a.vy*a.vy) < 1e-6 OR sqrt(b.vx*b.vx + b.vy*b.vy) < 1e-6 THEN 0.0::DOUBLE
+        ELSE degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (a.vx*b.vx + a.vy*b.vy) / (sqrt(a.vx*a.vx + a.vy*a.vy) * sqrt(b.vx*b.vx + b.vy*b.vy)))))) END AS angle
+      FROM (SELECT m.run_id, m.frame, arg_max({'vx': s.vx, 'vy': s.vy}, s.frame) FILTER (s.frame <= m.frame) AS a, arg_min({'vx': s.vx, 'vy': s.vy}, s.frame) FILTER (s.frame > m.frame) AS b
+        FROM (SELECT DISTINCT run_id, end_frame AS frame FROM sp) m LEFT JOIN st s ON m.run_id = s.run_id AND s.vx IS NOT NULL AND s.frame BETWEEN m.frame - 7 AND m.frame + 7 GROUP BY ALL))""",
     "pk": f"(SELECT *, frame - lag(frame) OVER w AS df, (frame - lag(frame) OVER w) / {P.fps}::DOUBLE AS dt, sqrt((x - lag(x) OVER w)*(x - lag(x) OVER w) + (y - lag(y) OVER w)*(y - lag(y) OVER w)) AS d FROM players WINDOW w AS (PARTITION BY run_id, player_id ORDER BY frame, ord))",
 }
 
@@ -112,5 +184,52 @@ ORACLE_SQL: dict = {
         "identity_switches": "SELECT run_id, player_id, frame, d AS jump_m FROM pk WHERE df <= 24 AND d >= 2.0",
         "event_counts": "SELECT type, count(*) AS n FROM ev GROUP BY type",
         "list_events": "SELECT run_id, type, frame, round(match_time, 2) AS time, player_id, team, outcome FROM ev WHERE type IN ('pass', 'shot') AND team = 'team_A' AND round(match_time, 2) BETWEEN 10.0 AND 500.0 ORDER BY run_id, frame, type, player_id LIMIT 50",
+        "attack_directions": "SELECT * FROM ad",
+        "carries": f"""SELECT run_id, start_frame AS frame, end_frame, player_id, team, round(total, 2) AS distance_m, round(forward, 2) AS forward_m FROM (
+          SELECT *, sqrt(dx*dx + dy*dy) AS total, dx * direction AS forward FROM (
+            SELECT s.run_id, s.start_frame, s.end_frame, s.player_id, s.team, b.x - a.x AS dx, b.y - a.y AS dy, coalesce(ad.direction, 1) AS direction FROM sp s
+            JOIN (SELECT s.run_id, s.span_id, first(p.x ORDER BY abs(p.frame - s.start_frame), p.frame < s.start_frame) AS x, first(p.y ORDER BY abs(p.frame - s.start_frame), p.frame < s.start_frame) AS y
+              FROM sp s JOIN players p ON s.run_id = p.run_id AND s.player_id = p.player_id AND p.frame BETWEEN s.start_frame - 5 AND s.start_frame + 5 GROUP BY ALL) a ON s.run_id = a.run_id AND s.span_id = a.span_id
+            JOIN (SELECT s.run_id, s.span_id, first(p.x ORDER BY abs(p.frame - s.end_frame), p.frame < s.end_frame) AS x, first(p.y ORDER BY abs(p.frame - s.end_frame), p.frame < s.end_frame) AS y
+              FROM sp s JOIN players p ON s.run_id = p.run_id AND s.player_id = p.player_id AND p.frame BETWEEN s.end_frame - 5 AND s.end_frame + 5 GROUP BY ALL) b ON s.run_id = b.run_id AND s.span_id = b.span_id
+            LEFT JOIN ad ON s.run_id = ad.run_id AND s.team = ad.team WHERE (s.end_frame - s.start_frame) / {P.fps} >= {P.carry_seconds})) WHERE total >= {P.carry_total} OR forward >= {P.carry_forward}""",
+        "deflections": "SELECT run_id, frame, round(angle, 3) AS angle FROM df",
+        "tackles": f"""SELECT t.run_id, t.frame, t.player_id, t.team, t.opponent_id, round(df.angle, 1) AS angle FROM (
+          SELECT *, row_number() OVER (PARTITION BY run_id, frame ORDER BY d, ord) AS rk FROM (
+            SELECT a.run_id, a.end_frame AS frame, a.player_id AS opponent_id, b.team, p.player_id, p.ord, {_D} AS d FROM sp a JOIN sp b ON a.run_id = b.run_id AND b.span_id = a.span_id + 1 AND a.team <> b.team AND (b.start_frame - a.end_frame) / {P.fps} <= 8.0
+            JOIN st s ON s.run_id = a.run_id AND s.frame = a.end_frame JOIN players p ON p.run_id = a.run_id AND p.frame = a.end_frame JOIN teams t ON t.player_id = p.player_id AND t.team = b.team AND t.team <> 'referee'
+            WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.run_id = a.run_id AND ps.frame = a.end_frame))) t JOIN df ON t.run_id = df.run_id AND t.frame = df.frame WHERE rk = 1 AND d <= 30.0""",
+        "possession_at_frames": "SELECT s.run_id, s.frame, arg_max(p.player_id, p.span_id) AS player_id, arg_max(p.team, p.span_id) AS team FROM st s LEFT JOIN sp p ON s.run_id = p.run_id AND s.frame BETWEEN p.start_frame AND p.end_frame GROUP BY ALL",
+        "nearest_opponents": f"""SELECT run_id, frame, player_id, opponent_id, rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY run_id, frame ORDER BY distance, ord) AS rank FROM (
+          SELECT s.run_id, s.frame, s.player_id, p.player_id AS opponent_id, p.ord, {_D} AS distance FROM (SELECT n.run_id, n.frame, n.player_id, q.x, q.y, tq.team FROM nr n JOIN players q ON n.run_id = q.run_id AND n.frame = q.frame AND n.player_id = q.player_id
+            JOIN teams tq ON tq.player_id = q.player_id WHERE tq.team IN ('team_A', 'team_B')) s JOIN players p ON s.run_id = p.run_id AND s.frame = p.frame JOIN teams t ON t.player_id = p.player_id AND t.team IN ('team_A', 'team_B') AND t.team <> s.team) WHERE distance <= 20.0) WHERE rank <= 3""",
+        "buildup_starts": "SELECT g.run_id, g.frame, g.goal_side, CAST(greatest(0, coalesce(max(s.frame), greatest(0, g.frame - 250)) - 50) AS BIGINT) AS start_frame FROM gc g LEFT JOIN st s ON s.run_id = g.run_id AND s.frame BETWEEN greatest(0, g.frame - 250) AND g.frame - 1 AND ((g.goal_side = 'right' AND s.x < 0) OR (g.goal_side = 'left' AND s.x > 0)) GROUP BY g.run_id, g.frame, g.goal_side",
+        "event_windows": "SELECT e.run_id, e.type, e.frame, e.player_id, greatest(0, e.frame - r) AS window_start, least(e.frame + r, m.last) AS window_end FROM (SELECT *, CASE WHEN type IN ('shot', 'goal') THEN 12 ELSE 50 END AS r FROM ev) e LEFT JOIN (SELECT run_id, max(frame) AS last FROM players GROUP BY run_id) m ON e.run_id = m.run_id",
+        "events_near": "SELECT g.run_id, g.frame AS moment, e.type, count(*) AS n FROM (SELECT DISTINCT run_id, frame FROM gc) g JOIN ev e ON g.run_id = e.run_id AND abs(e.frame - g.frame) <= 75 GROUP BY ALL",
+        "numbered_events": "SELECT run_id, type || '_' || lpad(CAST(row_number() OVER (PARTITION BY run_id, type ORDER BY frame, player_id NULLS FIRST) AS VARCHAR), 4, '0') AS event_id, type, frame, player_id FROM ev",
+        "position_zones": """SELECT run_id, player_id, CASE WHEN outside THEN 'outside' WHEN mx < -36.0 THEN 'near_left_goal' WHEN mx > 36.0 THEN 'near_right_goal' WHEN abs(my) > 0.7::DOUBLE * 34.0 THEN 'sideline' ELSE 'midfield' END AS label,
+          CASE WHEN outside THEN 'outside' WHEN mx < -36.0 THEN 'near_left_goal' WHEN mx > 36.0 THEN 'near_right_goal' ELSE CASE WHEN mx < -17.5 THEN 'left' WHEN mx > 17.5 THEN 'right' ELSE 'mid' END || '_' || CASE WHEN my > 0 THEN 'top' ELSE 'bot' END END AS scene
+          FROM (SELECT *, abs(mx) > 53.0 OR abs(my) > 34.5 AS outside FROM (SELECT run_id, player_id, median(x) AS mx, median(y) AS my FROM players GROUP BY ALL))""",
+        "referee_check": "SELECT run_id, player_id, count(*) >= 30 AND NOT (quantile_cont(x, 0.95) - quantile_cont(x, 0.05) < 3.0 AND quantile_cont(y, 0.95) - quantile_cont(y, 0.05) < 3.0 AND abs(median(y)) > 0.7::DOUBLE * 34.0) AS moves_like_one FROM players GROUP BY ALL",
+        "cooccurring_pairs": "SELECT a.run_id, a.player_id AS a, b.player_id AS b, count(*) AS frames FROM players a JOIN players b ON a.run_id = b.run_id AND a.frame = b.frame AND a.player_id < b.player_id GROUP BY ALL",
+        "ball_outliers": f"""SELECT run_id, frame, round(d, 6) AS deviation FROM (SELECT *, sqrt(power(x - (px + t * (nx - px)), 2) + power(y - (py + t * (ny - py)), 2)) AS d FROM (SELECT *, (frame - pf) / (nf - pf)::DOUBLE AS t, sqrt(power(nx - px, 2) + power(ny - py, 2)) / ((nf - pf) / {P.fps}) AS v
+          FROM (SELECT *, lag(frame) OVER w AS pf, lead(frame) OVER w AS nf, lag(x) OVER w AS px, lead(x) OVER w AS nx, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM ball WINDOW w AS (PARTITION BY run_id ORDER BY frame)))) WHERE v <= 30.0 AND d > 1.0""",
+        "kicks": "SELECT run_id, frame, jerk FROM (SELECT run_id, frame, round(sqrt(dx*dx + dy*dy), 6) AS jerk FROM (SELECT run_id, frame, x - 2 * lag(x, 1) OVER w + lag(x, 2) OVER w AS dx, y - 2 * lag(y, 1) OVER w + lag(y, 2) OVER w AS dy FROM ball WINDOW w AS (PARTITION BY run_id ORDER BY frame))) WHERE jerk > 2.0",
+        "observation_gaps": "SELECT run_id, frame + 1 AS gap_start, nxt - 1 AS gap_end, frame AS left_anchor, nxt AS right_anchor FROM (SELECT run_id, frame, lead(frame) OVER (PARTITION BY run_id ORDER BY frame) AS nxt FROM ball) WHERE nxt - frame > 1",
+        "moving_mean": "SELECT run_id, frame, CAST(sum(CAST(x * confidence AS DECIMAL(18,8))) OVER w AS DOUBLE) / CAST(sum(CAST(confidence AS DECIMAL(18,8))) OVER w AS DOUBLE) AS x, CAST(sum(CAST(y * confidence AS DECIMAL(18,8))) OVER w AS DOUBLE) / CAST(sum(CAST(confidence AS DECIMAL(18,8))) OVER w AS DOUBLE) AS y FROM ball WINDOW w AS (PARTITION BY run_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
+        "spread_sample": "SELECT p.run_id, p.player_id, p.frame FROM (SELECT *, row_number() OVER (PARTITION BY run_id, player_id ORDER BY frame, ord) - 1 AS i, count(*) OVER (PARTITION BY run_id, player_id) AS n FROM players) p WHERE n <= 10 OR i IN (SELECT k * (p.n - 1) // 9 FROM range(10) r(k))",
+        "projected_ball": "SELECT run_id, frame, round((12.0::DOUBLE*x + 1.5::DOUBLE*y + 960.0) / w, 4) AS px, round((0.5::DOUBLE*x - 9.0::DOUBLE*y + 540.0) / w, 4) AS py, round(x, 4) AS x, round(y, 4) AS y FROM (SELECT *, 0.0005::DOUBLE*x - 0.004::DOUBLE*y + 1.0 AS w FROM ball)",
+        "box_steps": "SELECT run_id, player_id, frame, x1 + 30 - x1 AS w, y1 + 80 - y1 AS h, (x1 + (x1 + 30)) / 2 AS foot_x, round(CASE WHEN qx IS NOT NULL THEN wide * high / (4800.0 - wide * high) END, 6) AS overlap FROM (SELECT *, greatest(0.0::DOUBLE, 30 - abs(x1 - qx)) AS wide, greatest(0.0::DOUBLE, 80 - abs(y1 - qy)) AS high FROM (SELECT *, x * 10 AS x1, y * 10 AS y1, lag(x * 10) OVER v AS qx, lag(y * 10) OVER v AS qy FROM players WINDOW v AS (PARTITION BY run_id, player_id ORDER BY frame)))",
+        "speed_percentiles": "SELECT run_id, count(*) AS n, " + ", ".join(f"round(quantile_cont(speed, {q / 100}), 6) AS p{q}" for q in (5, 25, 50, 75, 95)) + " FROM st GROUP BY run_id",
+        "roster": "SELECT p.player_id, coalesce(t.team, 'unknown') AS team, p.frames FROM (SELECT player_id, count(*) AS frames FROM players GROUP BY player_id) p LEFT JOIN teams t ON p.player_id = t.player_id",
+        "side_of_teams": "SELECT run_id, team, CASE WHEN row_number() OVER (PARTITION BY run_id ORDER BY mx, team) = 1 THEN 'left' ELSE 'right' END AS side FROM (SELECT p.run_id, t.team, avg(p.x) AS mx FROM players p JOIN teams t ON p.player_id = t.player_id WHERE t.team IN ('team_A', 'team_B') GROUP BY ALL)",
     }.items()
+} | {
+    "number_votes": """WITH v AS (SELECT l_suppkey AS track_id, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_linenumber <> 3 AND l_partkey % 120 BETWEEN 1 AND 99 AND CAST(least(1, l_discount * 10) AS DECIMAL(9,4)) > 0 THEN l_partkey % 120 END AS number, CAST(least(1, l_discount * 10) AS DECIMAL(9,4)) AS w FROM lineitem),
+      s AS (SELECT track_id, number, sum(CASE WHEN number IS NULL THEN 0 ELSE w END) AS score, count(*) AS n, min(ord) AS first FROM v GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY number IS NULL, score DESC, first) AS rk FROM s)
+      SELECT track_id, max(CASE WHEN rk = 1 THEN number END) AS number, round(CASE WHEN sum(score) > 0 THEN sqrt(CAST(max(score) AS DOUBLE) / sum(n) * CAST(max(score) AS DOUBLE) / CAST(sum(score) AS DOUBLE)) ELSE 0 END, 6) AS confidence, CAST(sum(n) AS BIGINT) AS readings FROM r GROUP BY track_id""",
+    "similar_tracks": """WITH c AS (SELECT t // 20 AS run_id, t AS track_id, list(m ORDER BY pos) AS v FROM (SELECT vec_id // 5 AS t, pos, avg(CAST(embedding[pos] AS DOUBLE)) AS m FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY ALL) GROUP BY ALL)
+      SELECT * FROM (SELECT a.run_id, a.track_id AS a, b.track_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM c a JOIN c b ON a.run_id = b.run_id AND a.track_id < b.track_id) WHERE cosine >= 0.1""",
+    "shirt_numbers": """SELECT event_id, CASE WHEN event_type <> 'error' THEN list_filter(list_transform(regexp_extract_all(lower(concat_ws(' ', event_type, props)), '\\b([0-9]{1,2})\\b', 1), lambda n: CAST(n AS BIGINT)), lambda n: n BETWEEN 1 AND 99)[1] END AS number FROM events""",
 }
