@@ -9,8 +9,10 @@ for all words that share the prefix; a word's encoding is read off by following
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import sys
 import unicodedata
 from itertools import chain
 
@@ -77,7 +79,11 @@ class TrieBPE:
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.plain = regex.compile(r"[\x20-\u024F\t\n\r\u2010-\u2027\u20AC]*+").fullmatch
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.pair_ok, self.cache, self.chunks = {}, {}, {}
+        #: An id's four bytes, and its string after a space: a text's ids and decoded string are joins of these.
+        self.packed = {i: i.to_bytes(4, sys.byteorder) for i in self.of}
+        self.spaced = {i: " " + t for i, t in self.of.items()}
+        # Of words and of chunks: packed ids, and spaced strings. Neither bytes nor strings cost the garbage collector.
+        self.pair_ok, self.word_ids, self.word_text, self.chunk_ids, self.chunk_text = {}, {}, {}, {}, {}
 
     def _automaton(self) -> None:
         """Suffix automaton of the tokens: per state its transitions, its fallback and the tokens that end there, longest first."""
@@ -135,7 +141,7 @@ class TrieBPE:
         The sorted words are the trie in depth-first order: what a word shares with the one before
         it is the path that stays, and its states are kept; only the new nodes are computed.
         """
-        steps, step, found, pair_ok = self.steps, self._step, self.found, self.pair_ok
+        steps, step, found, pair_ok, packed, spaced = self.steps, self._step, self.found, self.pair_ok, self.packed, self.spaced
         final = 256 * bool(self.suffix)
         states, ends, before = [0], [(-1, 0)], b""  # per depth: automaton state; last token and its length
         for data, word in sorted([(w.encode("utf-8"), w) for w in words]):
@@ -170,7 +176,9 @@ class TrieBPE:
                 token, length = ends[at]
                 ids.append(token)
                 at -= length
-            self.cache[word] = ids[::-1]
+            ids.reverse()
+            self.word_ids[word] = b"".join([packed[i] for i in ids])
+            self.word_text[word] = "".join([spaced[i] for i in ids])
             before = data
 
     def pieces(self, text: str) -> list:
@@ -194,28 +202,37 @@ class TrieBPE:
                 out += [c for line in part.split("\n") for c in (line.split() if self.plain(line) else [line])]
         return out
 
-    def encode_block(self, texts: list) -> list:
-        """Per text, the (ids, decoded string) of its chunks in order."""
+    def encode_block(self, texts: list) -> tuple:
+        """(packed ids, decoded string) of each text, as two lists."""
         split = [self.chunked(t) if t else [] for t in texts]
-        memo = self.chunks
-        new = {c for chunks in split for c in chunks} - memo.keys()
-        if len(memo) + len(new) > self.MEMO_LIMIT:
-            memo.clear()
-            new = {c for chunks in split for c in chunks}
-        if new:
-            pieces = {c: self.pieces(c) if type(c) is str else c for c in new}
-            words = {w for p in pieces.values() if type(p) is list for w in p}
-            if len(self.cache) + len(words) > self.MEMO_LIMIT:
-                self.cache.clear()
-            self.learn(words - self.cache.keys())
-            cache, of = self.cache, self.of
-            for c, p in pieces.items():
-                ids = [i for w in p for i in cache[w]] if type(p) is list else [p]
-                memo[c] = (ids, " ".join([of[i] for i in ids]))
-        return [[memo[c] for c in chunks] for chunks in split]
+        ids, text = self.chunk_ids, self.chunk_text
+        new = set(chain.from_iterable(split))
+        fresh = {c for c in new if c not in ids}  # a set difference would walk the whole memo
+        if len(ids) + len(fresh) > self.MEMO_LIMIT:
+            ids.clear()
+            text.clear()
+            fresh = new
+        pieces = {c: self.pieces(c) for c in fresh if type(c) is str}
+        words = set(chain.from_iterable(pieces.values()))
+        unknown = {w for w in words if w not in self.word_ids}
+        if len(self.word_ids) + len(unknown) > self.MEMO_LIMIT:
+            self.word_ids.clear()
+            self.word_text.clear()
+            unknown = words
+        self.learn(unknown)
+        of_ids, of_text = self.word_ids.__getitem__, self.word_text.__getitem__
+        for c, p in pieces.items():
+            if len(p) == 1:
+                ids[c], text[c] = of_ids(p[0]), of_text(p[0])
+            else:
+                ids[c], text[c] = b"".join(map(of_ids, p)), "".join(map(of_text, p))
+        for c in fresh:
+            if type(c) is int:  # a special token, by its id
+                ids[c], text[c] = self.packed[c], self.spaced[c]
+        return [b"".join(map(ids.__getitem__, chunks)) for chunks in split], ["".join(map(text.__getitem__, chunks))[1:] for chunks in split]
 
     def encode(self, text: str | None) -> list:
-        return [i for ids, _ in self.encode_block([text])[0] for i in ids]
+        return np.frombuffer(self.encode_block([text])[0][0], np.int32).tolist()
 
     def decode(self, ids: list) -> str:
         """As a decoder-less tokenizer file decodes: the tokens' own strings joined by one space."""
@@ -242,10 +259,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in text_blocks(texts):
-                found = bpe.encode_block(texts[i:j])
-                ids = np.fromiter(chain.from_iterable(x for chunks in found for x, _ in chunks), np.int32)
-                ends = np.cumsum([0] + [sum([len(x) for x, _ in chunks]) for chunks in found])
-                decoded = [" ".join([d for _, d in chunks if d]) for chunks in found]
+                packed, decoded = bpe.encode_block(texts[i:j])
+                ids = np.frombuffer(b"".join(packed), np.int32)
+                ends = np.cumsum([0] + [len(p) // 4 for p in packed])
                 part = batch.slice(i, j - i)
                 columns = [part.column(c) for c in range(part.num_columns) if c != 1]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
@@ -263,6 +279,7 @@ def shared_encoder(spec: str) -> TrieBPE:
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = TrieBPE(spec)
+        gc.freeze()  # the automaton stays as long as the process: collections need not visit it
     return _ENCODERS[key]
 
 
