@@ -16,7 +16,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least doc_id."""
+    """One document of each group of 5-word Jaccard similarity 0.8 or more: that of the least doc_id."""
     return simhash.deduplicate(docs)
 
 

@@ -7,6 +7,11 @@ broadcast whole.  Children are keyed by their integer Hamming distance to the pa
 follows only edges within the radius.  A shard over SHARD_LIMIT different fingerprints is not given
 to one task: its members meet at the fingerprints one bit away from them instead, which is exact
 for a radius of 2 and puts at most 65 members in a group.
+
+The pipeline's stage, deduplicate(), is held to Jaccard similarity 0.8 of 5-word shingles instead.
+Such pairs differ in too many bits for blocks to bring them together, so its shards are keyed by
+several least hash values each; their BK-trees are searched with a wide radius, and what they
+propose is checked exactly.
 """
 
 from __future__ import annotations
@@ -16,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, word_chunks
+from .common import mix64, staged, word_chunks
 from .components import connected_components
+from .minhash import OnePermutation
 
 RADIUS = 2
 #: (shift, width) of the three blocks.
@@ -26,6 +32,12 @@ SHARD_LIMIT = 192
 #: Stands in for the id of fingerprints that only rows without an id have.
 NO_ID = 1 << 62
 
+#: The pipeline's stage: words of a shingle; keys of a text and hash values of each. A pair of similarity
+#: 0.8 shares no key with a chance of (1 - 0.8**5)**32 = 3e-6.
+SHINGLE, BANDS, BAND_ROWS = 5, 32, 5
+#: A pair of similarity 0.8 differs in about 10 of 64 bits, in 12 where the sets are tiny; this is over four deviations more.
+WIDE_RADIUS = 26
+
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of the word shingles of one text; 0 without words."""
@@ -170,16 +182,173 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+class ShingleSet:
+    """The stage's view of a text: its set of SHINGLE-word shingles, a SimHash of it, and shard keys."""
+
+    def __init__(self):
+        self.shingles = OnePermutation(SHINGLE).shingles
+        at = np.arange(2 * BANDS * BAND_ROWS, dtype=np.uint64)
+        salts = mix64(at + np.uint64(0x5EED))
+        self.flip, self.times = salts[: BANDS * BAND_ROWS, None], salts[BANDS * BAND_ROWS :, None] | np.uint64(1)
+        self.weights = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF for i in range(BAND_ROWS)], np.uint64)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Sorted different hashes; a text of fewer words is one shingle, one without words has none."""
+        return np.unique(self.shingles((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")))
+
+    def fingerprint(self, h: np.ndarray) -> int:
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(h), 65536):
+            counts += np.unpackbits(h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+
+    def shards(self, h: np.ndarray) -> np.ndarray:
+        """BANDS keys, each of BAND_ROWS least values under hash functions of their own."""
+        least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for at in range(0, len(h), 1024):
+            least = np.minimum(least, ((h[None, at : at + 1024] ^ self.flip) * self.times).min(axis=1))
+        return mix64((mix64(least).reshape(BANDS, BAND_ROWS) * self.weights).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Is the Jaccard similarity of two sorted sets 0.8 or more? Two empty sets are alike."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    shared = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)) if len(a) else 0
+    return 9 * shared >= 4 * (len(a) + len(b))
+
+
+def alike_groups(sets: list) -> list:
+    """For each set the number of the first one that it reaches over alike() links, all pairs considered.
+
+    Sets come in by size. A group is left as soon as one link to it is found, its last successful
+    member being tried first, so that a large group of near copies costs few comparisons a member.
+    """
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    groups: list = []  # [member tried first, members by size]
+    for x in order:
+        size, met = len(sets[x]), []
+        for group in groups:
+            if alike(sets[group[0]], sets[x]):
+                met.append(group)
+                continue
+            for y in reversed(group[1]):
+                if 5 * len(sets[y]) < 4 * size:
+                    break
+                if alike(sets[y], sets[x]):
+                    group[0] = y
+                    met.append(group)
+                    break
+        if not met:
+            groups.append([x, [x]])
+        elif len(met) == 1:
+            met[0][1].append(x)
+        else:
+            gone = {id(g) for g in met}
+            members = sorted([y for g in met for y in g[1]] + [x], key=lambda y: len(sets[y]))
+            groups = [g for g in groups if id(g) not in gone] + [[x, members]]
+    first = [0] * len(sets)
+    for _, members in groups:
+        least = min(members)
+        for y in members:
+            first[y] = least
+    return first
+
+
+def _set_prints(batches):
+    make = ShingleSet()
+    for batch in batches:
+        prints, shards = [], []
+        for text in batch.column(2).to_pylist():
+            h = make(text)
+            prints.append(make.fingerprint(h))
+            shards.append(make.shards(h).view(np.int64))
+        keys = pa.array(np.concatenate(shards) if shards else [], pa.int64())
+        offsets = pa.array(np.arange(len(shards) + 1) * BANDS, pa.int32())
+        prints = pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, pa.ListArray.from_arrays(offsets, keys)], ["doc_id", "key", "fp", "shards"])
+
+
+def _shard_candidates(batches):
+    """Edges that span each shard's pairs within WIDE_RADIUS; a crowded shard is left whole, as a star."""
+    shard, members, first = None, [], None
+
+    def close():
+        return list(_shard_links(members, WIDE_RADIUS)) if len(members) > 1 else []
+
+    for batch in batches:
+        out = []
+        for at, key, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if at != shard:
+                out += close()
+                shard, members, first = at, [], None
+            if first is not None:
+                out.append((key, first))
+                continue
+            members.append((value & 0xFFFFFFFFFFFFFFFF, key))
+            if len(members) > SHARD_LIMIT:
+                first = members[0][1]
+                out += [(other, first) for _, other in members[1:]]
+                members = []
+        yield _edge_batch(out)
+    yield _edge_batch(close())
+
+
+def _exact_components(batches):
+    make, group, keys, sets = ShingleSet(), None, [], []
+
+    def close():
+        return [(keys[i], keys[j]) for i, j in enumerate(alike_groups(sets)) if i != j]
+
+    for batch in batches:
+        out = []
+        for at, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if at != group:
+                out += close()
+                group, keys, sets = at, [], []
+            keys.append(key)
+            sets.append(make(text))
+        yield _edge_batch(out)
+    yield _edge_batch(close())
+
+
+def similar_components(docs: DataFrame) -> tuple:
+    """(rows(doc_id, key), links(key, component)) of texts by Jaccard similarity 0.8 of 5-word shingles.
+
+    key is a hash of the text, null as empty. links has the keys whose component is another key.
+    Candidates share a shard and lie within WIDE_RADIUS bits; each candidate group then goes to one
+    task with one copy of each text, where similarities are exact.
+    """
+    prints = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").mapInArrow(_set_prints, "doc_id long, key long, fp long, shards array<long>"), "sets")
+    members = prints.dropDuplicates(["key"]).select(F.explode("shards").alias("shard"), "key", "fp")
+    edges = members.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(_shard_candidates, "a long, b long")
+    groups = connected_components(edges)
+    texts = docs.select(text_key().alias("key"), "text").join(groups, F.col("key") == F.col("node")).groupBy("component", "key").agg(F.first("text").alias("text"))
+    links = texts.repartition("component").sortWithinPartitions("component", "key").mapInArrow(_exact_components, "a long, b long")
+    return prints.select("doc_id", "key"), staged(links.select(F.col("a").alias("key"), F.col("b").alias("component")), "alike")
+
+
+def text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group of documents: that of the least doc_id, repeated rows once."""
+    """One row of each component of documents of 5-word Jaccard similarity 0.8 or more: the first by doc_id, then text.
+
+    Rows without an id come last in that order and are deduplicated like others, as are rows that share an id.
+    """
     from pyspark.sql import Window
 
-    found = near_duplicate_components(docs)
-    kept = staged(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-NO_ID)).alias("_kept_id")).distinct(), "kept")
-    own = F.coalesce("doc_id", F.lit(-NO_ID))
-    order = Window.partitionBy(own, F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.col("text").asc_nulls_last())
-    rows = docs.join(kept, own == kept["_kept_id"], "left_semi")
-    return rows.select(F.struct(*docs.columns).alias("row"), F.row_number().over(order).alias("rank")).where("rank = 1").select("row.*")
+    rows, links = similar_components(docs)
+    found = rows.join(links, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    best = found.groupBy("component").agg(F.min("doc_id").alias("best"))
+    of = found.select("key", "component").distinct().join(best, "component")
+    own = docs.select(F.struct(*docs.columns).alias("row"), text_key().alias("key"))
+    held = own.join(staged(of, "kept"), "key").where(F.col("row.doc_id").cast("long").eqNullSafe(F.col("best")))
+    order = Window.partitionBy("component").orderBy(F.col("row.text").asc_nulls_last())
+    return held.select("row", F.row_number().over(order).alias("rank")).where("rank = 1").select("row.*")
 
 
 def op1_simhash(spark, sf_dir):
