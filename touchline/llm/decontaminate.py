@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows, in DataFrame expressions.
 
 Numbers, names and units become typed placeholders that keep their value aside; windows of
-placeholders and words are hashed and joined to the benchmark's; where templates agree, the values
-must map one to one, as in a question asked again with other parameters.
+placeholders and words are hashed and joined to the benchmark's; where templates agree, each value of
+the item must stand for one value of the document, as in a question asked again with other parameters.
 """
 
 from __future__ import annotations
@@ -54,11 +54,21 @@ def template_windows(rows: DataFrame, size: int, keys: list) -> DataFrame:
     return split.select(*keys, (F.size("_c") - size + 1).alias("n"), F.explode(F.transform(starts, window)).alias("w")).select(*keys, "n", "w.*")
 
 
+def _binding(pairs: Column) -> Column:
+    """The pairs (a, b) in which b is the most frequent value for a; ties go to b equal to a, then to the greatest b."""
+    ranked = F.transform(F.array_distinct(pairs), lambda p: F.struct(p.alias("pair"), F.struct(F.size(F.filter(pairs, lambda q: q == p)), p["a"] == p["b"], p["b"]).alias("rank")))
+    best = F.filter(ranked, lambda c: ~F.exists(ranked, lambda d: (d["pair"]["a"] == c["pair"]["a"]) & (d["rank"] > c["rank"])))
+    return F.transform(best, lambda c: c["pair"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, coverage, n_slots, reparameterised: a row per document and item it holds.
 
     docs(doc_id, text), items(item_id, text). An item of fewer tokens than a window is one window of
-    its own length. Null and empty texts match nothing; repeated rows give one row.
+    its own length. Null and empty texts match nothing; repeated rows give one row. On each diagonal a
+    window counts where it has no slots, or where its values agree with the diagonal's binding: two
+    values of the item may share one of the document, and one value changed in some of its places costs
+    only the windows of those places.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -76,11 +86,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
         return empty.select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("item_id", "long"), ("n_matched", "long"), ("n_windows", "long"), ("coverage", "double"), ("n_slots", "long"), ("reparameterised", "boolean"))])
     pairs = F.when(F.col("item_slots").isNotNull(), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
     # Windows of one copy lie on one diagonal; slot values are compared within it.
-    lines = hits.select("doc_id", "doc_key", "item_id", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("line"), pairs.alias("pairs"))
-    lines = lines.groupBy("doc_id", "doc_key", "item_id", "n_windows", "line").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    a, b = F.array_distinct(F.transform("pairs", lambda p: p["a"])), F.array_distinct(F.transform("pairs", lambda p: p["b"]))
-    consistent = (F.size(a) == F.size("pairs")) & (F.size(b) == F.size("pairs"))
-    whole = lines.where(consistent).groupBy("doc_id", "doc_key", "item_id", "n_windows").agg(
+    hits = hits.select("doc_id", "doc_key", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("line"), F.struct(F.col("item_pos").alias("at"), pairs.alias("pairs")).alias("window"))
+    lines = hits.groupBy("doc_id", "doc_key", "item_id", "n_windows", "line").agg(F.collect_set("window").alias("windows"))
+    lines = lines.withColumn("binding", _binding(F.flatten(F.filter(F.col("windows.pairs"), lambda p: p.isNotNull()))))
+    fits = F.filter("windows", lambda w: w["pairs"].isNull() | F.forall(w["pairs"], lambda p: F.array_contains(F.col("binding"), p)))
+    lines = lines.select("doc_id", "doc_key", "item_id", "n_windows", fits.alias("windows")).where(F.size("windows") > 0)
+    lines = lines.withColumns({"at": F.col("windows.at"), "pairs": F.array_distinct(F.flatten(F.filter(F.col("windows.pairs"), lambda p: p.isNotNull())))})
+    whole = lines.groupBy("doc_id", "doc_key", "item_id", "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"),
         F.size(F.array_distinct(F.flatten(F.collect_list("pairs")))).cast("long").alias("n_slots"),
         F.max(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("reparameterised"),
