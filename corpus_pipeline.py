@@ -10,7 +10,10 @@ from touchline.llm.common import staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told by a clear margin; dictionaries are learnt from labelled rows of docs."""
+    """Documents whose language is told by a clear margin; dictionaries are learnt from labelled rows of docs.
+
+    Where these have fewer than two languages, every document with a letter stays.
+    """
     found = langid.identify(docs, langid.learn_dictionaries(docs))
     return found.where(~F.col("rejected")).select(*docs.columns)
 

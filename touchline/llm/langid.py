@@ -67,13 +67,19 @@ class CompressionClassifier:
         return [sum([len(c(p)) for p in pieces]) for c in self.by]
 
     def __call__(self, text: str | None) -> tuple:
-        """(language, score, rejected): 'und', 0 and rejected without a letter; ties go to the first language by name."""
-        if not text or not LETTER(text) or not self.langs:
+        """(language, score, rejected): 'und', 0 and rejected without a letter; ties go to the first language by name.
+
+        Fewer than two languages leave no margin to judge, so a text with a letter is not rejected
+        then: with one it gets that language and score 1, with none 'und' and score 0.
+        """
+        if not text or not LETTER(text):
             return "und", 0.0, True
+        if len(self.langs) < 2:
+            return (self.langs[0], 1.0, False) if self.langs else ("und", 0.0, False)
         sizes = self.sizes(text)
         best = min(sizes)
         at = sizes.index(best)
-        second = min([s for i, s in enumerate(sizes) if i != at], default=best + 64)
+        second = min([s for i, s in enumerate(sizes) if i != at])
         score = 1.0 / sum([math.exp(-min(50.0, 0.5 * (s - best))) for s in sizes])
         return self.langs[at], score, second - best < MIN_MARGIN * best
 
