@@ -23,8 +23,8 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
-#: Candidates of the learnt kind: tokens of letters and digits, with the assignment before them, if any.
-KEYED = r"(?:(?<![A-Za-z_])[A-Za-z_]{2,24}+ ?[=:] ?[\"']?)?(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}[0-9])(?=[0-9]{0,63}[A-Za-z])[A-Za-z0-9]{16,64}(?![A-Za-z0-9@])"
+#: Candidates of the learnt kind: whole tokens of 16 letters and digits or more, both present, with the assignment before them, if any.
+KEYED = r"(?:(?<![A-Za-z_])[A-Za-z_]{2,24}+ ?[=:] ?[\"']?)?(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+(?!@)"
 LEARNT = "secret"
 #: The gazetteer of words that introduce a secret.
 GAZETTEER = "token password passwd pwd secret key apikey api_key access_key auth bearer credential credentials pin passphrase".split()
