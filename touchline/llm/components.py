@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unstage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,4 +27,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = staged(edges.join(least, b == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "large")
         small = staged(large.groupBy("a").agg(F.min("b").alias("m")), "small")
         rest = large.join(small, "a").where("b <> m").select(b.alias("a"), F.col("m").alias("b"))
-        edges = staged(rest.union(small.select("a", "m")).distinct(), "edges")
+        before, edges = edges, staged(rest.union(small.select("a", "m")).distinct(), "edges")
+        unstage(before, least, large, small)  # the next round reads only the new edges
