@@ -57,7 +57,7 @@ def test_pairs_about_the_threshold_and_a_crowded_shard(spark):
             rows.append((len(rows), " ".join(words)))
             rows.append((len(rows), " ".join(w if rnd.random() >= share else "changed" for w in words) + " more"))
     crowd = base(120)
-    for _ in range(simhash.SHARD_LIMIT + 40):
+    for _ in range(simhash.CROWDED + 40):
         copy = list(crowd)
         copy[rnd.randrange(120)] = f"own{len(rows)}"
         rows.append((len(rows), " ".join(copy)))

@@ -1,12 +1,12 @@
 """SimHash near-duplicates: fingerprints, BK-trees over shards, components.
 
-Two fingerprints at distance d <= 2 agree on at least one of three bit blocks, so every
-(block, value) pair is a shard and no link is missed.  A shard's BK-tree is built where its rows
-land and travels with its shard: the trees of all shards grow with the corpus, so they are never
-broadcast whole.  Children are keyed by their integer Hamming distance to the parent, and a search
-follows only edges within the radius.  A shard over SHARD_LIMIT different fingerprints is not given
-to one task: its members meet at the fingerprints one bit away from them instead, which is exact
-for a radius of 2 and puts at most 65 members in a group.
+Two fingerprints at distance d <= 2 agree on at least two of four bit blocks, so every pair of
+blocks and its value is a shard of 32 equal bits, and no link is missed.  A shard's BK-tree is built
+where its rows land and travels with its shard: the trees of all shards grow with the corpus, so they
+are never broadcast whole.  Children are keyed by their integer Hamming distance to the parent, and a
+search follows only edges within the radius.  A shard of more than SHARD_LIMIT different fingerprints
+is split by the same rule: of three parts of its other bits at least one agrees too, so each part is
+a shard of its own, down to groups that hold at most 512 fingerprints.
 
 The pipeline's stage, deduplicate(), is held to Jaccard similarity 0.8 of 5-word shingles instead.
 Such pairs differ in too many bits for blocks to bring them together, so its shards are keyed by
@@ -26,9 +26,11 @@ from .components import connected_components
 from .minhash import OnePermutation
 
 RADIUS = 2
-#: (shift, width) of the three blocks.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-SHARD_LIMIT = 192
+#: Blocks of 16 bits. Shards of more members than this are split further, or left whole where the stage below checks exactly.
+BLOCKS, SHARD_LIMIT = 4, 1_024
+CROWDED = 192
+#: Least bits outside of a shard's key that are still split: 2**9 fingerprints at most are left together.
+LEAST_FREE = 10
 #: Stands in for the id of fingerprints that only rows without an id have.
 NO_ID = 1 << 62
 
@@ -134,10 +136,10 @@ def _tree_edges(batches):
     shard, members = None, []
     for batch in batches:
         out = []
-        for key, value, item in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if key != shard:
+        for plan, key, value, item in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (plan, key) != shard:
                 out += _shard_links(members, RADIUS)
-                shard, members = key, []
+                shard, members = (plan, key), []
             members.append((value & 0xFFFFFFFFFFFFFFFF, item))
         yield _edge_batch(out)
     yield _edge_batch(list(_shard_links(members, RADIUS)))
@@ -148,19 +150,46 @@ def _edge_batch(pairs):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _thirds(bits: tuple) -> list:
+    """Bit positions in three runs of about equal length."""
+    cut = [len(bits) * i // 3 for i in range(4)]
+    return [bits[i:j] for i, j in zip(cut, cut[1:])]
+
+
+def _mask(bits) -> int:
+    value = sum(1 << b for b in bits)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _keyed(rows: DataFrame, level: int, fixed: list) -> DataFrame:
+    """(plan, shard, fp, rep): each row once for each set of bits in fixed[level], plan its number, shard the row's bits there."""
+    keys = [F.struct(F.lit(i).alias("plan"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("shard")) for i, bits in enumerate(fixed)]
+    if level == 0:
+        return rows.select(F.explode(F.array(*keys)).alias("k"), "fp", "rep").select("k.plan", "k.shard", "fp", "rep")
+    # A row of plan p goes on under the three plans that split p.
+    own = F.slice(F.array(*keys), F.col("plan") * 3 + 1, F.lit(3))
+    return rows.select(F.explode(own).alias("k"), "fp", "rep").select("k.plan", "k.shard", "fp", "rep")
+
+
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """distinct(fp, rep) -> edges(a, b) between representatives; spans every link at distance <= 2."""
-    keys = [(F.lit(i) * (1 << 22)).cast("long") + F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) for i, (shift, width) in enumerate(BLOCKS)]
-    rows = distinct.select(F.explode(F.array(*keys)).alias("shard"), "fp", "rep")
-    sizes = staged(rows.groupBy("shard").agg(F.count("*").alias("members")).where("members > 1"), "shards")
-    sized = staged(rows.join(sizes, "shard"), "sharded")
-    trees = (
-        sized.where(F.col("members") <= SHARD_LIMIT).select("shard", "fp", "rep").repartition("shard").sortWithinPartitions("shard", "rep").mapInArrow(_tree_edges, "a long, b long")
-    )
-    near = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    crowded = sized.where(F.col("members") > SHARD_LIMIT).select("fp", "rep").distinct()
-    meets = crowded.select(F.explode(F.concat(F.array("fp"), near)).alias("at"), "rep").groupBy("at").agg(F.collect_list("rep").alias("reps")).where(F.size("reps") > 1)
-    return trees.union(meets.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).where("a <> b").distinct())
+    width = 64 // BLOCKS
+    blocks = [tuple(range(i * width, (i + 1) * width)) for i in range(BLOCKS)]
+    fixed = [a + b for i, a in enumerate(blocks) for b in blocks[i + 1 :]]
+    rows, level, edges = distinct, 0, None
+    while True:
+        keyed = staged(_keyed(rows, level, fixed), "keyed")
+        sizes = keyed.groupBy("plan", "shard").agg(F.count("*").alias("members")).where("members > 1")
+        sizes = staged(sizes, "shards")
+        splits = 64 - len(fixed[0]) >= LEAST_FREE and sizes.where(F.col("members") > SHARD_LIMIT).limit(1).count() > 0
+        small = keyed.join(sizes.where(F.col("members") <= SHARD_LIMIT) if splits else sizes, ["plan", "shard"]).select("plan", "shard", "fp", "rep")
+        found = small.repartition("plan", "shard").sortWithinPartitions("plan", "shard", "rep").mapInArrow(_tree_edges, "a long, b long")
+        edges = found if edges is None else edges.union(found)
+        if not splits:
+            return edges
+        rows = keyed.join(sizes.where(F.col("members") > SHARD_LIMIT), ["plan", "shard"], "left_semi")
+        fixed = [bits + third for bits in fixed for third in _thirds(tuple(b for b in range(64) if b not in bits))]
+        level += 1
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +317,7 @@ def _shard_candidates(batches):
                 out.append((key, first))
                 continue
             members.append((value & 0xFFFFFFFFFFFFFFFF, key))
-            if len(members) > SHARD_LIMIT:
+            if len(members) > CROWDED:
                 first = members[0][1]
                 out += [(other, first) for _, other in members[1:]]
                 members = []
@@ -352,6 +381,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def op1_simhash(spark, sf_dir):
+    """Fingerprint and component of each document; null and wordless texts have fingerprint zero and link like others."""
     from .common import table
 
     found = near_duplicate_components(table(spark, sf_dir, "documents"))
