@@ -4,12 +4,16 @@ Windows are too many to move, so they are named by content: the anchor of a wind
 the hashes of its 8-word pieces.  Equal windows have equal anchors at equal offsets, and
 neighbouring windows mostly share their anchor, so a run of windows with one anchor is one row.
 
-1. Each partition fills a count-min sketch with its anchors; the sketches are merged, sums capped at
-   two.  A window's estimate is its anchor's, which is never below the window's own count, so a
-   window whose anchor is estimated single is single.  All other windows go on: none is lost.
-2. Runs estimated repeated are grouped by a 128-bit content hash.  A run that occurs twice has only
-   repeated windows.  Where an anchor has differing runs, the single ones are compared window by
-   window, also by 128-bit hash, with one occurrence of each other run of that anchor.
+1. Each partition counts its anchors in a count-min sketch; the sketches are merged by summing.  A
+   window's estimate is that of its anchor, the least of its cells' counts, which is never below the
+   window's own count: a window estimated single is single.  All others go on: none is lost.  The
+   sketch's width follows the text's size, so its load is the same at every size; it is made of
+   blocks that are merged apart.  Up to BROADCAST_BYTES its cells of two or more are broadcast as
+   bits; beyond, the runs of windows meet those cells by a join.
+2. Runs estimated repeated are grouped by a 128-bit content hash of two independent halves.  A run
+   that occurs twice has only repeated windows.  Where an anchor has differing runs, the single ones
+   are compared window by window, also by 128-bit hash, with one occurrence of each other run of that
+   anchor.
 3. The spans found join their documents, which move once.
 """
 
@@ -20,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, staged, table, text_blocks
+from .common import MASK64, mix64, staged, table, text_blocks
 
 WINDOW, PIECE = 35, 8
-#: Count-min sketch: rows, and the bounds of a row's width. The width follows the text's size.
-DEPTH, MIN_WIDTH, MAX_WIDTH = 2, 1 << 18, 1 << 27
-CHUNKS = 64
+#: Count-min sketch: rows, cells of a row in a block, characters of text for each cell of a row (there are about
+#: two cells to an anchor), and the greatest size that is broadcast.
+DEPTH, BLOCK, CHARS_A_CELL = 2, 1 << 18, 36
+BROADCAST_BYTES = 96_000_000
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-SALTS = (0x2545F4914F6CDD1D, 0x632BE59BD9B4E019)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -36,11 +40,37 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+class WordPairs(dict):
+    """The two halves of 128-bit word hashes, by a remembered place in two arrays."""
+
+    LIMIT = 200_000
+
+    def __init__(self):
+        import xxhash
+
+        self.hash = xxhash.xxh3_128_intdigest
+        self.halves = np.zeros((2, 1 << 16), np.uint64)
+
+    def __missing__(self, word):
+        at = self[word] = len(self)
+        if at == self.halves.shape[1]:
+            self.halves = np.concatenate([self.halves, np.zeros_like(self.halves)], axis=1)
+        value = self.hash(word)
+        self.halves[0, at], self.halves[1, at] = value & MASK64, value >> 64
+        return at
+
+    def places(self, words: list) -> np.ndarray:
+        """Places of one text's words, good until the next call."""
+        if len(self) > self.LIMIT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 class Rolling:
-    """128-bit hashes of word ranges from prefix sums of weighted word hashes."""
+    """128-bit hashes of word ranges from prefix sums of weighted word hashes; the halves share nothing."""
 
     def __init__(self):
-        self.words = WordHashes(3)
+        self.words = WordPairs()
         self.size = 0
 
     def _grow(self, n: int) -> None:
@@ -51,14 +81,14 @@ class Rolling:
 
     def load(self, words: list) -> None:
         self._grow(len(words) + 1)
-        self.w = self.words.array(words)
-        self.n = len(self.w)
+        self.at = self.words.places(words)
+        self.n = len(self.at)
         self.sums = [None, None]
 
     def _sums(self, which: int) -> np.ndarray:
         if self.sums[which] is None:
             s = self.sums[which] = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(mix64(self.w ^ np.uint64(SALTS[which])) * self.up[which][: self.n], out=s[1:])
+            np.cumsum(self.words.halves[which][self.at] * self.up[which][: self.n], out=s[1:])
         return self.sums[which]
 
     def ranges(self, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
@@ -85,50 +115,76 @@ class Rolling:
         return mix64(least[first]), first, np.diff(np.append(first, n))
 
 
-def cells(anchors: np.ndarray, width: int) -> list:
-    """The sketch cell of each anchor in each row."""
-    mask = np.uint64(width - 1)
-    return [(mix64(anchors + np.uint64(0x9E3779B97F4A7C15 * (d + 1) & 0xFFFFFFFFFFFFFFFF)) & mask).astype(np.int64) for d in range(DEPTH)]
+def sketch_blocks(chars: int) -> int:
+    """Blocks of the sketch of a corpus of so many characters."""
+    return max(1, -(-chars // (CHARS_A_CELL * BLOCK)))
+
+
+def cells(anchors: np.ndarray, blocks: int) -> list:
+    """The sketch cell of each anchor in each row: all rows of an anchor lie in one block."""
+    block = (mix64(anchors ^ np.uint64(0x243F6A8885A308D3)) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+    mask = np.uint64(BLOCK - 1)
+    salts = [np.uint64(0x9E3779B97F4A7C15 * (d + 1) & MASK64) for d in range(DEPTH)]
+    return [((block * np.uint64(DEPTH) + np.uint64(d)) * np.uint64(BLOCK) + (mix64(anchors + salt) & mask)).astype(np.int64) for d, salt in enumerate(salts)]
+
+
+PARTS = "block int, cells binary, counts binary"
+
+
+def _counted(anchors: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """One partition's sketch: per block the cells that it hit and their counts, up to 255."""
+    hit, n = np.unique(np.concatenate(cells(anchors, blocks)), return_counts=True)
+    n, per = np.minimum(n, 255).astype(np.uint8), DEPTH * BLOCK
+    block = hit // per
+    cuts = np.append(np.nonzero(np.diff(block, prepend=-1))[0], len(hit))
+    local = (hit - block * per).astype(np.uint32)
+    rows = [(int(block[i]), local[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+    return _batch(list(zip(*rows)) or [(), (), ()], [pa.int32(), pa.binary(), pa.binary()], ["block", "cells", "counts"])
+
+
+def _merged(lists: pa.Table, need: int) -> np.ndarray:
+    """Which cells of a block have a merged count of at least need?"""
+    count = np.zeros(DEPTH * BLOCK, np.uint16)
+    for cell, n in zip(lists.column("cells"), lists.column("counts")):
+        at = np.frombuffer(cell.as_buffer(), np.uint32)  # different within one part
+        count[at] = np.minimum(count[at] + np.frombuffer(n.as_buffer(), np.uint8), 255)
+    return count >= need
 
 
 class Bits:
-    """A bit array read by index."""
+    """A merged sketch as a bit array: is each of a value's cells set?"""
 
-    def __init__(self, packed: np.ndarray):
-        self.packed = packed
+    def __init__(self, packed: np.ndarray, blocks: int):
+        self.packed, self.blocks = packed, blocks
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return (self.packed[i >> 3] >> (i & 7).astype(np.uint8)) & 1 > 0
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(len(values), bool)
+        for i in cells(values, self.blocks):
+            out &= (self.packed[i >> 3] >> (i & 7).astype(np.uint8)) & 1 > 0
+        return out
 
 
-def _merge(parts: DataFrame, width: int, need: int) -> np.ndarray:
-    """Packed bits, DEPTH x width: is a cell's merged count at least need? parts(chunk, once, twice)."""
-    per = max(width // CHUNKS, 8)
+def _bits(parts: DataFrame, blocks: int, need: int) -> np.ndarray:
+    """The merged sketch of parts, on the driver; its size is checked before."""
 
     def merge(key, lists):
-        count = np.zeros(per, np.uint8)
-        for name, least in (("once", 1), ("twice", 2)):
-            for data in lists.column(name).to_pylist():
-                at = np.frombuffer(data, np.uint32)
-                count[at] = np.minimum(count[at] + least, 2)  # cells of one partition are distinct within each list
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(count >= need, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
-
-    out = np.zeros(DEPTH * width // 8, np.uint8)
-    for r in parts.groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
-        out[r["chunk"] * per // 8 : (r["chunk"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(_merged(lists, need), bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    per = DEPTH * BLOCK // 8
+    out = np.zeros(per * blocks, np.uint8)
+    for r in parts.groupBy("block").applyInArrow(merge, "block int, bits binary").toLocalIterator():
+        out[r["block"] * per : (r["block"] + 1) * per] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _sparse(cell_rows: list, width: int):
-    """Cells that a partition hit once and twice or more, by chunk, as bytes."""
-    per = max(width // CHUNKS, 8)
-    hit, n = np.unique(np.concatenate([c + d * width for d, c in enumerate(cell_rows)]), return_counts=True)
-    cuts = np.searchsorted(hit, np.arange(0, DEPTH * width + 1, per))
-    for chunk in range(len(cuts) - 1):
-        i, j = cuts[chunk], cuts[chunk + 1]
-        if i < j:
-            local, many = (hit[i:j] - chunk * per).astype(np.uint32), n[i:j] > 1
-            yield chunk, local[~many].tobytes(), local[many].tobytes()
+def _full_cells(parts: DataFrame, need: int) -> DataFrame:
+    """(cell): the cells of parts with a merged count of at least need, as rows."""
+
+    def merge(key, lists):
+        found = np.nonzero(_merged(lists, need))[0] + key[0].as_py() * DEPTH * BLOCK
+        return pa.Table.from_arrays([pa.array(found, pa.int64())], ["cell"])
+
+    return parts.groupBy("block").applyInArrow(merge, "cell long")
 
 
 def _batch(columns: list, kinds: list, names: list):
@@ -153,50 +209,34 @@ def _documents(batches, window: int, piece: int, rolling: "Rolling"):
                     yield batch, row, runs
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, text_hash, start, windows): runs of window starts whose word sequence also starts elsewhere.
 
     docs(doc_id, text_hash, text). Windows never cross rows; repeated rows repeat each other's windows.
     """
     spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    width = MIN_WIDTH
-    while width < MAX_WIDTH and width < chars // 24:
-        width *= 2
+    blocks = sketch_blocks(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    fits = blocks * DEPTH * BLOCK // 8 <= broadcast_bytes
 
     def sketch(batches):
         rolling, held, size = Rolling(), [], 0
-        names, kinds = ["chunk", "once", "twice"], [pa.int32(), pa.binary(), pa.binary()]
-
-        def flush():
-            rows = list(_sparse(cells(np.concatenate(held), width), width))
-            return _batch(list(zip(*rows)), kinds, names)
-
         for _, _, (anchor, _, _) in _documents(batches, window, piece, rolling):
             held.append(anchor)
             size += len(anchor)
-            if size > 4_000_000:
-                yield flush()
+            if size > 2_000_000:
+                yield _counted(np.concatenate(held), blocks)
                 held, size = [], 0
         if held:
-            yield flush()
+            yield _counted(np.concatenate(held), blocks)
 
-    merged = _merge(docs.select("text").mapInArrow(sketch, "chunk int, once binary, twice binary"), width, 2)
-    often = spark.sparkContext.broadcast(merged)
-
-    def estimated(anchor):
-        bits = Bits(often.value)
-        keep = np.ones(len(anchor), bool)
-        for d, c in enumerate(cells(anchor, width)):
-            keep &= bits[c + d * width]
-        return keep
+    counted = docs.select("text").mapInArrow(sketch, PARTS)
 
     def content(rolling, anchor, first, count, which):
         h = rolling.ranges(first, first + count + window - 1, which)
         return mix64(h + anchor * np.uint64(3) + count.astype(np.uint64))
 
     def place(doc_id, text_hash, first):
-        seed = ((doc_id or 0) * 0x9E3779B97F4A7C15 ^ (text_hash & 0xFFFFFFFFFFFFFFFF)) & 0xFFFFFFFFFFFFFFFF
+        seed = ((doc_id or 0) * 0x9E3779B97F4A7C15 ^ (text_hash & MASK64)) & MASK64
         return mix64(np.uint64(seed) + first.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def emit(batches, pick, columns):
@@ -204,7 +244,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
         rolling, held, size = Rolling(), [], 0
         for batch, row, runs in _documents(batches, window, piece, rolling):
             doc_id, text_hash = batch.column("doc_id")[row].as_py(), batch.column("text_hash")[row].as_py()
-            keep = pick(doc_id, text_hash, runs)
+            keep = pick(batch, row, runs)
             if keep.any():
                 out = columns(rolling, doc_id, text_hash, *(x[keep] for x in runs))
                 held.append((doc_id, text_hash, out))
@@ -222,60 +262,83 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) ->
         longs = [np.concatenate(c).astype(np.uint64, copy=False).view(np.int64) for c in zip(*(out for _, _, out in held))]
         return pa.RecordBatch.from_arrays([ids, pa.array(hashes), *map(pa.array, longs)], names=["doc_id", "text_hash", *(f"c{i}" for i in range(len(longs)))])
 
-    def run_rows(batches):
-        def columns(rolling, doc_id, text_hash, anchor, first, count):
-            both = [content(rolling, anchor, first, count, i) for i in (0, 1)]
-            return [anchor, *both, place(doc_id, text_hash, first), first.astype(np.uint64), count.astype(np.uint64)]
-
-        return emit(batches, lambda d, h, runs: estimated(runs[0]), columns)
+    def run_columns(rolling, doc_id, text_hash, anchor, first, count):
+        both = [content(rolling, anchor, first, count, i) for i in (0, 1)]
+        return [anchor, *both, place(doc_id, text_hash, first), first.astype(np.uint64), count.astype(np.uint64)]
 
     fields = "doc_id long, text_hash long, c0 long, c1 long, c2 long, c3 long, c4 long, c5 long"
     named = {"c0": "anchor", "c1": "k1", "c2": "k2", "c3": "place", "c4": "start", "c5": "windows"}
-    runs = staged(docs.mapInArrow(run_rows, fields).withColumnsRenamed(named), "runs")
+    if fits:
+        often = spark.sparkContext.broadcast(_bits(counted, blocks, 2))
 
-    kinds = staged(runs.groupBy("k1", "k2", "anchor").agg(F.count("*").alias("n"), F.min("place").alias("one")), "kinds")
-    mixed = staged(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("anchor"), "mixed")
-    wanted = kinds.join(mixed, "anchor", "left_semi").select("one")
+        def run_rows(batches):
+            repeated = Bits(often.value, blocks)
+            return emit(batches, lambda batch, row, runs: repeated(runs[0]), run_columns)
 
-    # One occurrence of each run to compare window by window, marked in a Bloom filter: a false mark only adds a true occurrence.
-    def marks(batches):
-        held = [np.asarray(b.column(0)).view(np.uint64) for b in batches]
-        if held:
-            rows = list(_sparse(cells(np.concatenate(held), width), width))
-            yield _batch(list(zip(*rows)) or [(), (), ()], [pa.int32(), pa.binary(), pa.binary()], ["chunk", "once", "twice"])
+        runs = docs.mapInArrow(run_rows, fields).withColumnsRenamed(named)
+    else:
+        full = staged(_full_cells(counted, 2), "cells")
 
-    chosen = spark.sparkContext.broadcast(_merge(wanted.mapInArrow(marks, "chunk int, once binary, twice binary"), width, 1))
+        def all_rows(batches):
+            columns = lambda *args: [*run_columns(*args), *cells(args[3], blocks)]
+            return emit(batches, lambda batch, row, runs: np.ones(len(runs[0]), bool), columns)
 
-    def window_rows(batches):
-        def pick(doc_id, text_hash, runs):
-            keep = estimated(runs[0])
-            bits = Bits(chosen.value)
-            for d, c in enumerate(cells(place(doc_id, text_hash, runs[1]), width)):
-                keep &= bits[c + d * width]
-            return keep
+        runs = docs.mapInArrow(all_rows, fields + "".join(f", c{6 + d} long" for d in range(DEPTH)))
+        for d in range(DEPTH):
+            runs = runs.join(full, F.col(f"c{6 + d}") == full["cell"], "left_semi")
+        runs = runs.drop(*(f"c{6 + d}" for d in range(DEPTH))).withColumnsRenamed(named)
+    runs = staged(runs, "runs")
 
-        def columns(rolling, doc_id, text_hash, anchor, first, count):
-            start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            return [rolling.ranges(start, start + window, 0), rolling.ranges(start, start + window, 1), start.astype(np.uint64)]
+    kinds = staged(runs.groupBy("k1", "k2", "anchor").agg(F.count("*").alias("n"), F.min("place").alias("one")), "kinds")
+    mixed = staged(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("anchor"), "mixed")
+    wanted = kinds.join(mixed, "anchor", "left_semi").select("one")
 
-        return emit(batches, pick, columns)
+    def window_columns(rolling, doc_id, text_hash, anchor, first, count):
+        start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return [rolling.ranges(start, start + window, 0), rolling.ranges(start, start + window, 1), start.astype(np.uint64)]
 
+    # One occurrence of each run is compared window by window.
     fields = "doc_id long, text_hash long, c0 long, c1 long, c2 long"
-    windows = staged(docs.mapInArrow(window_rows, fields).withColumnsRenamed({"c0": "w1", "c1": "w2", "c2": "start"}), "windows")
+    if fits:
+        # It is marked in a Bloom filter of the sketch's size: a false mark only adds a true occurrence.
+        def marks(batches):
+            held = [np.asarray(b.column(0)).view(np.uint64) for b in batches]
+            if held:
+                yield _counted(np.concatenate(held), blocks)
+
+        chosen = spark.sparkContext.broadcast(_bits(wanted.mapInArrow(marks, PARTS), blocks, 1))
+
+        def window_rows(batches):
+            repeated, picked = Bits(often.value, blocks), Bits(chosen.value, blocks)
+
+            def pick(batch, row, runs):
+                keep = repeated(runs[0])
+                keep[keep] = picked(place(batch.column("doc_id")[row].as_py(), batch.column("text_hash")[row].as_py(), runs[1][keep]))
+                return keep
+
+            return emit(batches, pick, window_columns)
+
+        windows = docs.mapInArrow(window_rows, fields)
+    else:
+        own = runs.join(wanted, runs["place"] == wanted["one"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
+        own = staged(own.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), "starts")
+        held = docs.join(own, docs["doc_id"].eqNullSafe(own["d"]) & (docs["text_hash"] == own["h"])).select("doc_id", "text_hash", "text", "starts")
+        windows = held.mapInArrow(lambda batches: emit(batches, lambda batch, row, runs: np.isin(runs[1], batch.column("starts")[row].values.to_numpy()), window_columns), fields)
+    windows = staged(windows.withColumnsRenamed({"c0": "w1", "c1": "w2", "c2": "start"}), "windows")
     again = staged(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "again")
     singles = windows.join(again, ["w1", "w2"], "left_semi").select("doc_id", "text_hash", "start", F.lit(1).cast("long").alias("windows"))
     whole = staged(kinds.where("n > 1").select("k1", "k2"), "whole")
     return runs.join(whole, ["k1", "k2"], "left_semi").select("doc_id", "text_hash", "start", "windows").union(singles)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each word that a repeated window covers is removed.
 
     Words are split at ASCII white space; kept words are joined by one space.  A null text has no
     words.  Repeated rows and copies lose all their windows, as each starts elsewhere too.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.coalesce(text_col, F.lit("")).alias("text"))
-    spans = repeated_spans(docs, window, piece).select("doc_id", "text_hash", F.struct("start", "windows").alias("s")).groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("spans"))
+    spans = repeated_spans(docs, window, piece, broadcast_bytes).select("doc_id", "text_hash", F.struct("start", "windows").alias("s")).groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("spans"))
     spans = staged(spans.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), "spans")
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["d"]) & (docs["text_hash"] == spans["h"]), "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.windows").alias("counts"))
 
@@ -299,5 +362,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, id
 
 
 def op5_substring_dedup(spark, sf_dir):
+    """Words, removed words and a digest of the rest for each document; a null or empty text has none of either."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
