@@ -31,7 +31,8 @@ def operators(spark, docs):
         "substring": substring.remove_repeats(docs),
         "pii": pii.find_spans(docs, pii.learn(docs), ["doc_id"]),
         "redact": pii.redact(docs, pii.learn(docs)),
-        "langid": langid.identify(docs, langid.learn_dictionaries(docs)),
+        "langid": langid.identify(docs, langid.learn_dictionaries(docs), names=("l", "s", "r")),
+        "accepted": langid.accepted(docs, langid.learn_dictionaries(docs)),
         "contamination": decontaminate.contamination(docs, items),
         "decontaminate": decontaminate.decontaminate(docs, items),
         "toxicity": toxicity.score(docs, toxicity.fit(quality.labelled_sample(docs, labels, "toxic", 100)), ["doc_id"]),
@@ -49,8 +50,9 @@ def test_odd_rows(spark, odd):
     rows = {name: df.collect() for name, df in found.items()}
     for name in ("simhash", "quality", "minhash", "substring", "pii", "redact", "langid", "toxicity", "bpe"):
         assert len(rows[name]) == len(TEXTS), name
-    for name in ("deduplicate", "redact", "decontaminate"):
+    for name in ("accepted", "deduplicate", "redact", "decontaminate"):
         assert found[name].columns == odd.columns, name
+        assert all(r[c] == "clash" for r in rows[name] for c in CLASHING), name
     ids = lambda name: sorted(r.doc_id for r in rows[name] if r.doc_id is not None)
     assert {r.doc_id: r.component_id for r in rows["simhash"] if r.doc_id in (1, 2, 3, 5)} == {1: 1, 2: 1, 3: 1, 5: 4}
     assert ids("deduplicate").count(6) == 1 and 5 not in ids("deduplicate") and 4 in ids("deduplicate")
@@ -61,7 +63,32 @@ def test_odd_rows(spark, odd):
     assert removed[4].n_removed == removed[4].n_words
     clean = {r.doc_id: r.text for r in rows["redact"]}
     assert clean[9] == "Call [PHONE] or mail [EMAIL]" and clean[1] is None
-    assert all(r.lang_pred == "und" and r.rejected for r in rows["langid"] if r.doc_id in (1, 2, 3))
+    assert all(r.l == "und" and r.s == 0 and r.r and r.lang_pred == "clash" for r in rows["langid"] if r.doc_id in (1, 2, 3))
+    with pytest.raises(ValueError):
+        langid.identify(odd, {})
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ½"), (2, "² ①"), (3, "½ a"), (4, "日本")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, {"en": b" an example ", "fr": b" un exemple "}).collect()}
+    assert got[1] == got[2] == "und" and got[3] in ("en", "fr") and got[4] in ("en", "fr")
+
+
+def test_equal_sizes_go_to_the_first_language_by_name(spark):
+    docs = spark.createDataFrame([(1, "some words of text")], "doc_id long, text string")
+    assert [tuple(r)[2:] for r in langid.identify(docs, {"aa": b" same ", "bb": b" same "}).collect()] == [("aa", 0.5, True)]
+
+
+def test_rows_without_an_id_are_decontaminated(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "before one two three four five six seven eight after"), (None, "clean"), (2, None), (3, "clean too")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontaminate.decontaminate(docs, items).collect()} == {(None, "clean"), (2, None), (3, "clean too")}
+
+
+def test_turns_without_a_conversation_stand_alone(spark):
+    rows = [(None, i, "user", f"t{i}") for i in range(5)] + [(1, 0, "user", "hi")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id or 0, r.n_turns) for r in got) == [(0, 1)] * 5 + [(1, 1)]
 
 
 def test_chat_edges(spark):
@@ -80,7 +107,8 @@ def test_crowded_shard_loses_no_link(spark):
     import random
 
     rnd = random.Random(3)
-    prints = [rnd.getrandbits(42) << 22 | 5 for _ in range(simhash.SHARD_LIMIT + 60)]
+    prints = [rnd.getrandbits(24) << 40 | 5 for _ in range(simhash.SHARD_LIMIT + 60)]
+    prints += [rnd.getrandbits(10) << 20 | 0xABC << 40 for _ in range(600)]  # many differ in ten bits only: split more than once
     prints += [p ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for p in prints[:80]]
     prints = sorted(set(prints))
     signed = [(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)]
@@ -88,6 +116,7 @@ def test_crowded_shard_loses_no_link(spark):
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
     want = brute.components(list(enumerate(prints)))
     assert {i: got.get(i, i) for i in range(len(prints))} == want
+    assert len(set(want.values())) < len(prints)
 
 
 def test_bk_tree_search():

@@ -72,11 +72,14 @@ def format_chats(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
     roles pass the state machine; bad_turn is the position of the first turn that doesn't (null if
     none, and where only the end is wrong).  Invalid conversations are formatted all the same.
     Turns are taken by turn, then role, then text, so ties and repeated rows have a fixed order;
-    a null turn comes first, a null role or text is empty, a null conv_id is a conversation.
+    a null turn comes first, a null role or text is empty. Rows without a conv_id belong to no
+    conversation: each is one of a single turn.  Other columns are not looked at.
     """
     before, after = template.header.split("{role}")
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select("conv_id", turn.alias("t"))
+    chats = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    chats = chats.union(rows.where("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
 
     def step(acc, t):
         state = F.lit("rejected")
@@ -124,12 +127,14 @@ PLANTED = "\\### Assistant: </turn> ok"
 
 
 def op2_chat_format(spark, sf_dir):
+    """What is read back from each formatted conversation; a null text or role is empty, other rows are as format_chats() says."""
     planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
     template = ChatTemplate()
     chats = format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted), template)
-    lines = F.transform(parse_chats(F.col("formatted"), template), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    lines = F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     learnt = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: template.unescaped(s["text"]))
-    read = chats.select("conv_id", "n_turns", F.concat_ws("", lines).alias("read"), F.concat_ws("", learnt).alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+    back = chats.withColumn("back", parse_chats(F.col("formatted"), template))
+    read = back.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.concat_ws("", lines).alias("read"), F.concat_ws("", learnt).alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
     return read.select(
         "conv_id",
         "n_turns",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 WINDOW = 5
 #: Share of an item's windows that a document must hold, in consistent places.
@@ -68,8 +68,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     its own length. Null and empty texts match nothing; repeated rows give one row. On each diagonal a
     window counts where it has no slots, or where its values agree with the diagonal's binding: two
     values of the item may share one of the document, and one value changed in some of its places costs
-    only the windows of those places.
+    only the windows of those places. Other columns of either table are not looked at.
     """
+    return keyed_contamination(docs, items, window, coverage).drop("doc_key").distinct()
+
+
+def keyed_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """contamination() with doc_key, a hash of the document's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     lengths = items.select(F.least(F.size(template_tokens(F.coalesce("text", F.lit("")))), F.lit(window)).alias("n")).where("n > 0").groupBy("n").agg(F.count("*").alias("items")).collect()
@@ -83,7 +88,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
         hits = found if hits is None else hits.union(found)
     if hits is None:
         empty = docs.where("false")
-        return empty.select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("item_id", "long"), ("n_matched", "long"), ("n_windows", "long"), ("coverage", "double"), ("n_slots", "long"), ("reparameterised", "boolean"))])
+        return empty.select("doc_id", "doc_key", *[F.lit(None).cast(t).alias(n) for n, t in (("item_id", "long"), ("n_matched", "long"), ("n_windows", "long"), ("coverage", "double"), ("n_slots", "long"), ("reparameterised", "boolean"))])
     pairs = F.when(F.col("item_slots").isNotNull(), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
     # Windows of one copy lie on one diagonal; slot values are compared within it.
     hits = hits.select("doc_id", "doc_key", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("line"), F.struct(F.col("item_pos").alias("at"), pairs.alias("pairs")).alias("window"))
@@ -99,16 +104,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     )
     share = F.col("n_matched") / F.col("n_windows")
     kept = whole.where(share >= coverage)
-    return kept.select("doc_id", "item_id", "n_matched", F.col("n_windows").cast("long").alias("n_windows"), share.alias("coverage"), "n_slots", "reparameterised").distinct()
+    return kept.select("doc_id", "doc_key", "item_id", "n_matched", F.col("n_windows").cast("long").alias("n_windows"), share.alias("coverage"), "n_slots", "reparameterised")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that hold no benchmark item; rows without an id stay."""
-    held = contamination(docs, items, coverage=coverage).select(F.col("doc_id").alias("_held_id")).distinct()
-    return docs.join(held, docs["doc_id"] == held["_held_id"], "left_anti")
+    """The documents that hold no benchmark item, with docs' own columns. Rows are told by their text, so rows without an id and repeated ones go alike."""
+    key = free_name(docs, "_held_key")
+    held = keyed_contamination(docs, items, coverage=coverage).select(F.col("doc_key").alias(key)).distinct()
+    return docs.join(held, F.xxhash64(docs["text"]) == held[key], "left_anti")
 
 
 def op8_decontaminate(spark, sf_dir):
+    """Documents that hold benchmark items, with the items; null and empty texts hold none."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
