@@ -14,8 +14,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where these have fewer than two languages, every document with a letter stays.
     """
-    found = langid.identify(docs, langid.learn_dictionaries(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    return langid.accepted(docs, langid.learn_dictionaries(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
