@@ -12,12 +12,15 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import re
 import sys
 import unicodedata
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,6 +29,7 @@ from .common import table, text_blocks
 
 #: Of the byte-level alphabet: bytes that stand for themselves; the others follow from code point 256.
 PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
+ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+").split
 
 
 def byte_alphabet() -> list[str]:
@@ -34,86 +38,123 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in PRINTABLE else chr(next(others)) for b in range(256)]
 
 
+class Memo:
+    """Encodings by string in two generations under one byte budget: what is used lives on, the rest goes."""
+
+    #: What an entry takes beside its key and value: a slot of the table and the objects' headers.
+    ENTRY = 130
+
+    def __init__(self, budget: int):
+        self.half, self.held, self.young, self.old = budget // 2, 0, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+        self.held += self.ENTRY + len(key) + len(value)
+        if self.held > self.half:
+            self.old, self.young, self.held = self.young, {}, 0
+
+
 class TrieBPE:
-    """Encoder and decoder of one tokenizer file (BPE, byte-level alphabet, word-end suffix)."""
+    """Encoder and decoder of one tokenizer file (BPE, byte-level alphabet, word-end suffix).
 
-    #: Entries that the two memos, of words and of white-space-separated chunks, may reach before they are emptied.
-    MEMO_LIMIT = 500_000
+    What it holds is bounded: the automaton by the vocabulary, what it remembers by MEMO_BYTES,
+    PAIRS and JUMPS.  Strings of more than MEMO_CHARS characters are encoded and not remembered.
+    """
+
+    #: Bytes that the remembered encodings of words and chunks may take, and the longest remembered one.
+    MEMO_BYTES, MEMO_CHARS = 80_000_000, 64
+    #: Most remembered token pairs, and transitions found by fallback; both are forgotten or left out beyond.
+    PAIRS, JUMPS = 150_000, 200_000
 
     def __init__(self, spec: str):
         import regex
         from tokenizers import Tokenizer
 
-        rules = Tokenizer.from_str(spec)
-        self.normalise, self.presplit = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         spec = json.loads(spec)
-        model = spec["model"]
+        model, special = spec["model"], spec.get("added_tokens", ())
+        # The normaliser and splitter of the file, without its vocabulary.
+        rules = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normalise, self.presplit = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
-        rules = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-        self.rank, self.parts = {}, {}
-        for at, (left, right) in enumerate(rules):
+        size = 1 + max([*vocab.values(), *(t["id"] for t in special)])
+        #: Of a pair of tokens (left << 20 | right) the rank of its rule; of a built token its parts and their rank.
+        self.rank: dict = {}
+        self.left, self.right, self.built = (array("i", [-1]) * size for _ in range(3))
+        for at, merge in enumerate(model["merges"]):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
             a, b, ab = vocab[left], vocab[right], vocab[left + right]
-            if (a, b) not in self.rank:
-                self.rank[a, b] = (at, ab)
-                self.parts.setdefault(ab, (a, b, at))
-        self.of = {v: k for k, v in vocab.items()}
+            if (a << 20 | b) not in self.rank:
+                self.rank[a << 20 | b] = at
+                if self.built[ab] < 0:
+                    self.left[ab], self.right[ab], self.built[ab] = a, b, at
+        strings = [None] * size
+        for token, i in vocab.items():
+            strings[i] = token
+        for t in special:
+            strings[t["id"]] = t["content"]
+        self.strings = pa.array(strings, pa.string())
         alphabet = byte_alphabet()
         self.byte = dict(zip(alphabet, range(256)))
-        self.first = [vocab[c] for c in alphabet]
-        self.last = [vocab[c + self.suffix] for c in alphabet]
-        # Tokens that merges build, by length in symbols: symbol strings to ids.  A final symbol is its byte + 256.
-        self.tokens = {}
-        for token, i in vocab.items():
-            final = bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
-            body = token[: -len(self.suffix)] if final else token
-            if not body or any(c not in self.byte for c in body) or (len(body) > 1 and i not in self.parts):
-                continue
-            key = tuple(self.byte[c] for c in body[:-1]) + (self.byte[body[-1]] + 256 * final,)
-            self.tokens[key] = i
-        self._automaton()
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
-        self.of |= {v: k for k, v in self.special.items()}
-        #: What the file's pre-tokenizer keeps, and what its normaliser counts as white space.
+        self._automaton(vocab)
+        self.special = {t["content"]: t["id"].to_bytes(4, sys.byteorder) for t in special}
+        #: What the file's pre-tokenizer keeps, and text in which Python's character classes agree with it.
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.plain = regex.compile(r"[\x20-\u024F\t\n\r\u2010-\u2027\u20AC]*+").fullmatch
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        #: An id's four bytes, and its string after a space: a text's ids and decoded string are joins of these.
-        self.packed = {i: i.to_bytes(4, sys.byteorder) for i in self.of}
-        self.spaced = {i: " " + t for i, t in self.of.items()}
-        # Of words and of chunks: packed ids, and spaced strings. Neither bytes nor strings cost the garbage collector.
-        self.pair_ok, self.word_ids, self.word_text, self.chunk_ids, self.chunk_text = {}, {}, {}, {}, {}
-
-    def _automaton(self) -> None:
-        """Suffix automaton of the tokens: per state its transitions, its fallback and the tokens that end there, longest first."""
-        steps, ends = [{}], [None]
-        for key, token in self.tokens.items():
-            at = 0
-            for s in key:
-                if s not in steps[at]:
-                    steps[at][s] = len(steps)
-                    steps.append({})
+        self.pair_ok: dict = {}
+        self.word_memo, self.chunk_memo = Memo(self.MEMO_BYTES // 2), Memo(self.MEMO_BYTES // 2)
+
+    def _automaton(self, vocab: dict) -> None:
+        """Suffix automaton of the tokens that merges build: transitions by state << 9 | symbol, per state its
+        fallback and the (token, length) of those that end there, longest first. A final symbol is its byte + 256."""
+        goto, ends, into = {}, [None], [(0, 0)]
+        for token, i in vocab.items():
+            final = bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
+            body = token[: -len(self.suffix)] if final else token
+            if not body or any(c not in self.byte for c in body) or (len(body) > 1 and self.built[i] < 0):
+                continue
+            state = 0
+            for n, c in enumerate(body, 1):
+                symbol = self.byte[c] + 256 * (final and n == len(body))
+                to = goto.get(state << 9 | symbol)
+                if to is None:
+                    to = goto[state << 9 | symbol] = len(ends)
                     ends.append(None)
-                at = steps[at][s]
-            ends[at] = (token, len(key))
-        back, found, queue = [0] * len(steps), [()] * len(steps), [0]
-        for at in queue:
-            for s, to in steps[at].items():
-                f = back[at]
-                while f and s not in steps[f]:
-                    f = back[f]
-                back[to] = steps[f][s] if at and s in steps[f] else 0
-                found[to] = ((ends[to],) if ends[to] else ()) + found[back[to]]
-                queue.append(to)
-        self.steps, self.back, self.found = steps, back, found  # _step adds remembered transitions to steps: only after this loop
+                    into.append((state, symbol))
+                state = to
+            ends[state] = (i, len(body))
+        depth = array("i", [0]) * len(ends)
+        for state in range(1, len(ends)):  # a state comes after the one that leads to it
+            depth[state] = depth[into[state][0]] + 1
+        back, found = array("i", [0]) * len(ends), [()] * len(ends)
+        for state in sorted(range(1, len(ends)), key=depth.__getitem__):
+            before, symbol = into[state]
+            at = back[before]
+            while at and (at << 9 | symbol) not in goto:
+                at = back[at]
+            if before:
+                back[state] = goto.get(at << 9 | symbol, 0)
+            found[state] = ((ends[state],) if ends[state] else ()) + found[back[state]]
+        self.goto, self.back, self.found, self.jumps = goto, back, found, len(goto) + self.JUMPS
 
     def _step(self, state: int, symbol: int) -> int:
-        """Next automaton state; what a fallback finds is remembered as a transition."""
-        at = state
-        while symbol not in self.steps[at] and at:
+        """Next automaton state by fallback; remembered as a transition as long as there is room."""
+        goto, at = self.goto, state
+        while (at << 9 | symbol) not in goto and at:
             at = self.back[at]
-        to = self.steps[state][symbol] = self.steps[at].get(symbol, 0)
+        to = goto.get(at << 9 | symbol, 0)
+        if len(goto) < self.jumps:
+            goto[state << 9 | symbol] = to
         return to
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -121,27 +162,27 @@ class TrieBPE:
         comes before the merge just undone would have run first.  At one rank the leftmost place merges first."""
         limit, limit_left = float("inf"), True
         while True:
-            rule = self.rank.get((a, b))
-            if rule and (rule[0] < limit or (rule[0] == limit and limit_left)):
+            rule = self.rank.get(a << 20 | b, -1)
+            if rule >= 0 and (rule < limit or (rule == limit and limit_left)):
                 return False
-            left, right = self.parts.get(a), self.parts.get(b)
-            if left is None and right is None:
+            left, right = self.built[a], self.built[b]
+            if left < 0 and right < 0:
                 return True
             # The boundary symbols change by the later of the two merges.
-            if right is None or (left is not None and left[2] > right[2]):
-                a, limit, limit_left = left[1], left[2], False
-            elif left is None or right[2] > left[2]:
-                b, limit, limit_left = right[0], right[2], True
+            if left > right:
+                a, limit, limit_left = self.right[a], left, False
             else:
-                b, limit, limit_left = right[0], right[2], True
+                b, limit, limit_left = self.left[b], right, True
 
-    def learn(self, words) -> None:
-        """Put the encodings of distinct words into the memo, by one depth-first walk of their trie.
+    def learn(self, words) -> dict:
+        """{word: packed ids} of distinct words, by one depth-first walk of their trie.
 
         The sorted words are the trie in depth-first order: what a word shares with the one before
         it is the path that stays, and its states are kept; only the new nodes are computed.
         """
-        steps, step, found, pair_ok, packed, spaced = self.steps, self._step, self.found, self.pair_ok, self.packed, self.spaced
+        goto, step, found, pair_ok, out = self.goto, self._step, self.found, self.pair_ok, {}
+        if len(pair_ok) > self.PAIRS:
+            pair_ok.clear()
         final = 256 * bool(self.suffix)
         states, ends, before = [0], [(-1, 0)], b""  # per depth: automaton state; last token and its length
         for data, word in sorted([(w.encode("utf-8"), w) for w in words]):
@@ -153,7 +194,7 @@ class TrieBPE:
             state = states[shared]
             for depth in range(shared + 1, size + 1):
                 symbol = data[depth - 1] + final * (depth == size)
-                to = steps[state].get(symbol)
+                to = goto.get(state << 9 | symbol)
                 state = step(state, symbol) if to is None else to
                 for end in found[state]:
                     left = ends[depth - end[1]][0]
@@ -171,15 +212,15 @@ class TrieBPE:
                     end = (-2, 0)  # only inside a character's bytes: no word ends here
                 states.append(state)
                 ends.append(end)
-            ids, at = [], size
+            ids, at = array("i"), size
             while at > 0:
                 token, length = ends[at]
                 ids.append(token)
                 at -= length
             ids.reverse()
-            self.word_ids[word] = b"".join([packed[i] for i in ids])
-            self.word_text[word] = "".join([spaced[i] for i in ids])
+            out[word] = ids.tobytes()
             before = data
+        return out
 
     def pieces(self, text: str) -> list:
         """The words of a piece of text after normalisation."""
@@ -191,57 +232,64 @@ class TrieBPE:
         return [bytes([byte[c] for c in w]).decode("utf-8") for w, _ in self.presplit(self.normalise(text))]
 
     def chunked(self, text: str) -> list:
-        """Text cut where no word can span: special tokens by their ids, plain text at white space, other text whole."""
+        """Text cut where no word can span: at ASCII white space, and at special tokens, which stay as their packed ids."""
         out: list = []
         for part in self.special_split(text) if self.special_split and "<|" in text else [text]:
             if part in self.special:
                 out.append(self.special[part])
-            elif self.plain(part):
-                out += part.split()
-            elif part:
-                out += [c for line in part.split("\n") for c in (line.split() if self.plain(line) else [line])]
+            else:
+                out += part.split() if self.plain(part) else [c for c in ASCII_SPACE(part) if c]
         return out
 
-    def encode_block(self, texts: list) -> tuple:
-        """(packed ids, decoded string) of each text, as two lists."""
+    def encode_block(self, texts: list) -> list:
+        """Packed ids of each text."""
         split = [self.chunked(t) if t else [] for t in texts]
-        ids, text = self.chunk_ids, self.chunk_text
-        new = set(chain.from_iterable(split))
-        fresh = {c for c in new if c not in ids}  # a set difference would walk the whole memo
-        if len(ids) + len(fresh) > self.MEMO_LIMIT:
-            ids.clear()
-            text.clear()
-            fresh = new
-        pieces = {c: self.pieces(c) for c in fresh if type(c) is str}
-        words = set(chain.from_iterable(pieces.values()))
-        unknown = {w for w in words if w not in self.word_ids}
-        if len(self.word_ids) + len(unknown) > self.MEMO_LIMIT:
-            self.word_ids.clear()
-            self.word_text.clear()
-            unknown = words
-        self.learn(unknown)
-        of_ids, of_text = self.word_ids.__getitem__, self.word_text.__getitem__
-        for c, p in pieces.items():
-            if len(p) == 1:
-                ids[c], text[c] = of_ids(p[0]), of_text(p[0])
+        ids, fresh, pieces, known = {}, [], {}, {}
+        for c in set(chain.from_iterable(split)):
+            packed = c if type(c) is bytes else self.chunk_memo.get(c)
+            if packed is None:
+                fresh.append(c)
             else:
-                ids[c], text[c] = b"".join(map(of_ids, p)), "".join(map(of_text, p))
+                ids[c] = packed
+        unknown = set()
         for c in fresh:
-            if type(c) is int:  # a special token, by its id
-                ids[c], text[c] = self.packed[c], self.spaced[c]
-        return [b"".join(map(ids.__getitem__, chunks)) for chunks in split], ["".join(map(text.__getitem__, chunks))[1:] for chunks in split]
+            pieces[c] = self.pieces(c)
+            for w in pieces[c]:
+                if w not in known and w not in unknown:
+                    packed = self.word_memo.get(w)
+                    if packed is None:
+                        unknown.add(w)
+                    else:
+                        known[w] = packed
+        learnt = self.learn(unknown)
+        for w, packed in learnt.items():
+            if len(w) <= self.MEMO_CHARS:
+                self.word_memo.put(w, packed)
+        known |= learnt
+        for c, words in pieces.items():
+            ids[c] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            if len(c) <= self.MEMO_CHARS:
+                self.chunk_memo.put(c, ids[c])
+        return [b"".join([ids[c] for c in chunks]) for chunks in split]
 
     def encode(self, text: str | None) -> list:
-        return np.frombuffer(self.encode_block([text])[0][0], np.int32).tolist()
+        return np.frombuffer(self.encode_block([text])[0], np.int32).tolist()
+
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """As a decoder-less tokenizer file decodes: the tokens' own strings joined by one space; unknown ids are left out."""
+        flat = ids.values
+        known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.strings)))
+        strings = self.strings.take(pc.if_else(known, flat, pa.scalar(None, pa.int32())))
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pc.fill_null(strings, "")), " ") if not strings.null_count else pa.array([" ".join([t for t in row if t is not None]) for row in pa.ListArray.from_arrays(ids.offsets, strings).to_pylist()], pa.string())
 
     def decode(self, ids: list) -> str:
-        """As a decoder-less tokenizer file decodes: the tokens' own strings joined by one space."""
-        of = self.of
-        return " ".join([of[i] for i in ids if i in of])
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """(doc_id, ids array<int>, decoded, *keep) of whole texts; a null text is empty.
+    """(doc_id, ids array<int>, decoded, *keep) of whole texts; a null or empty text has no ids and decodes to nothing.
+
+    decoded comes from the ids. Rows are independent: repeated rows, null ids and any other column stay as they are.
 
     The tokenizer file is read once on the driver and shipped to the tasks: its size is that of a
     vocabulary, whatever the corpus.
@@ -259,13 +307,13 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in text_blocks(texts):
-                packed, decoded = bpe.encode_block(texts[i:j])
+                packed = bpe.encode_block(texts[i:j])
                 ids = np.frombuffer(b"".join(packed), np.int32)
                 ends = np.cumsum([0] + [len(p) // 4 for p in packed])
                 part = batch.slice(i, j - i)
                 columns = [part.column(c) for c in range(part.num_columns) if c != 1]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(decoded, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, lists, bpe.decode_lists(lists)], names=names)
 
     return picked.mapInArrow(run, schema)
 
@@ -284,6 +332,7 @@ def shared_encoder(spec: str) -> TrieBPE:
 
 
 def op10_bpe(spark, sf_dir, tokenizer_path: str | None = None):
+    """n_tokens and digests of the ids and of what they decode to, for each document; null and empty texts have no ids."""
     if tokenizer_path is None:
         import public_tokenizers
 
