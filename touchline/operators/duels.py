@@ -106,9 +106,12 @@ def event_windows(events: DataFrame, players: DataFrame, p: Preset = TEMPLATE) -
 
 
 def events_near(moments: DataFrame, events: DataFrame, frames: int = 75) -> DataFrame:
-    """run_id, moment, type, n: events by type within some frames of each moment."""
+    """run_id, moment, type, n: events by type within some frames of each moment; rows meet in buckets of that many frames."""
+    bucket = lambda c: F.floor(F.col(c) / frames)
     at = moments.select("run_id", F.col("frame").alias("moment")).distinct()
-    return at.join(events, "run_id").where(F.abs(F.col("frame") - F.col("moment")) <= frames).groupBy("run_id", "moment", "type").agg(F.count("*").alias("n"))
+    at = at.withColumn("bucket", F.explode(F.sequence(bucket("moment") - 1, bucket("moment") + 1)))
+    near = at.join(events.select("run_id", "frame", "type", bucket("frame").alias("bucket")), ["run_id", "bucket"])
+    return near.where(F.abs(F.col("frame") - F.col("moment")) <= frames).groupBy("run_id", "moment", "type").agg(F.count("*").alias("n"))
 
 
 def numbered_events(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.presets import TEMPLATE, Preset
+from ..plans.staging import stored
 
 #: Longest step between two ball observations, and the fastest a ball is believed to move.
 MAX_STEP_SECONDS, MAX_BALL_SPEED = 1.0, 60.0
@@ -41,8 +42,11 @@ def nearest_player(states: DataFrame, players: DataFrame, teams: DataFrame) -> D
     """
     here = players.join(teams, "player_id", "left").select("run_id", "frame", "ord", "player_id", F.coalesce("team", F.lit("unknown")).alias("team"), F.col("x").alias("px"), F.col("y").alias("py")).where("team <> 'referee' AND px IS NOT NULL")
     dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-    best = states.join(here, ["run_id", "frame"]).groupBy("run_id", "frame").agg(F.min_by(F.struct("player_id", "team", F.sqrt(dx * dx + dy * dy).alias("distance")), F.struct(F.sqrt(dx * dx + dy * dy), F.col("ord"))).alias("n"))
-    return states.join(best, ["run_id", "frame"], "left").select(*(states[c] for c in states.columns), F.col("n.player_id").alias("player_id"), F.col("n.team").alias("team"), F.col("n.distance").alias("distance"))
+    d = F.sqrt(dx * dx + dy * dy)
+    found = F.when(F.col("player_id").isNotNull(), F.struct(d, F.col("ord")))
+    own = [c for c in states.columns if c not in ("run_id", "frame")]
+    best = states.join(here, ["run_id", "frame"], "left").groupBy("run_id", "frame").agg(*(F.first(c).alias(c) for c in own), F.min_by(F.struct("player_id", "team", d.alias("distance")), found).alias("n"))
+    return best.select("run_id", "frame", *own, "n.player_id", "n.team", "n.distance")
 
 
 def possession_spans(near: DataFrame, p: Preset = TEMPLATE) -> DataFrame:
@@ -79,35 +83,65 @@ def bridge_passes(spans: DataFrame, states: DataFrame, p: Preset = TEMPLATE) ->
 
 
 def interceptions(passes: DataFrame) -> DataFrame:
-    """One per failed pass between two teams, by its receiver."""
-    lost = passes.where("outcome = 'failed' AND team IN ('team_A', 'team_B') AND receiver_team IN ('team_A', 'team_B')")
+    """One per failed pass that somebody of a team received, by its receiver."""
+    lost = passes.where("outcome = 'failed' AND receiver_id IS NOT NULL AND receiver_team IS NOT NULL")
     return lost.select("run_id", "frame", F.col("receiver_id").alias("player_id"), F.col("receiver_team").alias("team"), F.col("end_x").alias("x"), F.col("end_y").alias("y"))
 
 
 def goal_line_crossings(states: DataFrame, p: Preset = TEMPLATE) -> DataFrame:
-    """Steps in which the ball leaves over a goal line: interpolated frame and y, the side, and whether it is between the posts."""
+    """Steps in which the ball leaves over a goal line from less than 10 m: interpolated frame (half to even) and y, the side, and whether it is between the posts."""
     w = Window.partitionBy("run_id").orderBy("frame")
     steps = states.select("*", *(F.lag(c).over(w).alias(f"p_{c}") for c in ("frame", "x", "y")))
     dt = (F.col("frame") - F.col("p_frame")) / p.fps
     line = F.lit(p.half_length)
-    crossed = steps.where((dt > 0) & (dt <= 1.0) & F.col("speed").between(p.shot_speed, 50.0) & (F.abs("p_x") <= line) & (F.abs("x") > line) & (F.abs("p_x") >= line - 10.0))
+    crossed = steps.where((dt > 0) & (dt <= 1.0) & F.col("speed").between(p.shot_speed, 50.0) & (F.abs("p_x") <= line) & (F.abs("x") > line) & (F.abs("p_x") > line - 10.0) & (F.col("x") * F.col("p_x") > 0))
     part = (line - F.abs("p_x")) / (F.abs("x") - F.abs("p_x"))
     y = F.col("p_y") + part * (F.col("y") - F.col("p_y"))
     return crossed.select(
-        "run_id", F.floor(F.col("p_frame") + part * (F.col("frame") - F.col("p_frame")) + 0.5).cast("long").alias("frame"), F.when(F.col("x") > 0, "right").otherwise("left").alias("goal_side"),
+        "run_id", F.rint(F.col("p_frame") + part * (F.col("frame") - F.col("p_frame"))).cast("long").alias("frame"), F.when(F.col("x") > 0, "right").otherwise("left").alias("goal_side"),
         y.alias("cross_y"), "speed", (F.abs(y) <= p.goal_half_width).alias("is_goal"),
     )
 
 
+def deduplicated(events: DataFrame, gap_seconds: float = 2.0, p: Preset = TEMPLATE) -> DataFrame:
+    """events(run_id, type, frame, confidence, ...) without those that follow a kept one of their type too soon.
+
+    By frame: one more than the gap after the last kept is kept; a nearer one takes its place if its
+    confidence is greater, and then counts as the last kept. Only the run of events that are near one
+    another has to be seen in order, so each chain of such events is folded on its own.
+    """
+    reach, w = int(gap_seconds * p.fps), Window.partitionBy("run_id", "type").orderBy("frame", F.desc("confidence"))
+    own = [c for c in events.columns if c not in ("run_id", "type")]
+    chains = events.withColumn("_new", (F.coalesce(F.col("frame") - F.lag("frame").over(w), F.lit(reach + 1)) > reach).cast("int")).withColumn("_chain", F.sum("_new").over(w))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("frame").alias("_at"), (-F.col("confidence")).alias("_less"), F.struct(*own).alias("_row"))))
+    grouped = chains.groupBy("run_id", "type", "_chain").agg(rows.alias("rows"))
+
+    def step(acc, e):
+        last = F.element_at(acc, -1)
+        far = e["_at"] - last["_at"] > reach
+        better = e["_less"] < last["_less"]
+        return F.when(F.size(acc) == 0, F.array(e)).when(far, F.array_append(acc, e)).when(better, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), e)).otherwise(acc)
+
+    kept = grouped.select("run_id", "type", F.explode(F.aggregate("rows", F.slice("rows", 1, 0), step)).alias("e"))
+    return kept.select("run_id", "type", *(F.col("e._row")[c].alias(c) for c in own)).select(*events.columns)
+
+
+def last_holder(moments: DataFrame, spans: DataFrame) -> DataFrame:
+    """moments(run_id, frame, ...) with player_id and team of the last span that ended by then: one pass over both in order of frames."""
+    own = [c for c in moments.columns if c not in ("run_id", "frame")]
+    ends = spans.select("run_id", F.col("end_frame").alias("frame"), F.struct("player_id", "team").alias("_s"), F.lit(0).alias("_kind"), *(F.lit(None).cast(moments.schema[c].dataType).alias(c) for c in own))
+    asked = moments.select("run_id", "frame", F.lit(None).cast(ends.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_kind"), *own)
+    last = F.last("_s", True).over(Window.partitionBy("run_id").orderBy("frame", "_kind"))
+    return ends.union(asked.select(*ends.columns)).withColumn("_last", last).where("_kind = 1").select("run_id", "frame", *own, F.col("_last.player_id").alias("player_id"), F.col("_last.team").alias("team"))
+
+
 def match_events(ball: DataFrame, players: DataFrame, teams: DataFrame, p: Preset = TEMPLATE) -> DataFrame:
     """All events as rows: run_id, type, frame, match_time, player_id, team, outcome."""
-    states = ball_states(ball, p)
-    spans = possession_spans(nearest_player(states, players, teams), p)
+    states = stored(ball_states(ball, p), "states")
+    spans = stored(possession_spans(nearest_player(states, players, teams), p), "spans")
     passes = bridge_passes(spans, states, p)
     row = lambda df, kind, outcome: df.select("run_id", F.lit(kind).alias("type"), "frame", (F.col("frame") / p.fps).alias("match_time"), "player_id", "team", outcome.cast("string").alias("outcome"))
-    shots = goal_line_crossings(states, p)
-    shooter = shots.join(spans.select("run_id", "player_id", "team", F.col("end_frame").alias("held_to")), "run_id").where("held_to <= frame").groupBy("run_id", "frame", "goal_side", "is_goal").agg(F.max_by(F.struct("player_id", "team"), "held_to").alias("s"))
-    shots = shots.join(shooter, ["run_id", "frame", "goal_side", "is_goal"], "left").select("run_id", "frame", "is_goal", F.col("s.player_id").alias("player_id"), F.col("s.team").alias("team"))
+    shots = last_holder(goal_line_crossings(states, p).select("run_id", "frame", "is_goal"), spans)
     return (
         row(spans.withColumnRenamed("start_frame", "frame"), "possession", F.lit(None))
         .unionByName(row(passes, "pass", F.col("outcome")))

@@ -94,9 +94,9 @@ def number_votes(readings: DataFrame) -> DataFrame:
     readings(track_id, ord, reading, confidence); blank readings and those outside 1 to 99 only count as
     turnout. The confidence is the root of turnout times consensus.
     """
-    weight = F.greatest(F.lit(0), F.least(F.lit(1), F.coalesce("confidence", F.lit(0.0)))).cast("decimal(9,4)")
+    weight = F.greatest(F.lit(0), F.least(F.lit(1), F.coalesce("confidence", F.lit(0.0)))).cast("decimal(18,12)")
     valid = F.col("reading").between(1, 99) & (weight > 0)
-    votes = readings.select("track_id", "ord", F.when(valid, F.col("reading")).alias("number"), F.when(valid, weight).otherwise(F.lit(0)).cast("decimal(9,4)").alias("w"))
+    votes = readings.select("track_id", "ord", F.when(valid, F.col("reading")).alias("number"), F.when(valid, weight).otherwise(F.lit(0)).cast("decimal(18,12)").alias("w"))
     score = votes.groupBy("track_id", "number").agg(F.sum("w").alias("score"), F.count("*").alias("n"), F.min("ord").alias("first"))
     best = F.max_by("number", F.when(F.col("number").isNotNull(), F.struct("score", -F.col("first"))))
     sums = score.groupBy("track_id").agg(best.alias("number"), F.max("score").cast("double").alias("top"), F.sum("score").cast("double").alias("total"), F.sum("n").alias("readings"))
@@ -144,8 +144,16 @@ def speed_percentiles(states: DataFrame) -> DataFrame:
 
 
 def roster(players: DataFrame, teams: DataFrame) -> DataFrame:
-    """player_id, team, frames; players without a team are of team unknown."""
-    return players.groupBy("player_id").agg(F.count("*").alias("frames")).join(teams, "player_id", "left").select("player_id", F.coalesce("team", F.lit("unknown")).alias("team"), "frames")
+    """run_id, player_id, team, jersey_number, role, frames; ids that start with 'unmapped-' are left out.
+
+    Team is the assigned one, else the first that the rows name, else unknown; number and role are the
+    first that are not null, in order of frame and ord. Tables without those columns give null.
+    """
+    own = players.where(~F.col("player_id").startswith("unmapped-"))
+    kinds = {"team": "string", "jersey_number": "int", "role": "string"}
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("frame", "ord"))) if c in players.columns else F.lit(None).cast(kinds[c])
+    rows = own.groupBy("run_id", "player_id").agg(F.count("*").alias("frames"), first("team").alias("_team"), first("jersey_number").alias("jersey_number"), first("role").alias("role"))
+    return rows.join(teams, "player_id", "left").select("run_id", "player_id", F.coalesce("team", "_team", F.lit("unknown")).alias("team"), "jersey_number", "role", "frames")
 
 
 def side_of_teams(players: DataFrame, teams: DataFrame) -> DataFrame:

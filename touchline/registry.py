@@ -29,6 +29,22 @@ def _events(t):
     return E.match_events(t["ball"], t["players"], t["teams"])
 
 
+def _team_rows(t):
+    """Events with the end frames of spans, and tackles."""
+    spans = _spans(t).select("run_id", F.col("start_frame").alias("frame"), F.lit("possession").alias("type"), "end_frame", "team", F.lit(None).cast("string").alias("outcome"))
+    others = _events(t).where("type <> 'possession'").select("run_id", "frame", "type", F.lit(None).cast("long").alias("end_frame"), "team", "outcome")
+    tackles = D.tackles(_spans(t), _passes(t), E.ball_states(t["ball"]), t["players"], t["teams"], **LOOSE)
+    return spans.union(others).union(tackles.select("run_id", "frame", F.lit("tackle"), F.lit(None).cast("long"), "team", F.lit(None).cast("string")))
+
+
+def _scored(t):
+    """Passes and spans with a made-up confidence, for de-duplication."""
+    return _events(t).where("type IN ('possession', 'pass')").select("run_id", "type", "frame", ((F.col("frame") * 37 % 101) / 100.0).alias("confidence"))
+
+
+#: The fixture's bodies never come as near as the presets ask, so these queries are run with wider bounds.
+LOOSE = {"proximity": 30.0, "min_angle": 0.0, "max_gap_seconds": 8.0}
+
 _PLANS = {
     "ball_states": lambda t: E.ball_states(t["ball"]),
     "nearest_player": lambda t: _near(t).select("run_id", "frame", "player_id", "team", "distance"),
@@ -38,7 +54,9 @@ _PLANS = {
     "goal_line_crossings": lambda t: E.goal_line_crossings(E.ball_states(t["ball"])),
     "match_events": _events,
     "player_kinematics": lambda t: S.player_kinematics(t["players"]),
-    "team_stats": lambda t: S.team_stats(_spans(t), _passes(t)),
+    "team_stats": lambda t: S.team_stats(_team_rows(t)),
+    "player_stats": lambda t: S.player_stats(t["players"], _events(t), seconds=(10.0, 400.02)),
+    "shot_dedup": lambda t: E.deduplicated(_scored(t), 4.0).select("run_id", "type", "frame", "confidence"),
     "heatmap": lambda t: S.heatmap(t["players"]),
     "pass_network": lambda t: S.pass_network(_passes(t)),
     "pass_nodes": lambda t: S.pass_nodes(_passes(t)),
@@ -68,7 +86,7 @@ _PLANS |= {
     "attack_directions": lambda t: D.attack_directions(t["players"], t["teams"]),
     "carries": lambda t: D.carries(_spans(t), t["players"], t["teams"]),
     "deflections": lambda t: D.deflections(_spans(t).select("run_id", F.col("end_frame").alias("frame")), E.ball_states(t["ball"])).withColumn("angle", F.round("angle", 3)),
-    "tackles": lambda t: D.tackles(_spans(t), _passes(t), E.ball_states(t["ball"]), t["players"], t["teams"], proximity=30.0, min_angle=0.0, max_gap_seconds=8.0),
+    "tackles": lambda t: D.tackles(_spans(t), _passes(t), E.ball_states(t["ball"]), t["players"], t["teams"], **LOOSE),
     "possession_at_frames": lambda t: D.possession_at_frames(E.ball_states(t["ball"]), _spans(t)),
     "nearest_opponents": lambda t: D.nearest_opponents(_near(t), t["players"], t["teams"]),
     "buildup_starts": lambda t: D.buildup_starts(_crossings(t), E.ball_states(t["ball"])),
@@ -138,10 +156,10 @@ _CTES = {
     FROM sp a JOIN sp b ON a.run_id = b.run_id AND b.span_id = a.span_id + 1 AND a.player_id <> b.player_id
     WHERE b.start_frame - a.end_frame BETWEEN 0 AND {P.pass_transit_seconds * P.fps}
       AND coalesce((SELECT max(speed) FROM st WHERE st.run_id = a.run_id AND st.frame BETWEEN a.end_frame AND b.start_frame), 0) >= {P.pass_speed})""",
-    "ic": "(SELECT run_id, frame, receiver_id AS player_id, receiver_team AS team, end_x AS x, end_y AS y FROM ps WHERE outcome = 'failed' AND team LIKE 'team\\_%' ESCAPE '\\' AND receiver_team LIKE 'team\\_%' ESCAPE '\\')",
-    "gc": f"""(SELECT run_id, CAST(floor(pf + part * (frame - pf) + 0.5) AS BIGINT) AS frame, CASE WHEN x > 0 THEN 'right' ELSE 'left' END AS goal_side, py + part * (y - py) AS cross_y, speed, abs(py + part * (y - py)) <= {P.goal_half_width} AS is_goal
+    "ic": "(SELECT run_id, frame, receiver_id AS player_id, receiver_team AS team, end_x AS x, end_y AS y FROM ps WHERE outcome = 'failed' AND receiver_id IS NOT NULL AND receiver_team IS NOT NULL)",
+    "gc": f"""(SELECT run_id, CAST(round_even(pf + part * (frame - pf), 0) AS BIGINT) AS frame, CASE WHEN x > 0 THEN 'right' ELSE 'left' END AS goal_side, py + part * (y - py) AS cross_y, speed, abs(py + part * (y - py)) <= {P.goal_half_width} AS is_goal
     FROM (SELECT *, ({P.half_length} - abs(px)) / (abs(x) - abs(px)) AS part FROM (SELECT *, lag(frame) OVER w AS pf, lag(x) OVER w AS px, lag(y) OVER w AS py FROM st WINDOW w AS (PARTITION BY run_id ORDER BY frame)))
-    WHERE (frame - pf) / {P.fps} <= 1.0 AND speed BETWEEN {P.shot_speed} AND 50.0 AND abs(px) <= {P.half_length} AND abs(x) > {P.half_length} AND abs(px) >= {P.half_length} - 10.0)""",
+    WHERE (frame - pf) / {P.fps} <= 1.0 AND speed BETWEEN {P.shot_speed} AND 50.0 AND abs(px) <= {P.half_length} AND abs(x) > {P.half_length} AND abs(px) > {P.half_length} - 10.0 AND x * px > 0)""",
     "sh": "(SELECT g.run_id, g.frame, g.is_goal, arg_max(s.player_id, s.end_frame) AS player_id, arg_max(s.team, s.end_frame) AS team FROM gc g LEFT JOIN sp s ON g.run_id = s.run_id AND s.end_frame <= g.frame GROUP BY ALL)",
     "ev": f"""(SELECT run_id, type, frame, frame / {P.fps}::DOUBLE AS match_time, player_id, team, outcome FROM (
       SELECT run_id, 'possession' AS type, start_frame AS frame, player_id, team, NULL AS outcome FROM sp UNION ALL SELECT run_id, 'pass', frame, player_id, team, outcome FROM ps
@@ -155,6 +173,11 @@ _CTES = {
         ELSE degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (a.vx*b.vx + a.vy*b.vy) / (sqrt(a.vx*a.vx + a.vy*a.vy) * sqrt(b.vx*b.vx + b.vy*b.vy)))))) END AS angle
       FROM (SELECT m.run_id, m.frame, arg_max({'vx': s.vx, 'vy': s.vy}, s.frame) FILTER (s.frame <= m.frame) AS a, arg_min({'vx': s.vx, 'vy': s.vy}, s.frame) FILTER (s.frame > m.frame) AS b
         FROM (SELECT DISTINCT run_id, end_frame AS frame FROM sp) m LEFT JOIN st s ON m.run_id = s.run_id AND s.vx IS NOT NULL AND s.frame BETWEEN m.frame - 7 AND m.frame + 7 GROUP BY ALL))""",
+    "tk": f"""(SELECT t.run_id, t.frame, t.player_id, t.team, t.opponent_id, round(df.angle, 1) AS angle FROM (
+          SELECT *, row_number() OVER (PARTITION BY run_id, frame ORDER BY d, ord) AS rk FROM (
+            SELECT a.run_id, a.end_frame AS frame, a.player_id AS opponent_id, b.team, p.player_id, p.ord, {_D} AS d FROM sp a JOIN sp b ON a.run_id = b.run_id AND b.span_id = a.span_id + 1 AND a.team <> b.team AND (b.start_frame - a.end_frame) / {P.fps} <= 8.0
+            JOIN st s ON s.run_id = a.run_id AND s.frame = a.end_frame JOIN players p ON p.run_id = a.run_id AND p.frame = a.end_frame JOIN teams t ON t.player_id = p.player_id AND t.team = b.team AND t.team <> 'referee'
+            WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.run_id = a.run_id AND ps.frame = a.end_frame))) t JOIN df ON t.run_id = df.run_id AND t.frame = df.frame WHERE rk = 1 AND d <= 30.0)""",
     "pk": f"(SELECT *, frame - lag(frame) OVER w AS df, (frame - lag(frame) OVER w) / {P.fps}::DOUBLE AS dt, sqrt((x - lag(x) OVER w)*(x - lag(x) OVER w) + (y - lag(y) OVER w)*(y - lag(y) OVER w)) AS d FROM players WINDOW w AS (PARTITION BY run_id, player_id ORDER BY frame, ord))",
 }
 
@@ -173,17 +196,32 @@ ORACLE_SQL: dict = {
         "interceptions": "SELECT * FROM ic",
         "goal_line_crossings": "SELECT * FROM gc",
         "match_events": "SELECT * FROM ev",
-        "player_kinematics": "SELECT player_id, count(*) AS observed_frames, round(coalesce(sum(d) FILTER (ok), 0), 2) AS distance_m, round(coalesce(max(d / dt) FILTER (ok), 0), 2) AS max_speed_mps, round(coalesce(sum(d) FILTER (ok) / sum(dt) FILTER (ok), 0), 2) AS avg_speed_mps FROM (SELECT *, coalesce(dt > 0 AND dt <= 1.0 AND d / dt <= 12.0, false) AS ok FROM pk) GROUP BY player_id",
-        "team_stats": "SELECT s.team, round(100.0 * s.frames / sum(s.frames) OVER (), 1) AS possession_pct, coalesce(p.n, 0) AS passes, coalesce(p.good, 0) AS successful, round(100.0 * p.good / p.n, 1) AS pass_rate FROM (SELECT team, CAST(sum(greatest(1, end_frame - start_frame + 1)) AS BIGINT) AS frames FROM sp GROUP BY team) s LEFT JOIN (SELECT team, count(*) AS n, count(*) FILTER (outcome = 'successful') AS good FROM ps GROUP BY team) p ON s.team = p.team",
-        "heatmap": "SELECT player_id, CAST(least(floor((x + 52.5::DOUBLE) / 105.0::DOUBLE * 40), 39) AS BIGINT) AS bin_x, CAST(least(floor((y + 34.0::DOUBLE) / 68.0::DOUBLE * 40), 39) AS BIGINT) AS bin_y, count(*) AS n FROM players WHERE abs(x) <= 52.5 AND abs(y) <= 34 GROUP BY ALL",
-        "pass_network": "SELECT player_id, receiver_id, count(*) AS passes FROM ps WHERE outcome = 'successful' GROUP BY ALL HAVING count(*) >= 2",
-        "pass_nodes": "SELECT player_id, count(*) AS touches, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y FROM (SELECT player_id, x, y FROM ps WHERE outcome = 'successful' UNION ALL SELECT receiver_id, end_x, end_y FROM ps WHERE outcome = 'successful') GROUP BY player_id",
+        "player_kinematics": "SELECT run_id, player_id, count(*) AS observed_frames, round(coalesce(sum(d) FILTER (ok), 0), 2) AS distance_m, round(coalesce(max(d / dt) FILTER (ok), 0), 2) AS max_speed_mps, round(coalesce(sum(d) FILTER (ok) / sum(dt) FILTER (ok), 0), 2) AS avg_speed_mps FROM (SELECT *, coalesce(dt > 0 AND dt <= 1.0 AND d / dt <= 12.0, false) AS ok FROM pk) GROUP BY run_id, player_id",
+        "team_stats": """SELECT run_id, team, round(share, 1) AS possession_pct, passes, successful, round(CASE WHEN passes > 0 THEN 100.0 * successful / passes ELSE 0 END, 1) AS pass_rate, shots, goals, tackles, interceptions FROM (
+          SELECT *, 100.0 * frames / sum(frames) OVER (PARTITION BY run_id) AS share FROM (SELECT run_id, team, sum(f) AS frames, count(*) FILTER (type = 'pass') AS passes, count(*) FILTER (type = 'pass' AND outcome <> 'failed') AS successful,
+            count(*) FILTER (type = 'shot') AS shots, count(*) FILTER (type = 'goal') AS goals, count(*) FILTER (type = 'tackle') AS tackles, count(*) FILTER (type = 'interception') AS interceptions
+            FROM (SELECT run_id, team, type, outcome, 0 AS f FROM ev WHERE type <> 'possession' UNION ALL SELECT run_id, team, 'possession', NULL, greatest(1, end_frame - start_frame + 1) FROM sp UNION ALL SELECT run_id, team, 'tackle', NULL, 0 FROM tk) GROUP BY ALL)) WHERE team IS NOT NULL""",
+        "player_stats": """SELECT run_id, player_id, coalesce(observed_frames, 0) AS observed_frames, coalesce(distance_m, 0) AS distance_m, coalesce(max_speed_mps, 0) AS max_speed_mps, coalesce(avg_speed_mps, 0) AS avg_speed_mps,
+          coalesce(touches, 0) AS touches, coalesce(passes, 0) AS passes, coalesce(successful, 0) AS successful, coalesce(shots, 0) AS shots, coalesce(goals, 0) AS goals FROM
+          (SELECT run_id, player_id, count(*) AS observed_frames, round(coalesce(sum(d) FILTER (ok), 0), 2) AS distance_m, round(coalesce(max(d / dt) FILTER (ok), 0), 2) AS max_speed_mps, round(coalesce(sum(d) FILTER (ok) / sum(dt) FILTER (ok), 0), 2) AS avg_speed_mps
+            FROM (SELECT *, coalesce(dt > 0 AND dt <= 1.0 AND d / dt <= 12.0, false) AS ok FROM (SELECT *, (frame - lag(frame) OVER w) / 25.0::DOUBLE AS dt, sqrt((x - lag(x) OVER w)*(x - lag(x) OVER w) + (y - lag(y) OVER w)*(y - lag(y) OVER w)) AS d
+              FROM players WHERE frame BETWEEN 250 AND 10000 WINDOW w AS (PARTITION BY run_id, player_id ORDER BY frame, ord))) GROUP BY run_id, player_id) k
+          FULL JOIN (SELECT run_id, player_id, count(*) FILTER (type IN ('possession', 'pass', 'shot', 'carry')) AS touches, count(*) FILTER (type = 'pass') AS passes, count(*) FILTER (type = 'pass' AND outcome <> 'failed') AS successful,
+            count(*) FILTER (type = 'shot') AS shots, count(*) FILTER (type = 'goal') AS goals FROM ev WHERE player_id IS NOT NULL AND round(frame / 25.0::DOUBLE, 2) BETWEEN 10.0 AND 400.02 GROUP BY ALL) c USING (run_id, player_id)""",
+        "shot_dedup": """SELECT * FROM (WITH RECURSIVE sc AS (SELECT *, row_number() OVER (PARTITION BY run_id, type ORDER BY frame, confidence DESC) AS i FROM (SELECT run_id, type, frame, (frame * 37 % 101) / 100.0::DOUBLE AS confidence FROM ev WHERE type IN ('possession', 'pass'))),
+          go AS (SELECT run_id, type, i, frame AS at, confidence AS c, 1 AS slot FROM sc WHERE i = 1 UNION ALL
+            SELECT s.run_id, s.type, s.i, CASE WHEN s.frame - g.at > 100 OR s.confidence > g.c THEN s.frame ELSE g.at END, CASE WHEN s.frame - g.at > 100 OR s.confidence > g.c THEN s.confidence ELSE g.c END, g.slot + CASE WHEN s.frame - g.at > 100 THEN 1 ELSE 0 END
+            FROM go g JOIN sc s ON g.run_id = s.run_id AND g.type = s.type AND s.i = g.i + 1)
+          SELECT run_id, type, arg_max(at, i) AS frame, arg_max(c, i) AS confidence FROM go GROUP BY run_id, type, slot)""",
+        "heatmap": "SELECT run_id, player_id, CAST(least(floor((x + 52.5::DOUBLE) / 105.0::DOUBLE * 40), 39) AS BIGINT) AS bin_x, CAST(least(floor((y + 34.0::DOUBLE) / 68.0::DOUBLE * 40), 39) AS BIGINT) AS bin_y, count(*) AS n FROM players WHERE abs(x) <= 52.5 AND abs(y) <= 34 GROUP BY ALL",
+        "pass_network": "SELECT run_id, player_id, receiver_id, count(*) AS passes FROM ps WHERE outcome = 'successful' GROUP BY ALL HAVING count(*) >= 2",
+        "pass_nodes": "SELECT run_id, player_id, count(*) AS touches, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y FROM (SELECT run_id, player_id, x, y FROM ps WHERE outcome = 'successful' UNION ALL SELECT run_id, receiver_id, end_x, end_y FROM ps WHERE outcome = 'successful') GROUP BY run_id, player_id",
         "presence_runs": "SELECT run_id, player_id, min(frame) AS start_frame, max(frame) AS end_frame FROM (SELECT *, sum(CASE WHEN df > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, player_id ORDER BY frame) AS part FROM pk) GROUP BY run_id, player_id, part",
-        "off_field": "SELECT player_id, count(*) AS n, avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS outside FROM players GROUP BY player_id HAVING count(*) >= 30 AND avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.1",
-        "track_summary": "SELECT player_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n, round(avg(CASE WHEN abs(x) > 47.5 OR abs(y) > 29.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS edge_share FROM players GROUP BY player_id",
+        "off_field": "SELECT run_id, player_id, count(*) AS n, avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS outside FROM players GROUP BY run_id, player_id HAVING count(*) >= 30 AND avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.1",
+        "track_summary": "SELECT run_id, player_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n, round(avg(CASE WHEN abs(x) > 47.5 OR abs(y) > 29.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS edge_share FROM players GROUP BY run_id, player_id",
         "identity_switches": "SELECT run_id, player_id, frame, d AS jump_m FROM pk WHERE df <= 24 AND d >= 2.0",
-        "event_counts": "SELECT type, count(*) AS n FROM ev GROUP BY type",
-        "list_events": "SELECT run_id, type, frame, round(match_time, 2) AS time, player_id, team, outcome FROM ev WHERE type IN ('pass', 'shot') AND team = 'team_A' AND round(match_time, 2) BETWEEN 10.0 AND 500.0 ORDER BY run_id, frame, type, player_id LIMIT 50",
+        "event_counts": "SELECT run_id, type, count(*) AS n FROM ev GROUP BY run_id, type",
+        "list_events": "SELECT run_id, type, frame, round(match_time, 2) AS time, player_id, team, outcome, count(*) OVER () > 50 AS truncated FROM ev WHERE type IN ('pass', 'shot') AND team = 'team_A' AND round(match_time, 2) BETWEEN 10.0 AND 500.0 ORDER BY run_id, frame, type, player_id LIMIT 50",
         "attack_directions": "SELECT * FROM ad",
         "carries": f"""SELECT run_id, start_frame AS frame, end_frame, player_id, team, round(total, 2) AS distance_m, round(forward, 2) AS forward_m FROM (
           SELECT *, sqrt(dx*dx + dy*dy) AS total, dx * direction AS forward FROM (
@@ -194,11 +232,7 @@ ORACLE_SQL: dict = {
               FROM sp s JOIN players p ON s.run_id = p.run_id AND s.player_id = p.player_id AND p.frame BETWEEN s.end_frame - 5 AND s.end_frame + 5 GROUP BY ALL) b ON s.run_id = b.run_id AND s.span_id = b.span_id
             LEFT JOIN ad ON s.run_id = ad.run_id AND s.team = ad.team WHERE (s.end_frame - s.start_frame) / {P.fps} >= {P.carry_seconds})) WHERE total >= {P.carry_total} OR forward >= {P.carry_forward}""",
         "deflections": "SELECT run_id, frame, round(angle, 3) AS angle FROM df",
-        "tackles": f"""SELECT t.run_id, t.frame, t.player_id, t.team, t.opponent_id, round(df.angle, 1) AS angle FROM (
-          SELECT *, row_number() OVER (PARTITION BY run_id, frame ORDER BY d, ord) AS rk FROM (
-            SELECT a.run_id, a.end_frame AS frame, a.player_id AS opponent_id, b.team, p.player_id, p.ord, {_D} AS d FROM sp a JOIN sp b ON a.run_id = b.run_id AND b.span_id = a.span_id + 1 AND a.team <> b.team AND (b.start_frame - a.end_frame) / {P.fps} <= 8.0
-            JOIN st s ON s.run_id = a.run_id AND s.frame = a.end_frame JOIN players p ON p.run_id = a.run_id AND p.frame = a.end_frame JOIN teams t ON t.player_id = p.player_id AND t.team = b.team AND t.team <> 'referee'
-            WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.run_id = a.run_id AND ps.frame = a.end_frame))) t JOIN df ON t.run_id = df.run_id AND t.frame = df.frame WHERE rk = 1 AND d <= 30.0""",
+        "tackles": "SELECT * FROM tk",
         "possession_at_frames": "SELECT s.run_id, s.frame, arg_max(p.player_id, p.span_id) AS player_id, arg_max(p.team, p.span_id) AS team FROM st s LEFT JOIN sp p ON s.run_id = p.run_id AND s.frame BETWEEN p.start_frame AND p.end_frame GROUP BY ALL",
         "nearest_opponents": f"""SELECT run_id, frame, player_id, opponent_id, rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY run_id, frame ORDER BY distance, ord) AS rank FROM (
           SELECT s.run_id, s.frame, s.player_id, p.player_id AS opponent_id, p.ord, {_D} AS distance FROM (SELECT n.run_id, n.frame, n.player_id, q.x, q.y, tq.team FROM nr n JOIN players q ON n.run_id = q.run_id AND n.frame = q.frame AND n.player_id = q.player_id
@@ -221,11 +255,11 @@ ORACLE_SQL: dict = {
         "projected_ball": "SELECT run_id, frame, round((12.0::DOUBLE*x + 1.5::DOUBLE*y + 960.0) / w, 4) AS px, round((0.5::DOUBLE*x - 9.0::DOUBLE*y + 540.0) / w, 4) AS py, round(x, 4) AS x, round(y, 4) AS y FROM (SELECT *, 0.0005::DOUBLE*x - 0.004::DOUBLE*y + 1.0 AS w FROM ball)",
         "box_steps": "SELECT run_id, player_id, frame, x1 + 30 - x1 AS w, y1 + 80 - y1 AS h, (x1 + (x1 + 30)) / 2 AS foot_x, round(CASE WHEN qx IS NOT NULL THEN wide * high / (4800.0 - wide * high) END, 6) AS overlap FROM (SELECT *, greatest(0.0::DOUBLE, 30 - abs(x1 - qx)) AS wide, greatest(0.0::DOUBLE, 80 - abs(y1 - qy)) AS high FROM (SELECT *, x * 10 AS x1, y * 10 AS y1, lag(x * 10) OVER v AS qx, lag(y * 10) OVER v AS qy FROM players WINDOW v AS (PARTITION BY run_id, player_id ORDER BY frame)))",
         "speed_percentiles": "SELECT run_id, count(*) AS n, " + ", ".join(f"round(quantile_cont(speed, {q / 100}), 6) AS p{q}" for q in (5, 25, 50, 75, 95)) + " FROM st GROUP BY run_id",
-        "roster": "SELECT p.player_id, coalesce(t.team, 'unknown') AS team, p.frames FROM (SELECT player_id, count(*) AS frames FROM players GROUP BY player_id) p LEFT JOIN teams t ON p.player_id = t.player_id",
+        "roster": "SELECT p.run_id, p.player_id, coalesce(t.team, 'unknown') AS team, CAST(NULL AS INT) AS jersey_number, CAST(NULL AS VARCHAR) AS role, p.frames FROM (SELECT run_id, player_id, count(*) AS frames FROM players WHERE NOT starts_with(player_id, 'unmapped-') GROUP BY ALL) p LEFT JOIN teams t ON p.player_id = t.player_id",
         "side_of_teams": "SELECT run_id, team, CASE WHEN row_number() OVER (PARTITION BY run_id ORDER BY mx, team) = 1 THEN 'left' ELSE 'right' END AS side FROM (SELECT p.run_id, t.team, avg(p.x) AS mx FROM players p JOIN teams t ON p.player_id = t.player_id WHERE t.team IN ('team_A', 'team_B') GROUP BY ALL)",
     }.items()
 } | {
-    "number_votes": """WITH v AS (SELECT l_suppkey AS track_id, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_linenumber <> 3 AND l_partkey % 120 BETWEEN 1 AND 99 AND CAST(least(1, l_discount * 10) AS DECIMAL(9,4)) > 0 THEN l_partkey % 120 END AS number, CAST(least(1, l_discount * 10) AS DECIMAL(9,4)) AS w FROM lineitem),
+    "number_votes": """WITH v AS (SELECT l_suppkey AS track_id, l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_linenumber <> 3 AND l_partkey % 120 BETWEEN 1 AND 99 AND CAST(least(1, l_discount * 10) AS DECIMAL(18,12)) > 0 THEN l_partkey % 120 END AS number, CAST(least(1, l_discount * 10) AS DECIMAL(18,12)) AS w FROM lineitem),
       s AS (SELECT track_id, number, sum(CASE WHEN number IS NULL THEN 0 ELSE w END) AS score, count(*) AS n, min(ord) AS first FROM v GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY number IS NULL, score DESC, first) AS rk FROM s)
       SELECT track_id, max(CASE WHEN rk = 1 THEN number END) AS number, round(CASE WHEN sum(score) > 0 THEN sqrt(CAST(max(score) AS DOUBLE) / sum(n) * CAST(max(score) AS DOUBLE) / CAST(sum(score) AS DOUBLE)) ELSE 0 END, 6) AS confidence, CAST(sum(n) AS BIGINT) AS readings FROM r GROUP BY track_id""",

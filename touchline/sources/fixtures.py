@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.staging import stored
+
 #: Frames a run holds; every windowed operator works within a run.
 RUN_FRAMES = 1_500
 
@@ -37,8 +39,17 @@ def duckdb_views() -> str:
     return VIEWS.replace("{D}", "::DOUBLE").replace("{R}", str(RUN_FRAMES))
 
 
+_STORED: dict = {}
+
+
 def match_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """ball(run_id, frame, x, y, confidence), players(run_id, frame, ord, player_id, x, y), teams(player_id, team)."""
-    views = VIEWS.replace("{D}", "D").replace("{R}", str(RUN_FRAMES))
-    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "nation")}
-    return {name: spark.sql("WITH " + views.replace("FROM orders", "FROM {orders}").replace("FROM nation", "FROM {nation}") + f" SELECT * FROM {name}", **tables) for name in ("ball", "players", "teams")}
+    """ball(run_id, frame, x, y, confidence), players(run_id, frame, ord, player_id, x, y), teams(player_id, team).
+
+    Derived once per session and folder, and stored: queries read them as they would a real match's tables.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        views = VIEWS.replace("{D}", "D").replace("{R}", str(RUN_FRAMES)).replace("FROM orders", "FROM {orders}").replace("FROM nation", "FROM {nation}")
+        tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "nation")}
+        _STORED[key] = {name: stored(spark.sql(f"WITH {views} SELECT * FROM {name}", **tables), name) for name in ("ball", "players", "teams")}
+    return _STORED[key]
