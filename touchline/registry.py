@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
+from . import registry_tables as R
 from .functions.text import shirt_number
 from .operators import duels as D
 from .operators import events as E
@@ -209,10 +212,10 @@ ORACLE_SQL: dict = {
           FULL JOIN (SELECT run_id, player_id, count(*) FILTER (type IN ('possession', 'pass', 'shot', 'carry')) AS touches, count(*) FILTER (type = 'pass') AS passes, count(*) FILTER (type = 'pass' AND outcome <> 'failed') AS successful,
             count(*) FILTER (type = 'shot') AS shots, count(*) FILTER (type = 'goal') AS goals FROM ev WHERE player_id IS NOT NULL AND round(frame / 25.0::DOUBLE, 2) BETWEEN 10.0 AND 400.02 GROUP BY ALL) c USING (run_id, player_id)""",
         "shot_dedup": """SELECT * FROM (WITH RECURSIVE sc AS (SELECT *, row_number() OVER (PARTITION BY run_id, type ORDER BY frame, confidence DESC) AS i FROM (SELECT run_id, type, frame, (frame * 37 % 101) / 100.0::DOUBLE AS confidence FROM ev WHERE type IN ('possession', 'pass'))),
-          go AS (SELECT run_id, type, i, frame AS at, confidence AS c, 1 AS slot FROM sc WHERE i = 1 UNION ALL
-            SELECT s.run_id, s.type, s.i, CASE WHEN s.frame - g.at > 100 OR s.confidence > g.c THEN s.frame ELSE g.at END, CASE WHEN s.frame - g.at > 100 OR s.confidence > g.c THEN s.confidence ELSE g.c END, g.slot + CASE WHEN s.frame - g.at > 100 THEN 1 ELSE 0 END
+          go AS (SELECT run_id, type, i, frame AS kept, confidence AS c, 1 AS slot FROM sc WHERE i = 1 UNION ALL
+            SELECT s.run_id, s.type, s.i, CASE WHEN s.frame - g.kept > 100 OR s.confidence > g.c THEN s.frame ELSE g.kept END, CASE WHEN s.frame - g.kept > 100 OR s.confidence > g.c THEN s.confidence ELSE g.c END, g.slot + CASE WHEN s.frame - g.kept > 100 THEN 1 ELSE 0 END
             FROM go g JOIN sc s ON g.run_id = s.run_id AND g.type = s.type AND s.i = g.i + 1)
-          SELECT run_id, type, arg_max(at, i) AS frame, arg_max(c, i) AS confidence FROM go GROUP BY run_id, type, slot)""",
+          SELECT run_id, type, arg_max(kept, i) AS frame, arg_max(c, i) AS confidence FROM go GROUP BY run_id, type, slot)""",
         "heatmap": "SELECT run_id, player_id, CAST(least(floor((x + 52.5::DOUBLE) / 105.0::DOUBLE * 40), 39) AS BIGINT) AS bin_x, CAST(least(floor((y + 34.0::DOUBLE) / 68.0::DOUBLE * 40), 39) AS BIGINT) AS bin_y, count(*) AS n FROM players WHERE abs(x) <= 52.5 AND abs(y) <= 34 GROUP BY ALL",
         "pass_network": "SELECT run_id, player_id, receiver_id, count(*) AS passes FROM ps WHERE outcome = 'successful' GROUP BY ALL HAVING count(*) >= 2",
         "pass_nodes": "SELECT run_id, player_id, count(*) AS touches, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y FROM (SELECT run_id, player_id, x, y FROM ps WHERE outcome = 'successful' UNION ALL SELECT run_id, receiver_id, end_x, end_y FROM ps WHERE outcome = 'successful') GROUP BY run_id, player_id",
@@ -267,3 +270,12 @@ ORACLE_SQL: dict = {
       SELECT * FROM (SELECT a.run_id, a.track_id AS a, b.track_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM c a JOIN c b ON a.run_id = b.run_id AND a.track_id < b.track_id) WHERE cosine >= 0.1""",
     "shirt_numbers": """SELECT event_id, CASE WHEN event_type <> 'error' THEN list_filter(list_transform(regexp_extract_all(lower(concat_ws(' ', event_type, props)), '\\b([0-9]{1,2})\\b', 1), lambda n: CAST(n AS BIGINT)), lambda n: n BETWEEN 1 AND 99)[1] END AS number FROM events""",
 }
+
+# ---- queries over detections, timelines, squads and texts
+_MORE = " ,\n".join(f"{k} AS {v}" for k, v in R.CTES.items())
+for _name, (_plan, _select) in R.ENTRIES.items():
+    QUERIES[_name] = _query(lambda t, plan=_plan: plan(t, sys.modules[__name__]))
+    ORACLE_SQL[_name] = "WITH " + duckdb_views() + ",\n" + ",\n".join(f"{k} AS {v}" for k, v in _CTES.items()) + ",\n" + _MORE + "\n" + _select
+_own, _own_sql = R.own_tables()
+QUERIES |= _own
+ORACLE_SQL |= _own_sql
