@@ -167,4 +167,5 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op4_fingerprints(spark, sf_dir):
+    """Fingerprints of each document and of its edited text, with their likeness; a null text is empty."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))

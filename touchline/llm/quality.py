@@ -68,7 +68,11 @@ class Grams:
 
 
 def fit(sample: DataFrame, width: int = WIDTH) -> dict:
-    """Model of a labelled sample: one weight per hashed feature, and the scaling to probabilities."""
+    """Model of a labelled sample: one weight per hashed feature, and the scaling to probabilities.
+
+    Rows are taken in order of a hash of doc_id, then doc_id and text, so ties and repeats change nothing; a
+    null text is empty. Without rows of both classes the model is constant.
+    """
 
     def run(batches):
         grams = Grams(width)
@@ -76,7 +80,7 @@ def fit(sample: DataFrame, width: int = WIDTH) -> dict:
             rows = [grams(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), batch.column(1)], ["grams", "label"])
 
-    found = sample.select("text", "label").orderBy(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "grams array<int>, label int").toArrow()
+    found = sample.select("text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").mapInArrow(run, "grams array<int>, label int").toArrow()
     labels = np.asarray(found.column("label").to_pylist(), int)
     rows = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in found.column("grams")]
     constant = {"weights": np.zeros(width, np.float32), "bias": 0.0, "scale": (0.0, float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))) if len(labels) else 0.0)}
@@ -127,6 +131,7 @@ def score(docs: DataFrame, model: dict, keys: list, text_col: str = "text") -> D
 
 
 def op3_quality(spark, sf_dir):
+    """Quality of each document by a model of labelled rows that are not held out; null and empty texts score alike."""
     docs = table(spark, sf_dir, "documents")
     held_out = lambda c: F.coalesce(crc_mod(c, 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))

@@ -53,7 +53,7 @@ class SubsequenceKernel:
         self.base = len(self.alphabet) + 1
         self.table = np.zeros((self.base**3, len(landmarks)), np.float32)
         for j, x in enumerate(landmarks):
-            f = self.features(x)
+            f = self.features(x)  # a landmark has no character without a code
             size = sum(v * v for v in f.values()) ** 0.5
             for key, v in f.items():
                 self.table[key, j] = v / size
@@ -100,9 +100,13 @@ class SubsequenceKernel:
                 near = np.nonzero(self.most[keys] @ weight >= least * float(weight @ weight) ** 0.5)[0]
                 if not len(near):
                     continue
-                # Equal subsequences of a unit add up before squaring: its own norm.
-                order = np.argsort(keys[near], axis=1)
-                k, w = np.take_along_axis(keys[near], order, 1), weight[order]
+                # Equal subsequences of a unit add up before squaring: its own norm, over its characters themselves.
+                points = np.array([[ord(c) for c in part[i][1]] for i in near.tolist()], np.int64)
+                own = np.zeros((len(near), len(at)), np.int64)
+                for p in range(at.shape[1]):
+                    own = own << 21 | points[:, at[:, p]]
+                order = np.argsort(own, axis=1)
+                k, w = np.take_along_axis(own, order, 1), weight[order]
                 new = np.ones(k.shape, bool)
                 new[:, 1:] = k[:, 1:] != k[:, :-1]
                 sums = np.add.reduceat(w.ravel(), np.nonzero(new.ravel())[0])
@@ -224,7 +228,11 @@ def distinct_texts(tokens: list, labels: list, probes: int = 4) -> list:
 
 
 def fit(sample: DataFrame) -> dict:
-    """Model of a bounded labelled sample of documents: landmarks, their weights, the scaling to probabilities."""
+    """Model of a bounded labelled sample of documents: landmarks, their weights, the scaling to probabilities.
+
+    Rows are taken in order of a hash of doc_id, then doc_id, then text, so ties and repeats change nothing;
+    a null text is empty. Without rows of both classes the model is constant.
+    """
     rows = sample.select("doc_id", "text", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow().to_pylist()
     tokens = [(r["text"] or "").split() for r in rows]
     labels = [int(r["label"] > 0) for r in rows]
@@ -310,6 +318,7 @@ def score(docs: DataFrame, model: dict, keys: list, text_col: str = "text") -> D
 
 
 def op9_toxicity(spark, sf_dir):
+    """Toxicity of each document by a model of labelled rows that are not held out; null and empty texts score as clean ones."""
     docs = table(spark, sf_dir, "documents")
     held_out = lambda c: F.coalesce(crc_mod(c, 3) == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
