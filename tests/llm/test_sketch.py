@@ -13,7 +13,7 @@ def false_pass(chars):
     """Share of single anchors that a merged sketch of a corpus of so many characters lets through."""
     rnd = np.random.default_rng(1)
     blocks = substring.sketch_blocks(chars)
-    anchors = rnd.integers(0, 1 << 63, chars // 73, dtype=np.uint64)  # as many as sample texts have
+    anchors = rnd.integers(0, 1 << 64, chars // 73, dtype=np.uint64)  # as many as sample texts have, of all 64 bits
     parts = [substring._counted(p, blocks) for p in np.array_split(anchors, 4)]
     bits = np.zeros(blocks * substring.DEPTH * substring.BLOCK // 8, np.uint8)
     per = len(bits) // blocks

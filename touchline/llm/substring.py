@@ -19,6 +19,8 @@ neighbouring windows mostly share their anchor, so a run of windows with one anc
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,36 +43,38 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class WordPairs(dict):
-    """The two halves of 128-bit word hashes, by a remembered place in two arrays."""
+    """The two halves of words' hashes, each of a seed of its own, by a remembered place in two arrays; the second only where asked for."""
 
-    LIMIT = 200_000
+    LIMIT = 300_000
 
-    def __init__(self):
+    def __init__(self, both: bool):
         import xxhash
 
-        self.hash = xxhash.xxh3_128_intdigest
-        self.halves = np.zeros((2, 1 << 16), np.uint64)
+        self.hash, self.both, self.halves = xxhash.xxh3_64_intdigest, both, (array("Q"), array("Q"))
 
     def __missing__(self, word):
         at = self[word] = len(self)
-        if at == self.halves.shape[1]:
-            self.halves = np.concatenate([self.halves, np.zeros_like(self.halves)], axis=1)
-        value = self.hash(word)
-        self.halves[0, at], self.halves[1, at] = value & MASK64, value >> 64
+        self.halves[0].append(self.hash(word, 3))
+        if self.both:
+            self.halves[1].append(self.hash(word, 11))
         return at
 
     def places(self, words: list) -> np.ndarray:
         """Places of one text's words, good until the next call."""
         if len(self) > self.LIMIT:
             self.clear()
+            self.halves = (array("Q"), array("Q"))
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def half(self, which: int, at: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.halves[which], np.uint64)[at]
+
 
 class Rolling:
     """128-bit hashes of word ranges from prefix sums of weighted word hashes; the halves share nothing."""
 
-    def __init__(self):
-        self.words = WordPairs()
+    def __init__(self, both: bool = True):
+        self.words = WordPairs(both)
         self.size = 0
 
     def _grow(self, n: int) -> None:
@@ -88,7 +92,7 @@ class Rolling:
     def _sums(self, which: int) -> np.ndarray:
         if self.sums[which] is None:
             s = self.sums[which] = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(self.words.halves[which][self.at] * self.up[which][: self.n], out=s[1:])
+            np.cumsum(self.words.half(which, self.at) * self.up[which][: self.n], out=s[1:])
         return self.sums[which]
 
     def ranges(self, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
@@ -120,12 +124,14 @@ def sketch_blocks(chars: int) -> int:
     return max(1, -(-chars // (CHARS_A_CELL * BLOCK)))
 
 
-def cells(anchors: np.ndarray, blocks: int) -> list:
-    """The sketch cell of each anchor in each row: all rows of an anchor lie in one block."""
-    block = (mix64(anchors ^ np.uint64(0x243F6A8885A308D3)) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+def cells(values: np.ndarray, blocks: int) -> list:
+    """The sketch cell of each value in each row; values are well mixed. All rows of a value lie in the block that its upper half names."""
+    first = ((values >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) * np.uint64(DEPTH * BLOCK)
     mask = np.uint64(BLOCK - 1)
-    salts = [np.uint64(0x9E3779B97F4A7C15 * (d + 1) & MASK64) for d in range(DEPTH)]
-    return [((block * np.uint64(DEPTH) + np.uint64(d)) * np.uint64(BLOCK) + (mix64(anchors + salt) & mask)).astype(np.int64) for d, salt in enumerate(salts)]
+    out = [(first + (values & mask)).view(np.int64)]
+    for d in range(1, DEPTH):
+        out.append((first + np.uint64(d * BLOCK) + (mix64(values + np.uint64(0x9E3779B97F4A7C15 * d & MASK64)) & mask)).view(np.int64))
+    return out
 
 
 PARTS = "block int, cells binary, counts binary"
@@ -219,7 +225,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, br
     fits = blocks * DEPTH * BLOCK // 8 <= broadcast_bytes
 
     def sketch(batches):
-        rolling, held, size = Rolling(), [], 0
+        rolling, held, size = Rolling(both=False), [], 0
         for _, _, (anchor, _, _) in _documents(batches, window, piece, rolling):
             held.append(anchor)
             size += len(anchor)
@@ -239,27 +245,30 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, br
         seed = ((doc_id or 0) * 0x9E3779B97F4A7C15 ^ (text_hash & MASK64)) & MASK64
         return mix64(np.uint64(seed) + first.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    def emit(batches, pick, columns):
-        """Blocks of result rows; columns(rolling, picked run arrays) gives the long columns after the row's own."""
+    def emit(batches, pick, columns, sieve=None):
+        """Blocks of result rows; columns(rolling, picked run arrays) gives the long columns after the row's own, sieve a mask of rows by the first."""
         rolling, held, size = Rolling(), [], 0
         for batch, row, runs in _documents(batches, window, piece, rolling):
             doc_id, text_hash = batch.column("doc_id")[row].as_py(), batch.column("text_hash")[row].as_py()
-            keep = pick(batch, row, runs)
-            if keep.any():
+            keep = slice(None) if pick is None else pick(batch, row, runs)
+            if pick is None or keep.any():
                 out = columns(rolling, doc_id, text_hash, *(x[keep] for x in runs))
                 held.append((doc_id, text_hash, out))
                 size += len(out[0])
             if size > 100_000:
-                yield gathered(held)
+                yield gathered(held, sieve)
                 held, size = [], 0
         if held:
-            yield gathered(held)
+            yield gathered(held, sieve)
 
-    def gathered(held):
+    def gathered(held, sieve):
         counts = [len(out[0]) for _, _, out in held]
         ids = pa.array([d for d, _, _ in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), counts)))
         hashes = np.repeat(np.array([h for _, h, _ in held], np.int64), counts)
         longs = [np.concatenate(c).astype(np.uint64, copy=False).view(np.int64) for c in zip(*(out for _, _, out in held))]
+        if sieve is not None:
+            kept = sieve(longs[0].view(np.uint64))
+            ids, hashes, longs = ids.filter(pa.array(kept)), hashes[kept], [c[kept] for c in longs]
         return pa.RecordBatch.from_arrays([ids, pa.array(hashes), *map(pa.array, longs)], names=["doc_id", "text_hash", *(f"c{i}" for i in range(len(longs)))])
 
     def run_columns(rolling, doc_id, text_hash, anchor, first, count):
@@ -272,8 +281,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, br
         often = spark.sparkContext.broadcast(_bits(counted, blocks, 2))
 
         def run_rows(batches):
-            repeated = Bits(often.value, blocks)
-            return emit(batches, lambda batch, row, runs: repeated(runs[0]), run_columns)
+            return emit(batches, None, run_columns, Bits(often.value, blocks))
 
         runs = docs.mapInArrow(run_rows, fields).withColumnsRenamed(named)
     else:
@@ -281,7 +289,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, br
 
         def all_rows(batches):
             columns = lambda *args: [*run_columns(*args), *cells(args[3], blocks)]
-            return emit(batches, lambda batch, row, runs: np.ones(len(runs[0]), bool), columns)
+            return emit(batches, None, columns)
 
         runs = docs.mapInArrow(all_rows, fields + "".join(f", c{6 + d} long" for d in range(DEPTH)))
         for d in range(DEPTH):
@@ -309,14 +317,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, br
         chosen = spark.sparkContext.broadcast(_bits(wanted.mapInArrow(marks, PARTS), blocks, 1))
 
         def window_rows(batches):
-            repeated, picked = Bits(often.value, blocks), Bits(chosen.value, blocks)
-
-            def pick(batch, row, runs):
-                keep = repeated(runs[0])
-                keep[keep] = picked(place(batch.column("doc_id")[row].as_py(), batch.column("text_hash")[row].as_py(), runs[1][keep]))
-                return keep
-
-            return emit(batches, pick, window_columns)
+            picked = Bits(chosen.value, blocks)
+            return emit(batches, lambda batch, row, runs: picked(place(batch.column("doc_id")[row].as_py(), batch.column("text_hash")[row].as_py(), runs[1])), window_columns)
 
         windows = docs.mapInArrow(window_rows, fields)
     else:
