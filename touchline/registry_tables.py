@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .engine import detect_events
 from .functions import geometry as G
 from .functions import text as X
 from .operators import detections as B
 from .operators import squads as Q
 from .operators import stats as S
 from .operators import timelines as L
+from .sources import runs as N
+from .streaming.presence import presence_sessions
 
 TOTAL = 15_000  # frames that the shown events are cut at
 
@@ -156,6 +159,11 @@ ENTRIES = {
     "rotations": (lambda t, k: _rotations(t), "SELECT run_id, frame, round(CAST(frame * 7 % 170 - 85 AS DOUBLE), 6) AS pan, round(CAST(frame % 80 + 40 AS DOUBLE), 6) AS tilt, round(CAST(frame * 3 % 60 - 30 AS DOUBLE), 6) AS roll, round(cos(p) * cos(r) - sin(p) * cos(t) * sin(r), 6) AS r0, round(-cos(p) * sin(t), 6) AS r5 FROM (SELECT run_id, frame, radians(frame * 7 % 170 - 85) AS p, radians(frame % 80 + 40) AS t, radians(frame * 3 % 60 - 30) AS r FROM fs)"),
     "focal_lengths": (lambda t, k: _anchors(t).select("run_id", "frame", F.round(G.focal_of(F.col("hfov"), 1920.0), 6).alias("focal"), F.round(G.fov_of(G.focal_of(F.col("hfov"), 1920.0), 1920.0), 6).alias("hfov")), "SELECT run_id, frame, round(1920.0 / (2 * tan(radians(hfov) / 2)), 6) AS focal, round(hfov, 6) AS hfov FROM an"),
     "anchor_quality": (lambda t, k: _calibration(t).select("run_id", "frame", F.round(G.anchor_quality(F.col("inlier_ratio"), F.col("frame") % 15, F.when(F.col("calibrated"), F.col("error")), F.col("inlier_ratio"), F.col("frame") % 9), 6).alias("quality")), "SELECT run_id, frame, round(0.3::DOUBLE * inlier_ratio + 0.25::DOUBLE * least(1.0, (frame % 15) / 12.0::DOUBLE) + 0.2::DOUBLE * CASE WHEN calibrated THEN greatest(0.0, 1.0 - error / 20.0) ELSE 0 END + 0.15::DOUBLE * inlier_ratio + 0.1::DOUBLE * least(1.0, (frame % 9) / 6.0::DOUBLE), 6) AS quality FROM cal"),
+    "detected_events": (lambda t, k: detect_events(t, names=("possession", "pass", "interception", "shot")).select("run_id", "type", "frame", "match_time", "player_id", "team", "outcome"), "SELECT * FROM ev"),
+    "consolidated_tracks": (lambda t, k: N.consolidated(t["players"].select("run_id", "frame", F.col("ord").alias("track_id"), "x"), t["players"].where("ord % 3 <> 1").select(F.col("ord").alias("track_id"), "player_id", F.lit("team_A").alias("team"), F.lit("player").alias("role")).distinct()), "SELECT run_id, frame, ord AS track_id, x, CASE WHEN ord % 3 <> 1 THEN player_id ELSE 'unmapped-' || ord END AS player_id, CASE WHEN ord % 3 <> 1 THEN 'team_A' ELSE 'unknown' END AS team, CASE WHEN ord % 3 <> 1 THEN 'player' ELSE 'other' END AS role FROM players"),
+    "tracking_statistics": (lambda t, k: N.tracking_statistics(t["players"].where("frame % 7 <> 0"), _frames(t)), "SELECT f.run_id, count(DISTINCT p.player_id) AS unique_tracks, count(p.player_id) / CAST(count(DISTINCT f.frame) AS DOUBLE) AS avg_tracks_per_frame FROM fs f LEFT JOIN players p ON f.run_id = p.run_id AND f.frame = p.frame AND p.frame % 7 <> 0 GROUP BY f.run_id"),
+    "exported_boxes": (lambda t, k: N.exported_boxes(_boxes(t).withColumnRenamed("ord", "track_id")), "SELECT run_id, frame + 1 AS frame_id, ord AS track_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, confidence FROM det"),
+    "event_records": (lambda t, k: N.event_records(k._passes(t).select("run_id", "frame", (F.col("frame") / 7).alias("match_time"), F.array(F.col("x") + 0.0013, F.col("y") + 0.0013).alias("start_position"))).select("run_id", "frame", "match_time", F.col("start_position")[0].alias("x"), F.col("start_position")[1].alias("y")), "SELECT run_id, frame, round(frame / 7.0::DOUBLE, 3) AS match_time, round(x + 0.0013::DOUBLE, 2) AS x, round(y + 0.0013::DOUBLE, 2) AS y FROM ps"),
     "clocks": (lambda t, k: _frames(t).select("run_id", "frame", X.clock(F.col("frame") * 4 / 100.0 - 1).alias("clock")), "SELECT run_id, frame, printf('%02d:%05.2f', CAST(floor(s / 60) AS BIGINT), s - floor(s / 60) * 60) AS clock FROM (SELECT *, greatest(0.0::DOUBLE, frame * 4 / 100.0::DOUBLE - 1) AS s FROM fs)"),
     "player_labels": (lambda t, k: _clusters(t).select("run_id", "track_id", X.player_label(F.col("team"), F.when(F.col("ord") % 3 == 0, F.col("number")), F.col("role"), F.col("ord")).alias("label")), "SELECT run_id, track_id, replace(team, 'team_', '') || '-' || CASE WHEN ord % 3 = 0 THEN CAST(number AS VARCHAR) WHEN role = 'goalkeeper' THEN 'GK' ELSE 'unk-' || lpad(CAST(ord AS VARCHAR), 2, '0') END AS label FROM cl"),
     "highlight_titles": (lambda t, k: k._events(t).select("run_id", "type", "frame", X.highlight_title(F.concat_ws("_", "type", "frame", "outcome")).alias("title"), X.safe_name(F.concat("player_id", F.lit("/ "), "type")).alias("file")), "SELECT run_id, type, frame, upper(type[1]) || type[2:] || ' · frame ' || frame || CASE WHEN outcome IS NULL THEN '' ELSE ' · ' || replace(outcome, '_', ' ') END AS title, player_id || '__' || type AS file FROM ev"),
@@ -195,11 +203,22 @@ def own_tables() -> tuple[dict, dict]:
         said = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("it is number "), (F.col("event_id") % 120).cast("string"))).otherwise(F.concat(F.lit('so: {"reading": '), (F.col("event_id") % 120).cast("string"), F.lit(', "crop_confidence": '), (F.col("event_id") % 13 / 10.0).cast("string"), F.lit(', "visible_digits": "d'), F.col("event_type"), F.lit('"}')))
         return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", X.json_reading(said).alias("r"), X.shows_a_back(F.concat(F.when(F.col("event_id") % 2 == 0, "partial: ").otherwise(""), F.substring(F.col("value").cast("string"), 1, 1))).alias("back")).select("event_id", F.col("r.reading").cast("long").alias("reading"), "r.confidence", "r.visible", "back")
 
+    def listed_runs(spark, sf_dir):
+        o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        return N.runs_by_video(o.select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 20).alias("video"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate").cast("date")).alias("started"))).select("video", "place", "run_id")
+
+    def sessions(spark, sf_dir):
+        seen = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("player_id"), "ts")
+        out = presence_sessions(seen, "5 hours")
+        return out.select("player_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), F.date_format("ended", "yyyy-MM-dd HH:mm:ss").alias("ended"), "n")
+
     sql = {
+        "runs_by_video": "SELECT o_custkey % 20 AS video, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) END DESC NULLS LAST, o_orderkey) AS place, o_orderkey AS run_id FROM orders",
+        "presence_sessions": """SELECT user_id AS player_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 5 HOUR THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, part""",
         "gallery_matches": """WITH e AS (SELECT vec_id // 100 AS run_id, vec_id // 5 AS t, vec_id, embedding FROM embeddings), c AS (SELECT run_id, t, list(m ORDER BY pos) AS v FROM (SELECT run_id, t, pos, avg(CAST(embedding[pos] AS DOUBLE)) AS m FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS pos FROM e) GROUP BY ALL) GROUP BY ALL)
           SELECT * FROM (SELECT run_id, query, arg_max(track_id, (s, -track_id)) AS track_id, round(max(s), 6) AS similarity FROM (SELECT e.run_id, e.t AS query, c.t AS track_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.v) AS s FROM e JOIN c ON e.run_id = c.run_id AND e.t <> c.t WHERE e.vec_id % 5 = 0) GROUP BY ALL) WHERE similarity >= 0.05""",
         "best_readings": """SELECT event_id, best.d AS number, best.s AS score FROM (SELECT event_id, list_reduce(list_prepend({'d': NULL::BIGINT, 's': NULL::DOUBLE}, list_transform(list_filter([{'d': d1, 's': (event_id % 10) / 10.0::DOUBLE}, {'d': d2, 's': 0.9::DOUBLE}], lambda r: r.s >= 0.5 AND regexp_full_match(r.d, '[0-9]{1,2}') AND try_cast(r.d AS INT) BETWEEN 1 AND 99), lambda r: {'d': CAST(r.d AS BIGINT), 's': r.s})), lambda x, y: CASE WHEN x.s IS NULL OR y.s > x.s THEN y ELSE x END) AS best
           FROM (SELECT event_id, regexp_replace(props[6:6], '[^0-9]', '', 'g') || CASE event_id % 3 WHEN 0 THEN '5' WHEN 1 THEN '' ELSE '07' END AS d1, regexp_replace(translate(event_type, 'OoQDlIiZzBSsT', '0000111228557'), '[^0-9]', '', 'g') AS d2 FROM events))""",
         "json_readings": """SELECT event_id, CASE WHEN n BETWEEN 1 AND 99 THEN n END AS reading, CASE WHEN NOT n BETWEEN 1 AND 99 THEN 0.0::DOUBLE WHEN event_id % 4 = 0 THEN 0.5 ELSE least(1.0, (event_id % 13) / 10.0::DOUBLE) END AS confidence, CASE WHEN event_id % 4 = 0 THEN 'it is number ' || n ELSE 'd' || event_type END AS visible, regexp_matches(CAST(value AS VARCHAR), '^[0-9]') AS back FROM (SELECT *, event_id % 120 AS n FROM events)""",
     }
-    return {"gallery_matches": gallery, "best_readings": readings, "json_readings": answers}, sql
+    return {"gallery_matches": gallery, "best_readings": readings, "json_readings": answers, "runs_by_video": listed_runs, "presence_sessions": sessions}, sql
