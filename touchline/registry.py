@@ -13,6 +13,7 @@ from .operators import events as E
 from .operators import stats as S
 from .operators import tracks as T
 from .plans.presets import TEMPLATE as P
+from .plans.staging import stored
 from .sources.fixtures import duckdb_views, match_tables
 
 
@@ -33,11 +34,16 @@ def _events(t):
 
 
 def _team_rows(t):
-    """Events with the end frames of spans, and tackles."""
-    spans = _spans(t).select("run_id", F.col("start_frame").alias("frame"), F.lit("possession").alias("type"), "end_frame", "team", F.lit(None).cast("string").alias("outcome"))
-    others = _events(t).where("type <> 'possession'").select("run_id", "frame", "type", F.lit(None).cast("long").alias("end_frame"), "team", "outcome")
-    tackles = D.tackles(_spans(t), _passes(t), E.ball_states(t["ball"]), t["players"], t["teams"], **LOOSE)
-    return spans.union(others).union(tackles.select("run_id", "frame", F.lit("tackle"), F.lit(None).cast("long"), "team", F.lit(None).cast("string")))
+    """Events with the end frames of spans, and tackles; states, spans and passes are computed once."""
+    states = stored(E.ball_states(t["ball"]), "states")
+    spans = stored(E.possession_spans(E.nearest_player(states, t["players"], t["teams"])), "spans")
+    passes = stored(E.bridge_passes(spans, states), "passes")
+    shots = E.last_holder(E.goal_line_crossings(states).select("run_id", "frame", "is_goal"), spans)
+    none = F.lit(None).cast("string")
+    row = lambda df, kind, outcome=none, end=F.lit(None).cast("long"): df.select("run_id", "frame", F.lit(kind).alias("type"), end.alias("end_frame"), "team", outcome.alias("outcome"))
+    found = row(spans.withColumnRenamed("start_frame", "frame"), "possession", end=F.col("end_frame")).union(row(passes, "pass", F.col("outcome"))).union(row(E.interceptions(passes), "interception"))
+    found = found.union(row(shots, "shot")).union(row(shots.where("is_goal"), "goal"))
+    return found.union(row(D.tackles(spans, passes, states, t["players"], t["teams"], **LOOSE), "tackle"))
 
 
 def _scored(t):
@@ -61,7 +67,7 @@ _PLANS = {
     "player_stats": lambda t: S.player_stats(t["players"], _events(t), seconds=(10.0, 400.02)),
     "shot_dedup": lambda t: E.deduplicated(_scored(t), 4.0).select("run_id", "type", "frame", "confidence"),
     "heatmap": lambda t: S.heatmap(t["players"]),
-    "pass_network": lambda t: S.pass_network(_passes(t)),
+    "pass_network": lambda t: S.pass_network(_passes(t), min_passes=1),
     "pass_nodes": lambda t: S.pass_nodes(_passes(t)),
     "presence_runs": lambda t: S.presence_runs(t["players"]),
     "off_field": lambda t: S.off_field(t["players"], margin=-6.0, share=0.1),
@@ -217,7 +223,7 @@ ORACLE_SQL: dict = {
             FROM go g JOIN sc s ON g.run_id = s.run_id AND g.type = s.type AND s.i = g.i + 1)
           SELECT run_id, type, arg_max(kept, i) AS frame, arg_max(c, i) AS confidence FROM go GROUP BY run_id, type, slot)""",
         "heatmap": "SELECT run_id, player_id, CAST(least(floor((x + 52.5::DOUBLE) / 105.0::DOUBLE * 40), 39) AS BIGINT) AS bin_x, CAST(least(floor((y + 34.0::DOUBLE) / 68.0::DOUBLE * 40), 39) AS BIGINT) AS bin_y, count(*) AS n FROM players WHERE abs(x) <= 52.5 AND abs(y) <= 34 GROUP BY ALL",
-        "pass_network": "SELECT run_id, player_id, receiver_id, count(*) AS passes FROM ps WHERE outcome = 'successful' GROUP BY ALL HAVING count(*) >= 2",
+        "pass_network": "SELECT run_id, player_id, receiver_id, count(*) AS passes FROM ps WHERE outcome = 'successful' GROUP BY ALL",
         "pass_nodes": "SELECT run_id, player_id, count(*) AS touches, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y FROM (SELECT run_id, player_id, x, y FROM ps WHERE outcome = 'successful' UNION ALL SELECT run_id, receiver_id, end_x, end_y FROM ps WHERE outcome = 'successful') GROUP BY run_id, player_id",
         "presence_runs": "SELECT run_id, player_id, min(frame) AS start_frame, max(frame) AS end_frame FROM (SELECT *, sum(CASE WHEN df > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, player_id ORDER BY frame) AS part FROM pk) GROUP BY run_id, player_id, part",
         "off_field": "SELECT run_id, player_id, count(*) AS n, avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS outside FROM players GROUP BY run_id, player_id HAVING count(*) >= 30 AND avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.1",
