@@ -67,6 +67,29 @@ def test_pairs_about_the_threshold_and_a_crowded_shard(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_groups_in_blocks(spark, monkeypatch):
+    """A group of candidates that spans several blocks gives the components that it gives as one."""
+    import random
+
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 9)
+    rnd, rows = random.Random(8), []
+    for _ in range(6):
+        words = [f"b{rnd.randrange(10**6)}" for _ in range(90)]
+        for _ in range(25):
+            words[rnd.randrange(90)] = f"own{rnd.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    want, links = kept(rows)
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert len(links) > 150 and {r.doc_id for r in got.collect()} == want
+    texts = spark.createDataFrame([(1, k, "x" * k) for k in range(40)] + [(2, 99, "y")], "component long, key long, text string")
+    pairs = [(r.component, r.pair, r.key) for r in simhash._in_block_pairs(texts).collect()]
+    met = {(a[2], b[2]) for a in pairs for b in pairs if a[:2] == b[:2] and a[2] < b[2]}
+    assert met == {(i, j) for j in range(40) for i in range(j)} and (2, simhash.ONE_BLOCK, 99) in pairs
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 1024)
+    monkeypatch.setattr(simhash, "BLOCK_CHARS", 300)
+    assert simhash._in_block_pairs(texts).where("component = 1").agg({"pair": "max"}).first()[0] > 0
+
+
 def test_a_pair_misses_the_shards_rarely():
     """Recall at the threshold itself: sets of similarity 0.8 share a shard and lie within the radius."""
     make, rnd = simhash.ShingleSet(), np.random.default_rng(2)

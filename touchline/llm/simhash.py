@@ -11,7 +11,7 @@ a shard of its own, down to groups that hold at most 512 fingerprints.
 The pipeline's stage, deduplicate(), is held to Jaccard similarity 0.8 of 5-word shingles instead.
 Such pairs differ in too many bits for blocks to bring them together, so its shards are keyed by
 several least hash values each; their BK-trees are searched with a wide radius, and what they
-propose is checked exactly.
+propose is checked exactly, large groups of candidates in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ BLOCKS, SHARD_LIMIT = 4, 1_024
 CROWDED = 192
 #: Least bits outside of a shard's key that are still split: 2**9 fingerprints at most are left together.
 LEAST_FREE = 10
+#: The exact check's blocks: texts, and code points of their texts, that a block holds on average at most.
+BLOCK_TEXTS, BLOCK_CHARS = 1_024, 16_000_000
+#: The pair number of a group that is one block.
+ONE_BLOCK = -1
 #: Stands in for the id of fingerprints that only rows without an id have.
 NO_ID = 1 << 62
 
@@ -329,34 +333,60 @@ def _exact_components(batches):
     make, group, keys, sets = ShingleSet(), None, [], []
 
     def close():
-        return [(keys[i], keys[j]) for i, j in enumerate(alike_groups(sets)) if i != j]
+        return [(keys[i], keys[j], group[1]) for i, j in enumerate(alike_groups(sets)) if i != j]
+
+    def links(rows):
+        columns = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "pair"])
 
     for batch in batches:
         out = []
-        for at, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if at != group:
+        for at, pair, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (at, pair) != group:
                 out += close()
-                group, keys, sets = at, [], []
+                group, keys, sets = (at, pair), [], []
             keys.append(key)
             sets.append(make(text))
-        yield _edge_batch(out)
-    yield _edge_batch(close())
+        yield links(out)
+    yield links(close())
+
+
+def _in_block_pairs(texts: DataFrame) -> DataFrame:
+    """texts(component, key, text) -> (component, pair, key, text): each group's texts once for each pair of its blocks.
+
+    A group of one block is one pair, ONE_BLOCK. Of n blocks, each two make a pair, so that any two
+    texts meet in a task, and a task holds two blocks whatever the group's size.
+    """
+    size = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("chars") / BLOCK_CHARS), F.lit(1)).cast("long")
+    size = staged(size.select("component", blocks.alias("blocks")), "sizes")
+    dealt = texts.join(size, "component").withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")))
+    # Block i is paired with i + 1 to i + blocks - 1, going round; a block alone with itself.
+    steps = F.sequence(F.least(F.lit(1).cast("long"), F.col("blocks") - 1), F.col("blocks") - 1)
+    others = F.transform(steps, lambda d: F.pmod(F.col("own") + d, F.col("blocks")))
+    pair = F.when(F.col("blocks") == 1, F.lit(ONE_BLOCK).cast("long")).otherwise(F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    return dealt.withColumn("other", F.explode(others)).select("component", pair.alias("pair"), "key", "text")
 
 
 def similar_components(docs: DataFrame) -> tuple:
     """(rows(doc_id, key), links(key, component)) of texts by Jaccard similarity 0.8 of 5-word shingles.
 
     key is a hash of the text, null as empty. links has the keys whose component is another key.
-    Candidates share a shard and lie within WIDE_RADIUS bits; each candidate group then goes to one
-    task with one copy of each text, where similarities are exact.
+    Candidates share a shard and lie within WIDE_RADIUS bits. One copy of each text of a candidate
+    group is then compared exactly: a group in one task, or where it is large, each two of its blocks
+    in a task of their own, whose links are joined afterwards.
     """
     prints = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text").mapInArrow(_set_prints, "doc_id long, key long, fp long, shards array<long>"), "sets")
     members = prints.dropDuplicates(["key"]).select(F.explode("shards").alias("shard"), "key", "fp")
     edges = members.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(_shard_candidates, "a long, b long")
     groups = connected_components(edges)
-    texts = docs.select(text_key().alias("key"), "text").join(groups, F.col("key") == F.col("node")).groupBy("component", "key").agg(F.first("text").alias("text"))
-    links = texts.repartition("component").sortWithinPartitions("component", "key").mapInArrow(_exact_components, "a long, b long")
-    return prints.select("doc_id", "key"), staged(links.select(F.col("a").alias("key"), F.col("b").alias("component")), "alike")
+    texts = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(groups, F.col("key") == F.col("node"))
+    texts = staged(texts.groupBy("component", "key").agg(F.first("text").alias("text")), "candidates")
+    checked = _in_block_pairs(texts).repartition("component", "pair").sortWithinPartitions("component", "pair", "key")
+    links = staged(checked.mapInArrow(_exact_components, "a long, b long, pair long"), "exact")
+    joined = connected_components(links.where(F.col("pair") != ONE_BLOCK).select("a", "b")).where("node <> component")
+    links = links.where(F.col("pair") == ONE_BLOCK).select(F.col("a").alias("key"), F.col("b").alias("component")).union(joined)
+    return prints.select("doc_id", "key"), staged(links, "alike")
 
 
 def text_key():
