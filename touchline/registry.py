@@ -6,6 +6,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from . import registry_shots as N
 from . import registry_tables as R
 from .functions.text import shirt_number
 from .operators import duels as D
@@ -282,6 +283,9 @@ _MORE = " ,\n".join(f"{k} AS {v}" for k, v in R.CTES.items())
 for _name, (_plan, _select) in R.ENTRIES.items():
     QUERIES[_name] = _query(lambda t, plan=_plan: plan(t, sys.modules[__name__]))
     ORACLE_SQL[_name] = "WITH " + duckdb_views() + ",\n" + ",\n".join(f"{k} AS {v}" for k, v in _CTES.items()) + ",\n" + _MORE + "\n" + _select
+for _name, (_plan, _select) in N.ENTRIES.items():
+    QUERIES[_name] = _query(_plan)
+    ORACLE_SQL[_name] = "WITH " + duckdb_views() + ",\n" + ",\n".join(f"{k} AS {v}" for k, v in _CTES.items()) + ",\n" + _MORE + "\n" + _select
 _own, _own_sql = R.own_tables()
 QUERIES |= _own
 ORACLE_SQL |= _own_sql
