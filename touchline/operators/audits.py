@@ -99,3 +99,76 @@ def exemplars(references: DataFrame, crops: DataFrame, n: int) -> DataFrame:
     rows = references.join(best, ["run_id", "track_id"])
     rank = F.row_number().over(Window.partitionBy("run_id", "team").orderBy("place", "track_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("run_id", "team", "place", "track_id", "frame")
+
+
+def zone_quota(tracks: DataFrame, total: int) -> DataFrame:
+    """run_id, track_id, zone, place: at most `total` tracks(run_id, track_id, ord, zone, score) of a run, spread over its zones.
+
+    Each zone gives an equal share of its best first, the zone seen first before the others; what is
+    left is filled in the same order.
+    """
+    run, zone = Window.partitionBy("run_id"), Window.partitionBy("run_id", "zone")
+    zones = F.size(F.collect_set("zone").over(run))
+    rows = tracks.select("run_id", "track_id", "zone", F.row_number().over(zone.orderBy(F.desc("score"), "ord")).alias("rank"), F.min("ord").over(zone).alias("seen"), zones.alias("zones"))
+    late = F.col("rank") > F.greatest(F.lit(1), F.floor(F.lit(total) / F.col("zones")))
+    place = F.row_number().over(run.orderBy(late, "seen", "rank"))
+    return rows.select("run_id", "track_id", "zone", place.alias("place")).where(F.col("place") <= total)
+
+
+def keypoint_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """run_id, frame, expected, found, phantoms, mean_error: of keypoints(run_id, frame, id, x, y) how many were found, how far off, and how many predicted ids don't belong there."""
+    a = truth.select("run_id", "frame", "id", F.struct("x", "y").alias("a"))
+    both = a.join(predicted.select("run_id", "frame", "id", F.struct("x", "y").alias("b")), ["run_id", "frame", "id"], "full")
+    dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
+    return both.groupBy("run_id", "frame").agg(F.count("a").alias("expected"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("found"), F.count_if(F.col("a").isNull()).alias("phantoms"), F.avg(F.sqrt(dx * dx + dy * dy)).alias("mean_error"))
+
+
+def both_passes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Detections of two passes over a run, with the pass each came from as `source`."""
+    return first.withColumn("source", F.lit("pass1")).unionByName(second.withColumn("source", F.lit("pass2")))
+
+
+#: Keys of an event's metadata that its summary shows.
+SUMMARY_KEYS = ("outcome", "receiver_id", "receiver_team", "pass_length", "duration_sec", "shooter_frame", "is_successful")
+
+
+def event_summaries(events: DataFrame, fps: float = 25.0) -> DataFrame:
+    """event_id, type, time_s, frame, player_id, team_id, shown of events with a metadata map: shown has the keys worth showing that are there."""
+    shown = F.map_filter("metadata", lambda k, _: k.isin(*SUMMARY_KEYS))
+    return events.select("run_id", "event_id", "type", F.round(F.col("frame") / fps, 2).alias("time_s"), "frame", "player_id", "team_id", F.coalesce(shown, F.create_map().cast("map<string,string>")).alias("shown"))
+
+
+def movement_patterns(positions: DataFrame, length: float = 105.0, width: float = 68.0, least: int = 40) -> DataFrame:
+    """run_id, track_id, pattern, description of positions(run_id, track_id, x, y): how a track moves over the match, null for a short one.
+
+    Ranges are between the 5th and 95th percentile; positions beyond twice the field are left out.
+    Numbers in the description round half up.
+    """
+    keys, half_l, half_w = ["run_id", "track_id"], length / 2, width / 2
+    sane = (F.abs("x") <= length) & (F.abs("y") <= width)
+    quantiles = lambda c: F.percentile(F.when(sane, F.col(c)), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    rows = positions.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(sane).alias("ok"), quantiles("x").alias("qx"), quantiles("y").alias("qy"))
+    at = lambda c, i: F.element_at(c, i)
+    rows = rows.select(*keys, "n", "ok", at("qx", 2).alias("mx"), at("qy", 2).alias("my"), (at("qx", 3) - at("qx", 1)).alias("rx"), (at("qy", 3) - at("qy", 1)).alias("ry"))
+    mx, my, rx, ry = F.col("mx"), F.col("my"), F.col("rx"), F.col("ry")
+    goal, touch = F.least(F.abs(mx + half_l), F.abs(mx - half_l)), F.least(F.abs(my - half_w), F.abs(my + half_w))
+    inside = (F.abs(mx) <= half_l + 0.5) & (F.abs(my) <= half_w + 0.5)
+    pattern = (
+        F.when((F.col("n") < least) | (F.col("ok") < 3), None)
+        .when(inside & (goal <= 18.0) & (rx / length <= 0.18) & (F.abs(my) <= 6.0), "tight_near_goal")
+        .when(inside & (rx / length >= 0.6) & (ry / width >= 0.55), "covers_whole_pitch")
+        .when(inside & (touch <= 5.0) & (ry <= 12.0) & (rx / length >= 0.35), "touchline_runner")
+        .when(~inside, "off_pitch_lateral")
+        .otherwise("outfield")
+    )
+    side, line = F.when(mx <= 0, "left").otherwise("right"), F.when(my >= 0, "top").otherwise("bottom")
+    # The wording that readers of these lines expect.
+    text = {
+        "tight_near_goal": F.format_string("stays within ~%.1fm of the %s goal line (%.1fm from goal), y_med=%.1fm. This is the goalkeeper pattern.", rx, side, goal, my),
+        "covers_whole_pitch": F.format_string("x-range %.1fm (%.0f%% of pitch length), y-range %.1fm (%.0f%% of pitch width). Only the main referee covers this much area.", rx, rx / length * 100, ry, ry / width * 100),
+        "touchline_runner": F.format_string("stays within %.1fm of the %s touchline (median %.1fm from it), runs %.1fm along it. This is the linesman pattern.", ry, line, touch, rx),
+        "off_pitch_lateral": F.format_string("median position is off the playing area (x=%.1f, y=%.1f). Coach / substitute / staff.", mx, my),
+        "outfield": F.format_string("x-range %.1fm (%.0f%% of length), y-range %.1fm (%.0f%% of width). Normal outfield player movement.", rx, rx / length * 100, ry, ry / width * 100),
+    }
+    said = F.coalesce(*(F.when(F.col("pattern") == k, F.concat(F.lit(f"pattern={k}. {k}: "), v)) for k, v in text.items()))
+    return rows.withColumn("pattern", pattern).select(*keys, "pattern", said.alias("description"))

@@ -99,10 +99,18 @@ def buildup_starts(goals: DataFrame, states: DataFrame, max_seconds: float = 10.
 
 
 def event_windows(events: DataFrame, players: DataFrame, p: Preset = TEMPLATE) -> DataFrame:
-    """run_id, type, frame, player_id, window_start, window_end: half a second around shots and goals, two around other moments, within the run."""
-    reach = F.when(F.col("type").isin("shot", "goal"), int(0.5 * p.fps)).otherwise(int(2.0 * p.fps))
+    """run_id, type, frame, player_id, window_start, window_end: half a second around shots and goals, two around other moments, within the run.
+
+    Events that have a start_frame and an end_frame and are no shots have these as their window.
+    """
+    shot = F.col("type").isin("shot", "goal")
+    reach = F.when(shot, int(0.5 * p.fps)).otherwise(int(2.0 * p.fps))
     ends = players.groupBy("run_id").agg(F.max("frame").alias("last"))
-    return events.join(ends, "run_id", "left").select("run_id", "type", "frame", "player_id", F.greatest(F.lit(0), F.col("frame") - reach).cast("long").alias("window_start"), F.least(F.col("frame") + reach, F.col("last")).cast("long").alias("window_end"))
+    start, end = F.greatest(F.lit(0), F.col("frame") - reach), F.least(F.col("frame") + reach, F.col("last"))
+    if {"start_frame", "end_frame"} <= set(events.columns):
+        whole = ~shot & F.col("start_frame").isNotNull() & F.col("end_frame").isNotNull()
+        start, end = F.when(whole, F.col("start_frame")).otherwise(start), F.when(whole, F.col("end_frame")).otherwise(end)
+    return events.join(ends, "run_id", "left").select("run_id", "type", "frame", "player_id", start.cast("long").alias("window_start"), end.cast("long").alias("window_end"))
 
 
 def events_near(moments: DataFrame, events: DataFrame, frames: int = 75) -> DataFrame:
