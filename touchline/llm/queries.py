@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, minhash, pii, quality, simhash, substring, toxicity
+from . import bpe, chat, decontaminate, divergence, langid, minhash, pii, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
+    "op11_divergence": divergence.op11_divergence,
 }
 
-ORACLE_SQL = {"op2_chat_format": chat.OP2_SQL, "op8_decontaminate": decontaminate.op8_sql()}
+ORACLE_SQL = {"op2_chat_format": chat.OP2_SQL, "op8_decontaminate": decontaminate.op8_sql(), "op11_divergence": divergence.OP11_SQL}
