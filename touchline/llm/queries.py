@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, divergence, langid, minhash, pii, quality, simhash, substring, toxicity
+from . import bpe, chat, decontaminate, divergence, langid, minhash, pii, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe": bpe.op10_bpe,
     "op11_divergence": divergence.op11_divergence,
+    "op12_warc": warc.op12_warc,
 }
 
-ORACLE_SQL = {"op2_chat_format": chat.OP2_SQL, "op8_decontaminate": decontaminate.op8_sql(), "op11_divergence": divergence.OP11_SQL}
+ORACLE_SQL = {"op2_chat_format": chat.OP2_SQL, "op8_decontaminate": decontaminate.op8_sql(), "op11_divergence": divergence.OP11_SQL, "op12_warc": warc.OP12_SQL}
