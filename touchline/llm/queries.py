@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, divergence, langid, minhash, pii, quality, simhash, substring, toxicity, warc
+from . import bpe, chat, decontaminate, divergence, langid, minhash, pii, quality, simhash, substring, toxicity, trie, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_divergence": divergence.op11_divergence,
     "op12_warc": warc.op12_warc,
+    "op13_trie": trie.op13_trie,
 }
 
-ORACLE_SQL = {"op2_chat_format": chat.OP2_SQL, "op8_decontaminate": decontaminate.op8_sql(), "op11_divergence": divergence.OP11_SQL, "op12_warc": warc.OP12_SQL}
+ORACLE_SQL = {"op2_chat_format": chat.OP2_SQL, "op8_decontaminate": decontaminate.op8_sql(), "op11_divergence": divergence.OP11_SQL, "op12_warc": warc.OP12_SQL, "op13_trie": trie.OP13_SQL}
