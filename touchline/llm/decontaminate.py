@@ -7,7 +7,7 @@ the item must stand for one value of the document, as in a question asked again
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, table
@@ -54,13 +54,6 @@ def template_windows(rows: DataFrame, size: int, keys: list) -> DataFrame:
     return split.select(*keys, (F.size("_c") - size + 1).alias("n"), F.explode(F.transform(starts, window)).alias("w")).select(*keys, "n", "w.*")
 
 
-def _binding(pairs: Column) -> Column:
-    """The pairs (a, b) in which b is the most frequent value for a; ties go to b equal to a, then to the greatest b."""
-    ranked = F.transform(F.array_distinct(pairs), lambda p: F.struct(p.alias("pair"), F.struct(F.size(F.filter(pairs, lambda q: q == p)), p["a"] == p["b"], p["b"]).alias("rank")))
-    best = F.filter(ranked, lambda c: ~F.exists(ranked, lambda d: (d["pair"]["a"] == c["pair"]["a"]) & (d["rank"] > c["rank"])))
-    return F.transform(best, lambda c: c["pair"])
-
-
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, coverage, n_slots, reparameterised: a row per document and item it holds.
 
@@ -90,17 +83,19 @@ def keyed_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         empty = docs.where("false")
         return empty.select("doc_id", "doc_key", *[F.lit(None).cast(t).alias(n) for n, t in (("item_id", "long"), ("n_matched", "long"), ("n_windows", "long"), ("coverage", "double"), ("n_slots", "long"), ("reparameterised", "boolean"))])
     pairs = F.when(F.col("item_slots").isNotNull(), F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
-    # Windows of one copy lie on one diagonal; slot values are compared within it.
-    hits = hits.select("doc_id", "doc_key", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("line"), F.struct(F.col("item_pos").alias("at"), pairs.alias("pairs")).alias("window"))
-    lines = hits.groupBy("doc_id", "doc_key", "item_id", "n_windows", "line").agg(F.collect_set("window").alias("windows"))
-    lines = lines.withColumn("binding", _binding(F.flatten(F.filter(F.col("windows.pairs"), lambda p: p.isNotNull()))))
-    fits = F.filter("windows", lambda w: w["pairs"].isNull() | F.forall(w["pairs"], lambda p: F.array_contains(F.col("binding"), p)))
-    lines = lines.select("doc_id", "doc_key", "item_id", "n_windows", fits.alias("windows")).where(F.size("windows") > 0)
-    lines = lines.withColumns({"at": F.col("windows.at"), "pairs": F.array_distinct(F.flatten(F.filter(F.col("windows.pairs"), lambda p: p.isNotNull())))})
-    whole = lines.groupBy("doc_id", "doc_key", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("pairs")))).cast("long").alias("n_slots"),
-        F.max(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("reparameterised"),
+    # Windows of one copy lie on one diagonal, a row for each of their slots or one without any; a diagonal is as long as an item at most.
+    line = ["doc_id", "doc_key", "item_id", "line"]
+    slots = hits.select("doc_id", "doc_key", "item_id", "n_windows", (F.col("pos") - F.col("item_pos")).alias("line"), F.col("item_pos").alias("at"), F.explode_outer(pairs).alias("p"))
+    slots = slots.repartition(*line).select(*line, "n_windows", "at", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    # A value of the item is bound to the most frequent of the document; ties go to its like, then to the greatest.
+    votes = slots.withColumn("n", F.count("*").over(Window.partitionBy(*line, "a", "b")))
+    bound = votes.withColumn("best", F.max(F.struct("n", F.col("a") == F.col("b"), F.col("b").alias("b"))).over(Window.partitionBy(*line, "a"))["b"])
+    off = F.max(F.col("a").isNotNull() & (F.col("b") != F.col("best"))).over(Window.partitionBy(*line, "at"))
+    fits = bound.withColumn("off", off).where("NOT off")
+    whole = fits.groupBy("doc_id", "doc_key", "item_id", "n_windows").agg(
+        F.countDistinct("at").alias("n_matched"),
+        F.countDistinct(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("n_slots"),
+        F.coalesce(F.max(F.col("a") != F.col("b")), F.lit(False)).alias("reparameterised"),
     )
     share = F.col("n_matched") / F.col("n_windows")
     kept = whole.where(share >= coverage)
@@ -136,17 +131,12 @@ win AS (SELECT is_doc, id, k, len(t) - {WINDOW} + 1 AS n, pos, array_to_string(c
    list_filter(t[pos + 1 : pos + {WINDOW}], lambda x: starts_with(x, chr(1))) AS slots FROM shape),
 hits AS (SELECT d.id AS doc_id, d.k, i.id AS item_id, i.n AS n_windows, i.pos AS item_pos, d.pos - i.pos AS line, i.slots AS a, d.slots AS b
    FROM win d JOIN win i ON d.w = i.w WHERE d.is_doc AND NOT i.is_doc),
-pairs AS (SELECT DISTINCT doc_id, k, item_id, line, x.a AS a, x.b AS b FROM (SELECT doc_id, k, item_id, line, unnest(list_transform(range(1, len(a) + 1), lambda j: {{'a': a[j], 'b': b[j]}})) AS x FROM hits)),
-ok AS (SELECT doc_id, k, item_id, line, count(*) AS n, bool_or(a <> b) AS differ FROM pairs GROUP BY ALL
-   HAVING count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b)),
-lines AS (SELECT DISTINCT h.doc_id, h.k, h.item_id, h.n_windows, h.line, h.item_pos, coalesce(o.differ, false) AS differ FROM hits h
-   LEFT JOIN ok o ON h.doc_id IS NOT DISTINCT FROM o.doc_id AND h.k = o.k AND h.item_id = o.item_id AND h.line = o.line
-   LEFT JOIN (SELECT DISTINCT doc_id, k, item_id, line FROM pairs) p ON h.doc_id IS NOT DISTINCT FROM p.doc_id AND h.k = p.k AND h.item_id = p.item_id AND h.line = p.line
-   WHERE p.line IS NULL OR o.line IS NOT NULL),
-slots AS (SELECT p.doc_id, p.k, p.item_id, count(DISTINCT (p.a, p.b)) AS n FROM pairs p JOIN ok o ON p.doc_id IS NOT DISTINCT FROM o.doc_id AND p.k = o.k AND p.item_id = o.item_id AND p.line = o.line GROUP BY ALL)
-SELECT DISTINCT l.doc_id, l.item_id, l.n_matched, CAST(l.n_windows AS BIGINT) AS n_windows, l.n_matched / CAST(l.n_windows AS DOUBLE) AS coverage,
-  CAST(coalesce(s.n, 0) AS BIGINT) AS n_slots, l.differ AS reparameterised
-FROM (SELECT doc_id, k, item_id, n_windows, count(DISTINCT item_pos) AS n_matched, bool_or(differ) AS differ FROM lines GROUP BY ALL) l
-LEFT JOIN slots s ON l.doc_id IS NOT DISTINCT FROM s.doc_id AND l.k = s.k AND l.item_id = s.item_id
-WHERE l.n_matched / CAST(l.n_windows AS DOUBLE) >= {COVERAGE}
+slot AS (SELECT doc_id, k, item_id, n_windows, item_pos, line, unnest(CASE WHEN len(a) > 0 THEN list_transform(range(1, len(a) + 1), lambda j: {{'a': a[j], 'b': b[j]}}) ELSE [NULL] END) AS x FROM hits),
+vote AS (SELECT *, x.a AS a, x.b AS b, count(*) OVER (PARTITION BY doc_id, k, item_id, line, x.a, x.b) AS n FROM slot),
+bound AS (SELECT *, a IS NOT NULL AND b <> first_value(b) OVER (PARTITION BY doc_id, k, item_id, line, a ORDER BY n DESC, a = b DESC, b DESC) AS bad FROM vote),
+fit AS (SELECT *, bool_or(bad) OVER (PARTITION BY doc_id, k, item_id, line, item_pos) AS off FROM bound)
+SELECT DISTINCT doc_id, item_id, n_matched, n_windows, n_matched / CAST(n_windows AS DOUBLE) AS coverage, n_slots, reparameterised FROM (
+  SELECT doc_id, k, item_id, CAST(n_windows AS BIGINT) AS n_windows, count(DISTINCT item_pos) AS n_matched, count(DISTINCT (a, b)) FILTER (WHERE a IS NOT NULL) AS n_slots, coalesce(bool_or(a <> b), false) AS reparameterised
+  FROM fit WHERE NOT off GROUP BY ALL)
+WHERE n_matched / CAST(n_windows AS DOUBLE) >= {COVERAGE}
 """
