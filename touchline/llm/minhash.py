@@ -17,6 +17,8 @@ WEIGHTS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for
 #: Upper bound of the key ranges that rows are dealt into for their order.
 MAX_RANGES = 8_192
 ROWS_A_RANGE = 400
+#: Bins that an empty bin tries at once.
+TRIES = 64
 
 
 class OnePermutation:
@@ -25,9 +27,14 @@ class OnePermutation:
     def __init__(self, shingle: int = SHINGLE, bins: int = BINS, bits: int = BITS):
         assert 8 % bits == 0 and bins & (bins - 1) == 0
         self.shingle, self.bins, self.bits, self.words = shingle, bins, bits, WordHashes(1)
-        # Optimal densification: an empty bin tries bins in an order of its own, the same for all texts.
-        at = np.arange(bins, dtype=np.uint64)
-        self.tries = [(mix64(at * np.uint64(1_000_003) + np.uint64(t + 1)) & np.uint64(bins - 1)).astype(np.int64) for t in range(64)]
+        self.blocks: dict = {}
+
+    def tries(self, k: int) -> np.ndarray:
+        """TRIES more rows of bins to try: an empty bin goes down its column, which is the same for all texts, to the first full one."""
+        if k not in self.blocks:
+            at, t = np.arange(self.bins, dtype=np.uint64), np.arange(k * TRIES, (k + 1) * TRIES, dtype=np.uint64)[:, None]
+            self.blocks[k] = (mix64(at * np.uint64(1_000_003) + t + np.uint64(1)) & np.uint64(self.bins - 1)).astype(np.int64)
+        return self.blocks[k]
 
     def shingles(self, text: str) -> np.ndarray:
         w = self.words.array(text.encode("utf-8", "surrogatepass").split())
@@ -49,16 +56,13 @@ class OnePermutation:
         full = np.zeros(self.bins, bool)
         full[bins] = True
         empty = np.nonzero(~full)[0]
-        for tries in self.tries:
-            if not len(empty):
-                break
-            source = tries[empty]
-            ok = full[source]
-            least[empty[ok]] = least[source[ok]]
-            empty = empty[~ok]
-        if len(empty):  # a text of few shingles: what 64 tries leave goes to the first full bin, in cyclic order
-            there = np.nonzero(full)[0]
-            least[empty] = least[there[np.searchsorted(there, empty) % len(there)]]
+        k = 0
+        while len(empty):  # ends: every bin comes up in every column
+            tries = self.tries(k)[:, empty]
+            ok = full[tries]
+            hit = ok.any(axis=0)
+            least[empty[hit]] = least[tries[ok.argmax(axis=0)[hit], np.nonzero(hit)[0]]]
+            empty, k = empty[~hit], k + 1
         low = (mix64(least) & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
         per = 8 // self.bits
         packed = np.zeros(self.bins // per, np.uint8)

@@ -18,15 +18,17 @@ THRESHOLD = 0.3
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most about `rows` labelled documents: those of least doc_id hash.
+    """(doc_id, text, label) of at most `rows` labelled documents: those of least doc_id hash, then of least text hash.
 
-    Rows with a null id or label are not used; of several labels of an id the greatest counts.
-    The sample's size is bounded, so it is broadcast to the documents, which do not move.
+    Rows with a null id or label are not used; of several labels of an id the greatest counts;
+    rows equal in id and text are one. The ids' number is bounded, so they are broadcast to the
+    documents, which do not move; rows of one id may be many, so the rows found are bounded again.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     n = own.count()
     picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, rows / max(n, 1)) * (1 << 40)))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"])
+    return found.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", F.xxhash64("text"), "text").limit(rows)
 
 
 class Grams:

@@ -212,18 +212,14 @@ def choose_landmarks(texts: list, labels: list, n: int = LANDMARKS, neutral: int
     return chosen + common if chosen else []
 
 
-def distinct_texts(tokens: list, labels: list, probes: int = 4) -> list:
-    """Places of texts that share none of a few least word-pair hashes with a text before of the same label: copies would count as evidence."""
-    import xxhash
-
+def distinct_texts(tokens: list, labels: list) -> list:
+    """Places of texts whose words are not those of a text before with the same label: copies would count as evidence."""
     seen, out = set(), []
     for i, (row, label) in enumerate(zip(tokens, labels)):
-        pairs = {a + " " + b for a, b in zip(row, row[1:])} or set(row) or {""}
-        h = np.array([xxhash.xxh3_64_intdigest(x) for x in pairs], np.uint64)
-        marks = {(label, k, int((h * np.uint64(2 * k + 1) ^ (h >> np.uint64(29 + k))).min())) for k in range(probes)}
-        if not marks & seen:
+        mark = (label, " ".join(row))
+        if mark not in seen:
             out.append(i)
-        seen |= marks
+        seen.add(mark)
     return out
 
 

@@ -255,11 +255,10 @@ def resolved(records: DataFrame) -> DataFrame:
     """Records with `page` (the page id in their name) and `first` (that of the record they revisit); revisits get the payload figures of what they revisit."""
     page = lambda name: F.regexp_extract(name, "^<urn:page:([^:>]*):", 1)
     stored = records.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("payload_bytes").alias("of_bytes"), F.max("payload_sha256").alias("of_sha256"))
-    again = F.col("type") == "revisit"
-    return records.join(stored, "refers_to", "left").select(
-        page("record_id").alias("page"), F.when(again, page("refers_to")).alias("first"), "type",
-        F.when(again, F.col("of_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(again, F.col("of_sha256")).otherwise(F.col("payload_sha256")).alias("payload_sha256"),
-    )
+    columns = lambda first, figures: (page("record_id").alias("page"), first.alias("first"), "type", *(F.col(a).alias(b) for a, b in zip(figures, ("payload_bytes", "payload_sha256"))))
+    again = records.where("type = 'revisit'").join(stored, "refers_to", "left").select(*columns(page("refers_to"), ("of_bytes", "of_sha256")))
+    # Other records have no partner: they stay out of the join, in which their null would be one key.
+    return again.union(records.where("type IS DISTINCT FROM 'revisit'").select(*columns(F.lit(None).cast("string"), ("payload_bytes", "payload_sha256"))))
 
 
 def op12_warc(spark, sf_dir):
