@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import registry_shots as N
 from . import registry_tables as R
+from . import registry_tracking as V
 from .functions.text import shirt_number
 from .operators import duels as D
 from .operators import events as E
@@ -289,3 +290,5 @@ for _name, (_plan, _select) in N.ENTRIES.items():
 _own, _own_sql = R.own_tables()
 QUERIES |= _own
 ORACLE_SQL |= _own_sql
+QUERIES |= V.QUERIES
+ORACLE_SQL |= V.ORACLE_SQL
