@@ -9,7 +9,7 @@ from touchline.llm.minhash import OnePermutation
 
 def test_labelled_sample_is_bounded_in_rows(spark):
     docs = spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("x").alias("label"))
-    docs = docs.union(spark.createDataFrame([(8, "other", "x"), (8, "other", "x"), (None, "none", "x")], docs.schema))
+    docs = docs.union(spark.createDataFrame([(8, "other", "x"), (8, "other", "x"), (None, "none", "x")], "doc_id long, text string, label string"))
     labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0), (None, 1), (9, None)], "doc_id long, quality int")
     few = quality.labelled_sample(docs, labels, "quality", 10).collect()
     assert len(few) == 10 and few == quality.labelled_sample(docs.repartition(7), labels, "quality", 10).collect()
