@@ -6,6 +6,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from . import registry_passes as Y
 from . import registry_shots as N
 from . import registry_tables as R
 from . import registry_tracking as V
@@ -287,6 +288,10 @@ for _name, (_plan, _select) in R.ENTRIES.items():
 for _name, (_plan, _select) in N.ENTRIES.items():
     QUERIES[_name] = _query(_plan)
     ORACLE_SQL[_name] = "WITH " + duckdb_views() + ",\n" + ",\n".join(f"{k} AS {v}" for k, v in _CTES.items()) + ",\n" + _MORE + "\n" + _select
+_SCANS = " ,\n".join(f"{k} AS {v}" for k, v in Y.CTES.items())
+for _name, (_plan, _select) in Y.ENTRIES.items():
+    QUERIES[_name] = _query(_plan)
+    ORACLE_SQL[_name] = "WITH " + duckdb_views() + ",\n" + ",\n".join(f"{k} AS {v}" for k, v in _CTES.items()) + ",\n" + _SCANS + "\n" + _select
 _own, _own_sql = R.own_tables()
 QUERIES |= _own
 ORACLE_SQL |= _own_sql
