@@ -3,6 +3,7 @@
 import pytest
 
 from touchline.operators import events as E
+from touchline.operators.matches import match_events
 from touchline.operators import stats as S
 from touchline.plans.presets import TEMPLATE
 
@@ -74,4 +75,4 @@ def test_teleports_do_not_count_as_distance(spark):
 
 
 def test_empty_tables(spark, teams):
-    assert E.match_events(ball(spark, []), players(spark, []), teams, TEMPLATE).count() == 0
+    assert match_events(ball(spark, []), players(spark, []), teams, TEMPLATE).count() == 0

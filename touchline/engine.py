@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import duels, events
+from .operators import duels, events, passes, shots
 from .plans.presets import TEMPLATE, Preset
 from .plans.staging import stored
 
@@ -59,9 +59,7 @@ def _tackle(t, p):
 
 @detector("shot")
 def _shot(t, p):
-    shots = events.last_holder(events.goal_line_crossings(t["states"], p).select("run_id", "frame", "is_goal"), t["spans"])
-    outcome = F.when(F.col("is_goal"), "Goal").otherwise("Off_Target")
-    return _rows(shots, "shot", 0.9, outcome=outcome).unionByName(_rows(shots.where("is_goal"), "goal", 0.9, outcome=F.lit("Goal")))
+    return shots.detected_shots(t["states"], t["ball"], t["players"], t["teams"], t.get("kicks"), p=p)
 
 
 def detect_events(tables: dict[str, DataFrame], p: Preset = TEMPLATE, names: tuple | None = None, seconds: tuple | None = None) -> DataFrame:

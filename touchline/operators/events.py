@@ -89,17 +89,22 @@ def interceptions(passes: DataFrame) -> DataFrame:
 
 
 def goal_line_crossings(states: DataFrame, p: Preset = TEMPLATE) -> DataFrame:
-    """Steps in which the ball leaves over a goal line from less than 10 m: interpolated frame (half to even) and y, the side, and whether it is between the posts."""
+    """Steps in which the ball leaves over a goal line from less than 10 m: interpolated frame (half to even) and y, the side, and whether it is between the posts.
+
+    Where states have a height, cross_height is interpolated and not under 0; where they have a confidence, it is the mean of the step's.
+    """
     w = Window.partitionBy("run_id").orderBy("frame")
-    steps = states.select("*", *(F.lag(c).over(w).alias(f"p_{c}") for c in ("frame", "x", "y")))
+    more = [c for c in ("height", "confidence") if c in states.columns]
+    steps = states.select("*", *(F.lag(c).over(w).alias(f"p_{c}") for c in ("frame", "x", "y", *more)))
     dt = (F.col("frame") - F.col("p_frame")) / p.fps
     line = F.lit(p.half_length)
     crossed = steps.where((dt > 0) & (dt <= 1.0) & F.col("speed").between(p.shot_speed, 50.0) & (F.abs("p_x") <= line) & (F.abs("x") > line) & (F.abs("p_x") > line - 10.0) & (F.col("x") * F.col("p_x") > 0))
     part = (line - F.abs("p_x")) / (F.abs("x") - F.abs("p_x"))
     y = F.col("p_y") + part * (F.col("y") - F.col("p_y"))
+    own = {"height": lambda: F.greatest(F.lit(0.0), F.col("p_height") + part * (F.col("height") - F.col("p_height"))).alias("cross_height"), "confidence": lambda: ((F.col("confidence") + F.col("p_confidence")) / 2).alias("confidence")}
     return crossed.select(
         "run_id", F.rint(F.col("p_frame") + part * (F.col("frame") - F.col("p_frame"))).cast("long").alias("frame"), F.when(F.col("x") > 0, "right").otherwise("left").alias("goal_side"),
-        y.alias("cross_y"), "speed", (F.abs(y) <= p.goal_half_width).alias("is_goal"),
+        y.alias("cross_y"), "speed", (F.abs(y) <= p.goal_half_width).alias("is_goal"), *(own[c]() for c in more),
     )
 
 
@@ -133,19 +138,3 @@ def last_holder(moments: DataFrame, spans: DataFrame) -> DataFrame:
     asked = moments.select("run_id", "frame", F.lit(None).cast(ends.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_kind"), *own)
     last = F.last("_s", True).over(Window.partitionBy("run_id").orderBy("frame", "_kind"))
     return ends.union(asked.select(*ends.columns)).withColumn("_last", last).where("_kind = 1").select("run_id", "frame", *own, F.col("_last.player_id").alias("player_id"), F.col("_last.team").alias("team"))
-
-
-def match_events(ball: DataFrame, players: DataFrame, teams: DataFrame, p: Preset = TEMPLATE) -> DataFrame:
-    """All events as rows: run_id, type, frame, match_time, player_id, team, outcome."""
-    states = stored(ball_states(ball, p), "states")
-    spans = stored(possession_spans(nearest_player(states, players, teams), p), "spans")
-    passes = bridge_passes(spans, states, p)
-    row = lambda df, kind, outcome: df.select("run_id", F.lit(kind).alias("type"), "frame", (F.col("frame") / p.fps).alias("match_time"), "player_id", "team", outcome.cast("string").alias("outcome"))
-    shots = last_holder(goal_line_crossings(states, p).select("run_id", "frame", "is_goal"), spans)
-    return (
-        row(spans.withColumnRenamed("start_frame", "frame"), "possession", F.lit(None))
-        .unionByName(row(passes, "pass", F.col("outcome")))
-        .unionByName(row(interceptions(passes), "interception", F.lit(None)))
-        .unionByName(row(shots, "shot", F.when(F.col("is_goal"), "Goal").otherwise("Off_Target")))
-        .unionByName(row(shots.where("is_goal"), "goal", F.lit("Goal")))
-    )

@@ -11,6 +11,7 @@ class Preset:
     half_length: float = 52.5
     half_width: float = 34.0
     goal_half_width: float = 3.66
+    goal_height: float = 2.44
     ball_confidence: float = 0.1
     possession_distance: float = 1.5
     possession_seconds: float = 1.0

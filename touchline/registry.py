@@ -13,6 +13,8 @@ from . import registry_tracking as V
 from .functions.text import shirt_number
 from .operators import duels as D
 from .operators import events as E
+from .operators import matches as H
+from .operators import shots as O
 from .operators import stats as S
 from .operators import tracks as T
 from .plans.presets import TEMPLATE as P
@@ -33,7 +35,12 @@ def _passes(t):
 
 
 def _events(t):
-    return E.match_events(t["ball"], t["players"], t["teams"])
+    return H.match_events(t["ball"], t["players"], t["teams"])
+
+
+def _shots(t):
+    shots = O.detected_shots(stored(E.ball_states(t["ball"]), "states"), t["ball"], t["players"], t["teams"])
+    return shots.select("run_id", "type", "frame", "player_id", "team", "outcome", "confidence", "goal_side", "cross_y", "speed", "approach", "shooter_frame")
 
 
 def _team_rows(t):
@@ -41,11 +48,11 @@ def _team_rows(t):
     states = stored(E.ball_states(t["ball"]), "states")
     spans = stored(E.possession_spans(E.nearest_player(states, t["players"], t["teams"])), "spans")
     passes = stored(E.bridge_passes(spans, states), "passes")
-    shots = E.last_holder(E.goal_line_crossings(states).select("run_id", "frame", "is_goal"), spans)
+    shots = stored(O.detected_shots(states, t["ball"], t["players"], t["teams"]), "shots")
     none = F.lit(None).cast("string")
     row = lambda df, kind, outcome=none, end=F.lit(None).cast("long"): df.select("run_id", "frame", F.lit(kind).alias("type"), end.alias("end_frame"), "team", outcome.alias("outcome"))
     found = row(spans.withColumnRenamed("start_frame", "frame"), "possession", end=F.col("end_frame")).union(row(passes, "pass", F.col("outcome"))).union(row(E.interceptions(passes), "interception"))
-    found = found.union(row(shots, "shot")).union(row(shots.where("is_goal"), "goal"))
+    found = found.union(row(shots.where("type = 'shot'"), "shot", F.col("outcome"))).union(row(shots.where("type = 'goal'"), "goal", F.col("outcome")))
     return found.union(row(D.tackles(spans, passes, states, t["players"], t["teams"], **LOOSE), "tackle"))
 
 
@@ -65,6 +72,7 @@ _PLANS = {
     "interceptions": lambda t: E.interceptions(_passes(t)),
     "goal_line_crossings": lambda t: E.goal_line_crossings(E.ball_states(t["ball"])),
     "match_events": _events,
+    "detected_shots": _shots,
     "player_kinematics": lambda t: S.player_kinematics(t["players"]),
     "team_stats": lambda t: S.team_stats(_team_rows(t)),
     "player_stats": lambda t: S.player_stats(t["players"], _events(t), seconds=(10.0, 400.02)),
@@ -146,6 +154,8 @@ QUERIES: dict = {name: _query(plan) for name, plan in _PLANS.items()} | {
     "shirt_numbers": _shirt_numbers,
 }
 
+#: Approach shots over ball states with a confidence.
+R_APPROACH = "SELECT run_id, frame, goal_side, cross_y, speed, confidence, true FROM (" + N.approach_sql("so", f"{P.shot_speed}") + ") WHERE own >= 0.15"
 _D = "sqrt((p.x - s.x)*(p.x - s.x) + (p.y - s.y)*(p.y - s.y))"
 _CTES = {
     "sm": f"""(SELECT run_id, frame,
@@ -172,11 +182,31 @@ _CTES = {
     "gc": f"""(SELECT run_id, CAST(round_even(pf + part * (frame - pf), 0) AS BIGINT) AS frame, CASE WHEN x > 0 THEN 'right' ELSE 'left' END AS goal_side, py + part * (y - py) AS cross_y, speed, abs(py + part * (y - py)) <= {P.goal_half_width} AS is_goal
     FROM (SELECT *, ({P.half_length} - abs(px)) / (abs(x) - abs(px)) AS part FROM (SELECT *, lag(frame) OVER w AS pf, lag(x) OVER w AS px, lag(y) OVER w AS py FROM st WINDOW w AS (PARTITION BY run_id ORDER BY frame)))
     WHERE (frame - pf) / {P.fps} <= 1.0 AND speed BETWEEN {P.shot_speed} AND 50.0 AND abs(px) <= {P.half_length} AND abs(x) > {P.half_length} AND abs(px) > {P.half_length} - 10.0 AND x * px > 0)""",
-    "sh": "(SELECT g.run_id, g.frame, g.is_goal, arg_max(s.player_id, s.end_frame) AS player_id, arg_max(s.team, s.end_frame) AS team FROM gc g LEFT JOIN sp s ON g.run_id = s.run_id AND s.end_frame <= g.frame GROUP BY ALL)",
+    "so": "(SELECT s.run_id, s.frame, s.x, s.y, s.speed, b.confidence FROM st s JOIN ball b ON s.run_id = b.run_id AND s.frame = b.frame)",
+    "mo": f"""(SELECT *, CASE WHEN abs(cross_y) <= {P.goal_half_width} THEN 'Goal' ELSE 'Off_Target' END AS outcome FROM (
+      SELECT g.run_id, g.frame, g.goal_side, g.cross_y, g.speed, (o.confidence + q.confidence) / 2 AS confidence, false AS approach FROM gc g
+      JOIN (SELECT *, lag(frame) OVER (PARTITION BY run_id ORDER BY frame) AS pf FROM so) o ON o.run_id = g.run_id AND o.frame >= g.frame AND o.pf <= g.frame AND o.pf < o.frame AND abs(o.x) > {P.half_length} AND o.speed = g.speed
+      JOIN so q ON q.run_id = g.run_id AND q.frame = o.pf
+      WHERE (SELECT count(*) FROM st s WHERE s.run_id = g.run_id AND s.frame BETWEEN g.frame - 25 AND g.frame AND abs(52.5::DOUBLE - CASE g.goal_side WHEN 'right' THEN s.x ELSE -s.x END - 5) < 5) >= 2
+      UNION ALL {R_APPROACH}))""",
+    "kf": """(SELECT m.run_id, m.frame, m.goal_side, coalesce(max(k.before), min(m.frame)) AS kick FROM (SELECT DISTINCT run_id, frame, goal_side FROM mo) m LEFT JOIN (SELECT g.run_id, g.frame AS goal, s.frame, s.speed, lag(s.frame) OVER w AS before, lag(s.speed) OVER w AS was, min(s.speed) OVER (PARTITION BY g.run_id, g.frame ORDER BY s.frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least
+      FROM (SELECT DISTINCT run_id, frame FROM mo) g JOIN st s ON s.run_id = g.run_id AND s.frame BETWEEN greatest(0, g.frame - 125) AND g.frame WINDOW w AS (PARTITION BY g.run_id, g.frame ORDER BY s.frame)) k ON k.run_id = m.run_id AND k.goal = m.frame AND k.was <= 7 AND k.speed >= 10 AND k.least >= 8 GROUP BY ALL)""",
+    "ks": f"""(SELECT * FROM (SELECT k.run_id, k.frame AS shot, k.goal_side, k.kick, s.frame, p.player_id, t.team, {_D} AS d, row_number() OVER (PARTITION BY k.run_id, k.frame, k.goal_side, s.frame ORDER BY {_D}, p.ord) AS rk
+      FROM kf k JOIN st s ON s.run_id = k.run_id AND s.frame BETWEEN greatest(0, k.kick - 125) AND k.kick JOIN players p ON p.run_id = s.run_id AND p.frame = s.frame JOIN teams t ON t.player_id = p.player_id AND t.team <> 'referee'
+      WHERE abs(p.x - CASE k.goal_side WHEN 'right' THEN {P.half_length}::DOUBLE ELSE -{P.half_length}::DOUBLE END) >= 3.0) WHERE rk = 1)""",
+    "kh": """(SELECT run_id, shot, goal_side, kick, first(player_id ORDER BY v DESC, f) AS player_id, first(team ORDER BY v DESC, f) AS team FROM (SELECT run_id, shot, goal_side, kick, player_id, round(sum(0.1::DOUBLE + 0.9::DOUBLE * (frame - greatest(0, kick - 25)) / greatest(1, kick - greatest(0, kick - 25))), 9) AS v, min(frame) AS f, arg_max(team, frame) AS team
+      FROM ks WHERE d <= 1.0 AND frame >= greatest(0, kick - 25) GROUP BY ALL) GROUP BY ALL)""",
+    "kl": "(SELECT run_id, shot, goal_side, arg_max(player_id, frame) AS player_id, arg_max(team, frame) AS team, max(frame) AS at FROM ks WHERE d <= 3.0 GROUP BY ALL)",
+    "ss": """(SELECT m.*, CASE WHEN h.shot IS NOT NULL THEN h.player_id ELSE l.player_id END AS player_id, CASE WHEN h.shot IS NOT NULL THEN h.team ELSE l.team END AS team, coalesce(h.kick, l.at, m.frame) AS shooter_frame
+      FROM mo m LEFT JOIN kh h ON h.run_id = m.run_id AND h.shot = m.frame AND h.goal_side = m.goal_side LEFT JOIN kl l ON l.run_id = m.run_id AND l.shot = m.frame AND l.goal_side = m.goal_side)""",
+    "sd": "(SELECT *, row_number() OVER (PARTITION BY run_id, type ORDER BY frame, confidence DESC, player_id NULLS FIRST, team, outcome, goal_side) AS i FROM (SELECT 'shot' AS type, * FROM ss UNION ALL SELECT 'goal', * FROM ss WHERE outcome = 'Goal'))",
+    "sh": """(SELECT d.* FROM (SELECT * FROM (WITH RECURSIVE go AS (SELECT run_id, type, i, i AS kept, frame, confidence AS c, 1 AS slot FROM sd WHERE i = 1 UNION ALL
+        SELECT s.run_id, s.type, s.i, CASE WHEN s.frame - g.frame > 50 OR s.confidence > g.c THEN s.i ELSE g.kept END, CASE WHEN s.frame - g.frame > 50 OR s.confidence > g.c THEN s.frame ELSE g.frame END,
+          CASE WHEN s.frame - g.frame > 50 OR s.confidence > g.c THEN s.confidence ELSE g.c END, g.slot + CASE WHEN s.frame - g.frame > 50 THEN 1 ELSE 0 END FROM go g JOIN sd s ON g.run_id = s.run_id AND g.type = s.type AND s.i = g.i + 1)
+      SELECT run_id, type, slot, arg_max(kept, i) AS kept FROM go GROUP BY ALL)) g JOIN sd d ON d.run_id = g.run_id AND d.type = g.type AND d.i = g.kept)""",
     "ev": f"""(SELECT run_id, type, frame, frame / {P.fps}::DOUBLE AS match_time, player_id, team, outcome FROM (
       SELECT run_id, 'possession' AS type, start_frame AS frame, player_id, team, NULL AS outcome FROM sp UNION ALL SELECT run_id, 'pass', frame, player_id, team, outcome FROM ps
-      UNION ALL SELECT run_id, 'interception', frame, player_id, team, NULL FROM ic UNION ALL SELECT run_id, 'shot', frame, player_id, team, CASE WHEN is_goal THEN 'Goal' ELSE 'Off_Target' END FROM sh
-      UNION ALL SELECT run_id, 'goal', frame, player_id, team, 'Goal' FROM sh WHERE is_goal))""",
+      UNION ALL SELECT run_id, 'interception', frame, player_id, team, NULL FROM ic UNION ALL SELECT run_id, type, frame, player_id, team, outcome FROM sh))""",
     "fn": "(SELECT run_id, frame, row_number() OVER (PARTITION BY run_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM (SELECT DISTINCT run_id, frame FROM players))",
     "ad": """(SELECT run_id, team, CAST(CASE rk WHEN 1 THEN 1 ELSE -1 END AS BIGINT) AS direction FROM (SELECT run_id, team, row_number() OVER (PARTITION BY run_id ORDER BY xs[len(xs) // 2 + 1], team) AS rk, count(*) OVER (PARTITION BY run_id) AS teams
       FROM (SELECT p.run_id, t.team, list_sort(list(p.x)) AS xs FROM players p JOIN fn ON p.run_id = fn.run_id AND p.frame = fn.frame JOIN teams t ON p.player_id = t.player_id
@@ -208,6 +238,7 @@ ORACLE_SQL: dict = {
         "interceptions": "SELECT * FROM ic",
         "goal_line_crossings": "SELECT * FROM gc",
         "match_events": "SELECT * FROM ev",
+        "detected_shots": "SELECT run_id, type, frame, player_id, team, outcome, confidence, goal_side, cross_y, speed, approach, shooter_frame FROM sh",
         "player_kinematics": "SELECT run_id, player_id, count(*) AS observed_frames, round(coalesce(sum(d) FILTER (ok), 0), 2) AS distance_m, round(coalesce(max(d / dt) FILTER (ok), 0), 2) AS max_speed_mps, round(coalesce(sum(d) FILTER (ok) / sum(dt) FILTER (ok), 0), 2) AS avg_speed_mps FROM (SELECT *, coalesce(dt > 0 AND dt <= 1.0 AND d / dt <= 12.0, false) AS ok FROM pk) GROUP BY run_id, player_id",
         "team_stats": """SELECT run_id, team, round(share, 1) AS possession_pct, passes, successful, round(CASE WHEN passes > 0 THEN 100.0 * successful / passes ELSE 0 END, 1) AS pass_rate, shots, goals, tackles, interceptions FROM (
           SELECT *, 100.0 * frames / sum(frames) OVER (PARTITION BY run_id) AS share FROM (SELECT run_id, team, sum(f) AS frames, count(*) FILTER (type = 'pass') AS passes, count(*) FILTER (type = 'pass' AND outcome <> 'failed') AS successful,

@@ -126,9 +126,9 @@ def _undistorted_sql(rows):
     return rows
 
 
-#: name: (plan of the tables t, SQL over the shared views).
-ENTRIES = {
-    "approach_shots": (lambda t: H.approach_shots(_lost_states(t)), """SELECT run_id, frame, CASE WHEN s > 0 THEN 'right' ELSE 'left' END AS goal_side, y AS cross_y, speed FROM (
+def approach_sql(states: str, fast: str) -> str:
+    """SQL of approach shots over ball states (run_id, frame, x, y, confidence)."""
+    return f"""SELECT run_id, frame, CASE WHEN s > 0 THEN 'right' ELSE 'left' END AS goal_side, y AS cross_y, speed, own, confidence FROM (
       SELECT *, list_sum(list_transform(dxs[1:steps], lambda d: abs(d))) AS way, list_sum(dts[1:steps]) AS took FROM (
       SELECT *, coalesce(list_position(list_transform(hs, lambda h: h = heading), false) - 1, len(hs)) AS steps,
         CASE WHEN f1 - frame <= 25 AND s * x1 > s * x - 3 THEN CASE WHEN f2 - f1 <= 25 AND s * x2 > s * x - 3 THEN CASE WHEN f3 - f2 <= 25 AND s * x3 > s * x - 3 THEN f4 - f3 ELSE f3 - f2 END ELSE f2 - f1 END ELSE f1 - frame END AS gap,
@@ -136,11 +136,16 @@ ENTRIES = {
         s * (x1 - x) / ((f1 - frame) / 25.0::DOUBLE) AS onward, sqrt(dx*dx + dy*dy) / dt AS speed FROM (
       SELECT *, list_reverse(list(heading) OVER b) AS hs, list_reverse(list(dx) OVER b) AS dxs, list_reverse(list(dt) OVER b) AS dts FROM (
       SELECT *, CASE WHEN dt > 0 AND dt <= 2 THEN sign(dx) ELSE 0 END AS heading, CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM (
-      SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, (frame - lag(frame) OVER w) / 25.0::DOUBLE AS dt,
+      SELECT run_id, frame, x, y, confidence AS own, (confidence + lag(confidence) OVER w) / 2 AS confidence, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, (frame - lag(frame) OVER w) / 25.0::DOUBLE AS dt,
         lead(frame) OVER w AS f1, lead(frame, 2) OVER w AS f2, lead(frame, 3) OVER w AS f3, lead(frame, 4) OVER w AS f4, lead(x) OVER w AS x1, lead(x, 2) OVER w AS x2, lead(x, 3) OVER w AS x3
-      FROM st WHERE frame % 900 BETWEEN 40 AND 897 WINDOW w AS (PARTITION BY run_id ORDER BY frame)))
+      FROM {states} WINDOW w AS (PARTITION BY run_id ORDER BY frame)))
       WINDOW b AS (PARTITION BY run_id ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))))
-      WHERE abs(x) > 49.5 AND abs(x) <= 52.5 AND heading = s AND speed <= 50 AND CASE WHEN speed >= 5 THEN gap IS NULL OR gap > 25 OR coalesce(onward < -5, false) WHEN speed >= 2 THEN steps >= 4 AND way / took >= 2 AND (long_gap IS NULL OR long_gap >= 125) ELSE false END"""),
+      WHERE abs(x) > 49.5 AND abs(x) <= 52.5 AND heading = s AND speed <= 50 AND CASE WHEN speed >= {fast} THEN gap IS NULL OR gap > 25 OR coalesce(onward < -{fast}, false) WHEN speed >= 2 THEN steps >= 4 AND way / took >= 2 AND (long_gap IS NULL OR long_gap >= 125) ELSE false END"""
+
+
+#: name: (plan of the tables t, SQL over the shared views).
+ENTRIES = {
+    "approach_shots": (lambda t: H.approach_shots(_lost_states(t)), "SELECT run_id, frame, goal_side, cross_y, speed FROM (" + approach_sql("(SELECT *, 1.0 AS confidence FROM st WHERE frame % 900 BETWEEN 40 AND 897)", "8.0") + ")"),
     "shot_outcomes": (lambda t: H.shot_outcomes(E.goal_line_crossings(E.ball_states(t["ball"])), E.ball_states(t["ball"])).select("run_id", "frame", "goal_side", "cross_y", "outcome"),
         "SELECT run_id, frame, goal_side, cross_y, CASE WHEN abs(cross_y) <= 3.66::DOUBLE THEN 'goal' ELSE 'off_target' END AS outcome FROM gc WHERE (SELECT count(*) FROM st s WHERE s.run_id = gc.run_id AND s.frame BETWEEN gc.frame - 25 AND gc.frame AND abs(52.5::DOUBLE - CASE goal_side WHEN 'right' THEN s.x ELSE -s.x END - 5) < 5) >= 2"),
     "kick_holders": (lambda t: H.kick_holders(E.goal_line_crossings(E.ball_states(t["ball"])), _near(t), lookback_seconds=3.0, radius=1.0),
