@@ -1,6 +1,6 @@
 """Shots near the line, outcomes, holders and audits on rows with a known answer."""
 
-from touchline.operators import audits, shots
+from touchline.operators import audits, events, shots
 
 
 def states(spark, rows):
@@ -57,3 +57,55 @@ def test_lonely_groups_and_few_frames(spark):
     frames = lambda n: spark.createDataFrame([(1, f) for f in range(n)], "run_id long, frame long")
     assert audits.candidate_frames(frames(1)).count() == 1
     assert [r.frame for r in audits.candidate_frames(frames(100), 3).orderBy("frame").collect()] == [5, 35, 65]
+
+
+def match(spark, ball, players, teams):
+    b = spark.createDataFrame([(1, f, float(x), float(y), c, h) for f, x, y, c, h in ball], "run_id long, frame long, x double, y double, confidence double, height double")
+    p = spark.createDataFrame([(1, f, o, n, float(x), float(y)) for f, o, n, x, y in players], "run_id long, frame long, ord long, player_id string, x double, y double")
+    t = spark.createDataFrame(teams, "player_id string, team string")
+    return events.ball_states(b), b, p, t
+
+
+TEAMS = [("striker", "team_A"), ("late", "team_B"), ("keeper", "team_B"), ("ref", "referee")]
+
+
+def kick_at_goal(y=0.0, height=0.0):
+    """The striker walks with the ball to x = 45 until frame 60; then it flies over the line at 20 m/s."""
+    ball = [(f, 45 - (60 - f) * 0.1, 0, 0.9, 0.0) for f in range(61)] + [(60 + i, 45 + 0.8 * i, y * i / 10, 0.5, height) for i in range(1, 13)]
+    players = [(f, 0, "striker", min(45.0, 45 - (60 - f) * 0.1) + 0.5, 0.3) for f in range(73)] + [(f, 1, "late", 48, 0.4) for f in range(73)] + [(f, 2, "keeper", 51, 0) for f in range(73)]
+    return ball, players + [(f, 3, "ref", 45, 0) for f in range(73)]
+
+
+def test_a_goal_has_its_shooter(spark):
+    ball, players = kick_at_goal()
+    got = shots.detected_shots(*match(spark, ball, players, TEAMS)).orderBy("type").collect()
+    assert [(r.type, r.player_id, r.team, r.outcome, r.goal_side, r.approach) for r in got] == [("goal", "striker", "team_A", "Goal", "right", False), ("shot", "striker", "team_A", "Goal", "right", False)]
+    assert got[0].frame == 69 and got[0].confidence == 0.5 and 58 <= got[0].shooter_frame <= 60 and got[0].start_x is not None
+    for y, height in ((6.0, 0.0), (0.0, 3.2)):
+        ball, players = kick_at_goal(y, height)
+        assert [(r.type, r.outcome) for r in shots.detected_shots(*match(spark, ball, players, TEAMS)).collect()] == [("shot", "Off_Target")]
+    assert [r.outcome for r in shots.detected_shots(*match(spark, *kick_at_goal(0.0, 2.9), TEAMS)).where("type = 'shot'").collect()] == ["Goal"]
+
+
+def test_a_shooter_from_afar_or_none(spark):
+    ball, players = kick_at_goal()
+    far = [(f, o, n, x - 2 if n == "striker" else x, y + 9 if n == "late" else y) for f, o, n, x, y in players]
+    got = shots.detected_shots(*match(spark, ball, far, TEAMS)).where("type = 'shot'").first()
+    assert got.player_id == "striker"  # nobody within a metre: the last within three
+    got = shots.detected_shots(*match(spark, ball, [p for p in players if p[2] in ("keeper", "ref")], TEAMS)).where("type = 'shot'").first()
+    assert got.player_id is None and got.shooter_frame == got.frame
+    own = spark.createDataFrame([(1, 20), (1, 40), (1, 900)], "run_id long, frame long")
+    slow = [(f, 40 + f * 0.35, 0, 0.9, 0.0) for f in range(45)]  # 8.75 m/s from the start: no slow state before it
+    states, b, p, t = match(spark, slow, [(f, 0, "striker", 40 + f * 0.35, 0.2) for f in range(45)], TEAMS)
+    moments = spark.createDataFrame([(1, 36, "right")], "run_id long, frame long, goal_side string")
+    assert shots.shooters(moments, states, p, t).first().shooter_frame == 36
+    assert shots.shooters(moments, states, p, t, kicks=own).first().shooter_frame == 20
+
+
+def test_near_shots_are_one(spark):
+    ball, players = kick_at_goal()
+    again = [(f + 40, x, y, 0.8 if f > 60 else c, h) for f, x, y, c, h in ball if f > 40]
+    states, b, p, t = match(spark, [r for r in ball if r[0] <= 72] + [r for r in again if r[0] > 81], players, TEAMS)
+    got = shots.detected_shots(states, b, p, t).where("type = 'shot'").collect()
+    assert len(got) == 1 and got[0].frame > 100 and got[0].confidence > 0.6
+    assert shots.detected_shots(states.where("false"), b.where("false"), p, t).collect() == []
