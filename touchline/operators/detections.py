@@ -64,9 +64,15 @@ def best_balls(detections: DataFrame) -> DataFrame:
     return best.select("run_id", "frame", "b.ord", "b.score")
 
 
-def stage_totals(detections: DataFrame) -> DataFrame:
-    """run_id, class, n, frames: detections and frames with one, by class."""
-    return detections.groupBy("run_id", "class").agg(F.count("*").alias("n"), F.count_distinct("frame").alias("frames"))
+def stage_totals(detections: DataFrame, h: list, p: Preset = TEMPLATE) -> DataFrame:
+    """run_id, n_frames, raw_players, raw_balls, post_conf_players, post_size_players, post_pitch_players: what each filter leaves, one after the other."""
+    sure = by_class(detections).where("kind = 'player'")
+    sized = player_boxes(sure)
+    left = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))
+    raw = detections.groupBy("run_id").agg(F.count_distinct("frame").alias("n_frames"), F.count_if(F.col("class") == PERSON).alias("raw_players"), F.count_if(F.col("class") == BALL).alias("raw_balls"))
+    for df, name in ((sure, "post_conf_players"), (sized, "post_size_players"), (on_field(sized, h, p=p), "post_pitch_players")):
+        raw = raw.join(left(df, name), "run_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return raw
 
 
 def long_tracks(players: DataFrame, min_seconds: float = 3.0, p: Preset = TEMPLATE) -> DataFrame:
@@ -102,11 +108,15 @@ def best_overlaps(tracks: DataFrame, detections: DataFrame, least: float = 0.3)
 
 
 def image_holders(balls: DataFrame, detections: DataFrame, reach: float = 250.0) -> DataFrame:
-    """run_id, frame, ord, distance: the person whose feet are nearest to the ball's centre in the image, nearer than reach; null where there is none."""
+    """run_id, frame, ord, distance, kind, x1, y1, x2, y2: the person whose feet are nearest to the ball's centre in the image, nearer than reach.
+
+    kind is player and the box that person's; where there is none, ord and distance are null, kind is ball and the box the ball's.
+    """
     bx, by = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    at = balls.select("run_id", "frame", bx.alias("bx"), by.alias("by"))
-    feet = detections.where(F.col("class") == PERSON).select("run_id", "frame", "ord", bx.alias("fx"), F.col("y2").alias("fy"))
+    at = balls.select("run_id", "frame", bx.alias("bx"), by.alias("by"), F.struct(*SIDES).alias("ball"))
+    feet = detections.where(F.col("class") == PERSON).select("run_id", "frame", "ord", bx.alias("fx"), F.col("y2").alias("fy"), F.struct(*SIDES).alias("body"))
     d = hypot(F.col("fx") - F.col("bx"), F.col("fy") - F.col("by"))
     near = at.join(feet, ["run_id", "frame"], "left").withColumn("d", F.when(d < reach, d))
-    best = near.groupBy("run_id", "frame").agg(F.min_by(F.struct("ord", "d"), F.when(F.col("d").isNotNull(), F.struct("d", "ord"))).alias("b"))
-    return best.select("run_id", "frame", "b.ord", F.col("b.d").alias("distance"))
+    best = near.groupBy("run_id", "frame").agg(F.min_by(F.struct("ord", "d", "body"), F.when(F.col("d").isNotNull(), F.struct("d", "ord"))).alias("b"), F.first("ball").alias("ball"))
+    box = F.coalesce("b.body", "ball")
+    return best.select("run_id", "frame", "b.ord", F.col("b.d").alias("distance"), F.when(F.col("b").isNull(), "ball").otherwise("player").alias("kind"), *(box[c].alias(c) for c in SIDES))

@@ -103,10 +103,10 @@ def off_field(players: DataFrame, margin: float = 1.5, share: float = 0.85, min_
     return players.groupBy("run_id", "player_id").agg(F.count("*").alias("n"), F.avg(out.cast("double")).alias("outside")).where((F.col("n") >= min_obs) & (F.col("outside") >= share))
 
 
-def track_summary(players: DataFrame) -> DataFrame:
-    """run_id, player_id, first_frame, last_frame, n, edge_share: how much of a track lies within 5 m of a line."""
-    edge = (F.abs("x") > 47.5) | (F.abs("y") > 29.0)
-    return players.groupBy("run_id", "player_id").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("*").alias("n"), F.round(F.avg(edge.cast("double")), 4).alias("edge_share"))
+def track_summary(players: DataFrame, margin: float = 3.0, p: Preset = TEMPLATE) -> DataFrame:
+    """run_id, player_id, first_frame, last_frame, n, edge_share: how much of a track lies within 3 m of a line or beyond; rows without a place count as such."""
+    edge = F.coalesce((F.abs("x") > p.half_length - margin) | (F.abs("y") > p.half_width - margin), F.lit(True))
+    return players.groupBy("run_id", "player_id").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("*").alias("n"), F.round(F.avg(edge.cast("double")), 3).alias("edge_share"))
 
 
 def identity_switches(players: DataFrame, stride: int = 1, jump: float = 5.0) -> DataFrame:

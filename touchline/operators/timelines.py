@@ -114,11 +114,17 @@ def warm_starts(calibrations: DataFrame, limit: float = 15.0) -> DataFrame:
     return calibrations.select("run_id", "frame", F.coalesce(before < limit, F.lit(False)).alias("warm"))
 
 
-def reanchor_frames(calibrations: DataFrame, least: float = 0.4) -> DataFrame:
-    """run_id, frame where the mean inlier ratio of the last three frames is under a least one; the first two of a run never are."""
+def reanchor_frames(steps: DataFrame, limit: float = 50.0, sure: float = 0.3, least: float = 0.4) -> DataFrame:
+    """run_id, frame of steps, as drift() takes them, that need a new anchor.
+
+    One does where the drift so far is over the limit, where its confidence is under `sure`, or where the
+    mean inlier ratio of the last three frames is under a least one; the first two of a run have no such mean.
+    """
     w = Window.partitionBy("run_id").orderBy("frame").rowsBetween(-2, 0)
-    rows = calibrations.select("run_id", "frame", F.avg("inlier_ratio").over(w).alias("mean"), F.count("*").over(w).alias("n"))
-    return rows.where((F.col("n") >= 3) & (F.col("mean") < least)).select("run_id", "frame")
+    trend = steps.select("run_id", "frame", F.avg("inlier_ratio").over(w).alias("mean"), F.count("*").over(w).alias("n"))
+    rows = drift(steps, limit).join(trend, ["run_id", "frame"])
+    low = F.coalesce((F.col("n") >= 3) & (F.col("mean") < least), F.lit(False))
+    return rows.where((F.col("cumulative") > limit) | (F.col("confidence") < sure) | low).select("run_id", "frame")
 
 
 def focal_gate(calibrations: DataFrame, prior: float, low: float = 0.5, high: float = 2.0) -> DataFrame:

@@ -55,6 +55,11 @@ def ball_outliers(ball: DataFrame, max_deviation: float = 5.0, max_speed: float
     return around.where(calm & (far > max_deviation)).select("run_id", "frame", F.round(far, 6).alias("deviation"))
 
 
+def without_outliers(ball: DataFrame, max_deviation: float = 5.0, max_speed: float = 30.0, p: Preset = TEMPLATE) -> DataFrame:
+    """ball without its outliers."""
+    return ball.join(ball_outliers(ball, max_deviation, max_speed, p).select("run_id", "frame"), ["run_id", "frame"], "left_anti")
+
+
 def kicks(ball: DataFrame, threshold: float = 50.0) -> DataFrame:
     """run_id, frame, jerk: where the second difference of the position is over a threshold."""
     w = Window.partitionBy("run_id").orderBy("frame")

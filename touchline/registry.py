@@ -39,6 +39,18 @@ def _events(t):
     return H.match_events(t["ball"], t["players"], t["teams"])
 
 
+def _jumping(t):
+    """The ball with a false place, 8 m off, every 61st frame."""
+    return t["ball"].withColumn("x", F.col("x") + F.when(F.col("frame") % 61 == 0, 8.0).otherwise(0.0))
+
+
+def _strayed(t):
+    """Players with one beside the field and one whose track changes bodies every 200 frames."""
+    off = F.when(F.col("ord") == 3, 80.0).otherwise(0.0)
+    jump = F.when((F.col("ord") == 7) & (F.floor(F.col("frame") / 200) % 2 == 1), 7.0).otherwise(0.0)
+    return t["players"].withColumns({"y": F.col("y") + off, "x": F.col("x") + jump})
+
+
 def _shots(t):
     shots = O.detected_shots(stored(E.ball_states(t["ball"]), "states"), t["ball"], t["players"], t["teams"])
     return shots.select("run_id", "type", "frame", "player_id", "team", "outcome", "confidence", "goal_side", "cross_y", "speed", "approach", "shooter_frame")
@@ -82,9 +94,9 @@ _PLANS = {
     "pass_network": lambda t: S.pass_network(_passes(t), min_passes=1),
     "pass_nodes": lambda t: S.pass_nodes(_passes(t)),
     "presence_runs": lambda t: S.presence_runs(t["players"]),
-    "off_field": lambda t: S.off_field(t["players"], margin=-6.0, share=0.1),
+    "off_field": lambda t: S.off_field(_strayed(t)),
     "track_summary": lambda t: S.track_summary(t["players"]),
-    "identity_switches": lambda t: S.identity_switches(t["players"], stride=8, jump=2.0),
+    "identity_switches": lambda t: S.identity_switches(_strayed(t)),
     "event_counts": lambda t: S.event_counts(_events(t)),
     "list_events": lambda t: S.list_events(_events(t), types=("pass", "shot"), team="team_A", seconds=(10.0, 500.0)),
 }
@@ -117,8 +129,9 @@ _PLANS |= {
     "position_zones": lambda t: T.position_zones(t["players"]),
     "referee_check": lambda t: T.referee_check(t["players"]),
     "cooccurring_pairs": lambda t: T.cooccurring_pairs(t["players"]),
-    "ball_outliers": lambda t: T.ball_outliers(t["ball"], max_deviation=1.0),
-    "kicks": lambda t: T.kicks(t["ball"], threshold=2.0),
+    "ball_outliers": lambda t: T.ball_outliers(_jumping(t)),
+    "without_outliers": lambda t: T.without_outliers(_jumping(t)),
+    "kicks": lambda t: T.kicks(_jumping(t).select("run_id", "frame", (F.col("x") * 12).alias("x"), (F.col("y") * 9).alias("y"))),
     "observation_gaps": lambda t: T.observation_gaps(t["ball"]),
     "moving_mean": lambda t: T.moving_mean(t["ball"]),
     "spread_sample": lambda t: T.spread_sample(t["players"]),
@@ -225,6 +238,10 @@ _CTES = {
 }
 
 
+_JUMPING = "(SELECT run_id, frame, x + CASE WHEN frame % 61 = 0 THEN 8.0::DOUBLE ELSE 0 END AS x, y, confidence FROM ball)"
+_STRAYED = "(SELECT run_id, frame, ord, player_id, x + CASE WHEN ord = 7 AND frame // 200 % 2 = 1 THEN 7.0::DOUBLE ELSE 0 END AS x, y + CASE WHEN ord = 3 THEN 80.0::DOUBLE ELSE 0 END AS y FROM players)"
+
+
 def _sql(select: str) -> str:
     return "WITH " + duckdb_views() + ",\n" + ",\n".join(f"{k} AS {v}" for k, v in _CTES.items()) + "\n" + select
 
@@ -261,9 +278,9 @@ ORACLE_SQL: dict = {
         "pass_network": "SELECT run_id, player_id, receiver_id, count(*) AS passes FROM ps WHERE outcome = 'successful' GROUP BY ALL",
         "pass_nodes": "SELECT run_id, player_id, count(*) AS touches, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y FROM (SELECT run_id, player_id, x, y FROM ps WHERE outcome = 'successful' UNION ALL SELECT run_id, receiver_id, end_x, end_y FROM ps WHERE outcome = 'successful') GROUP BY run_id, player_id",
         "presence_runs": "SELECT run_id, player_id, min(frame) AS start_frame, max(frame) AS end_frame FROM (SELECT *, sum(CASE WHEN df > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, player_id ORDER BY frame) AS part FROM pk) GROUP BY run_id, player_id, part",
-        "off_field": "SELECT run_id, player_id, count(*) AS n, avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS outside FROM players GROUP BY run_id, player_id HAVING count(*) >= 30 AND avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.1",
-        "track_summary": "SELECT run_id, player_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n, round(avg(CASE WHEN abs(x) > 47.5 OR abs(y) > 29.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS edge_share FROM players GROUP BY run_id, player_id",
-        "identity_switches": "SELECT run_id, player_id, frame, d AS jump_m FROM pk WHERE df <= 24 AND d >= 2.0",
+        "off_field": f"SELECT run_id, player_id, count(*) AS n, avg(CASE WHEN abs(x) > 54.0 OR abs(y) > 35.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS outside FROM {_STRAYED} GROUP BY run_id, player_id HAVING count(*) >= 30 AND avg(CASE WHEN abs(x) > 54.0 OR abs(y) > 35.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.85",
+        "track_summary": "SELECT run_id, player_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n, round(avg(CASE WHEN abs(x) > 49.5 OR abs(y) > 31.0 OR x IS NULL OR y IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS edge_share FROM players GROUP BY run_id, player_id",
+        "identity_switches": f"SELECT run_id, player_id, frame, d AS jump_m FROM (SELECT *, frame - lag(frame) OVER w AS df, sqrt((x - lag(x) OVER w)*(x - lag(x) OVER w) + (y - lag(y) OVER w)*(y - lag(y) OVER w)) AS d FROM {_STRAYED} WINDOW w AS (PARTITION BY run_id, player_id ORDER BY frame)) WHERE df <= 3 AND d >= 5.0",
         "event_counts": "SELECT run_id, type, count(*) AS n FROM ev GROUP BY run_id, type",
         "list_events": "SELECT run_id, type, frame, round(match_time, 2) AS time, player_id, team, outcome, count(*) OVER () > 50 AS truncated FROM ev WHERE type IN ('pass', 'shot') AND team = 'team_A' AND round(match_time, 2) BETWEEN 10.0 AND 500.0 ORDER BY run_id, frame, type, player_id LIMIT 50",
         "attack_directions": "SELECT * FROM ad",
@@ -291,8 +308,10 @@ ORACLE_SQL: dict = {
         "referee_check": "SELECT run_id, player_id, count(*) >= 30 AND NOT (quantile_cont(x, 0.95) - quantile_cont(x, 0.05) < 3.0 AND quantile_cont(y, 0.95) - quantile_cont(y, 0.05) < 3.0 AND abs(median(y)) > 0.7::DOUBLE * 34.0) AS moves_like_one FROM players GROUP BY ALL",
         "cooccurring_pairs": "SELECT a.run_id, a.player_id AS a, b.player_id AS b, count(*) AS frames FROM players a JOIN players b ON a.run_id = b.run_id AND a.frame = b.frame AND a.player_id < b.player_id GROUP BY ALL",
         "ball_outliers": f"""SELECT run_id, frame, round(d, 6) AS deviation FROM (SELECT *, sqrt(power(x - (px + t * (nx - px)), 2) + power(y - (py + t * (ny - py)), 2)) AS d FROM (SELECT *, (frame - pf) / (nf - pf)::DOUBLE AS t, sqrt(power(nx - px, 2) + power(ny - py, 2)) / ((nf - pf) / {P.fps}) AS v
-          FROM (SELECT *, lag(frame) OVER w AS pf, lead(frame) OVER w AS nf, lag(x) OVER w AS px, lead(x) OVER w AS nx, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM ball WINDOW w AS (PARTITION BY run_id ORDER BY frame)))) WHERE v <= 30.0 AND d > 1.0""",
-        "kicks": "SELECT run_id, frame, jerk FROM (SELECT run_id, frame, round(sqrt(dx*dx + dy*dy), 6) AS jerk FROM (SELECT run_id, frame, x - 2 * lag(x, 1) OVER w + lag(x, 2) OVER w AS dx, y - 2 * lag(y, 1) OVER w + lag(y, 2) OVER w AS dy FROM ball WINDOW w AS (PARTITION BY run_id ORDER BY frame))) WHERE jerk > 2.0",
+          FROM (SELECT *, lag(frame) OVER w AS pf, lead(frame) OVER w AS nf, lag(x) OVER w AS px, lead(x) OVER w AS nx, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM {_JUMPING} WINDOW w AS (PARTITION BY run_id ORDER BY frame)))) WHERE v <= 30.0 AND d > 5.0""",
+        "without_outliers": f"""SELECT run_id, frame, x, y, confidence FROM (SELECT *, coalesce(v <= 30.0 AND sqrt(power(x - (px + t * (nx - px)), 2) + power(y - (py + t * (ny - py)), 2)) > 5.0, false) AS gone FROM (SELECT *, (frame - pf) / (nf - pf)::DOUBLE AS t, sqrt(power(nx - px, 2) + power(ny - py, 2)) / ((nf - pf) / {P.fps}) AS v
+          FROM (SELECT *, lag(frame) OVER w AS pf, lead(frame) OVER w AS nf, lag(x) OVER w AS px, lead(x) OVER w AS nx, lag(y) OVER w AS py, lead(y) OVER w AS ny FROM {_JUMPING} WINDOW w AS (PARTITION BY run_id ORDER BY frame)))) WHERE NOT gone""",
+        "kicks": f"SELECT run_id, frame, jerk FROM (SELECT run_id, frame, round(sqrt(dx*dx + dy*dy), 6) AS jerk FROM (SELECT run_id, frame, x * 12 - 2 * lag(x * 12, 1) OVER w + lag(x * 12, 2) OVER w AS dx, y * 9 - 2 * lag(y * 9, 1) OVER w + lag(y * 9, 2) OVER w AS dy FROM {_JUMPING} WINDOW w AS (PARTITION BY run_id ORDER BY frame))) WHERE jerk > 50.0",
         "observation_gaps": "SELECT run_id, frame + 1 AS gap_start, nxt - 1 AS gap_end, frame AS left_anchor, nxt AS right_anchor FROM (SELECT run_id, frame, lead(frame) OVER (PARTITION BY run_id ORDER BY frame) AS nxt FROM ball) WHERE nxt - frame > 1",
         "moving_mean": "SELECT run_id, frame, CAST(sum(CAST(x * confidence AS DECIMAL(18,8))) OVER w AS DOUBLE) / CAST(sum(CAST(confidence AS DECIMAL(18,8))) OVER w AS DOUBLE) AS x, CAST(sum(CAST(y * confidence AS DECIMAL(18,8))) OVER w AS DOUBLE) / CAST(sum(CAST(confidence AS DECIMAL(18,8))) OVER w AS DOUBLE) AS y FROM ball WINDOW w AS (PARTITION BY run_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
         "spread_sample": "SELECT p.run_id, p.player_id, p.frame FROM (SELECT *, row_number() OVER (PARTITION BY run_id, player_id ORDER BY frame, ord) - 1 AS i, count(*) OVER (PARTITION BY run_id, player_id) AS n FROM players) p WHERE n <= 10 OR i IN (SELECT k * (p.n - 1) // 9 FROM range(10) r(k))",

@@ -99,7 +99,7 @@ def _looks(t):
 def _metadata(t):
     f = F.col("frame")
     pairs = F.map_from_arrays(F.array(F.lit("outcome"), F.lit("angle"), F.when(f % 2 == 0, "receiver_id").otherwise("note")), F.array(F.lit("goal"), F.lit("3"), f.cast("string")))
-    events = _frames(t).where("frame % 10 = 3").select("run_id", "frame", F.format_string("e%d", f).alias("event_id"), F.lit("pass").alias("type"), F.lit("P1").alias("player_id"), F.lit("team_A").alias("team_id"), F.when(f % 3 != 0, pairs).alias("metadata"))
+    events = _frames(t).select("run_id", "frame", F.format_string("e%d", f).alias("event_id"), F.lit("pass").alias("type"), F.lit("P1").alias("player_id"), F.lit("team_A").alias("team_id"), F.when(f % 3 != 0, pairs).alias("metadata"))
     return A.event_summaries(events).select("event_id", "time_s", F.array_join(F.array_sort(F.map_keys("shown")), ",").alias("keys"), F.col("shown")["receiver_id"].alias("receiver_id"))
 
 
@@ -110,7 +110,7 @@ def _zones(t):
 
 def _points(t, shift):
     i, f = F.col("ord"), F.col("frame")
-    return t["players"].where(f"ord < 10 AND frame % 20 = 4 AND (frame + ord * {shift}) % 3 <> 0").select("run_id", "frame", i.alias("id"), (F.col("x") + shift * (f % 5)).alias("x"), (F.col("y") - shift).alias("y"))
+    return t["players"].where(f"(frame + ord * {shift}) % 3 <> 0").select("run_id", "frame", i.alias("id"), (F.col("x") + shift * (f % 5)).alias("x"), (F.col("y") - shift).alias("y"))
 
 
 _POSED = """(SELECT *, c + (1 - c)*a*a AS r0, (1 - c)*a*b - s*g AS r1, (1 - c)*a*g + s*b AS r2, (1 - c)*a*b + s*g AS r3, c + (1 - c)*b*b AS r4, (1 - c)*b*g - s*a AS r5, (1 - c)*a*g - s*b AS r6, (1 - c)*b*g + s*a AS r7, c + (1 - c)*g*g AS r8 FROM (
@@ -148,10 +148,10 @@ ENTRIES = {
     "approach_shots": (lambda t: H.approach_shots(_lost_states(t)), "SELECT run_id, frame, goal_side, cross_y, speed FROM (" + approach_sql("(SELECT *, 1.0 AS confidence FROM st WHERE frame % 900 BETWEEN 40 AND 897)", "8.0") + ")"),
     "shot_outcomes": (lambda t: H.shot_outcomes(E.goal_line_crossings(E.ball_states(t["ball"])), E.ball_states(t["ball"])).select("run_id", "frame", "goal_side", "cross_y", "outcome"),
         "SELECT run_id, frame, goal_side, cross_y, CASE WHEN abs(cross_y) <= 3.66::DOUBLE THEN 'goal' ELSE 'off_target' END AS outcome FROM gc WHERE (SELECT count(*) FROM st s WHERE s.run_id = gc.run_id AND s.frame BETWEEN gc.frame - 25 AND gc.frame AND abs(52.5::DOUBLE - CASE goal_side WHEN 'right' THEN s.x ELSE -s.x END - 5) < 5) >= 2"),
-    "kick_holders": (lambda t: H.kick_holders(E.goal_line_crossings(E.ball_states(t["ball"])), _near(t), lookback_seconds=3.0, radius=1.0),
+    "kick_holders": (lambda t: H.kick_holders(E.goal_line_crossings(E.ball_states(t["ball"])), _near(t), lookback_seconds=1.0, radius=1.0),
         """SELECT k.run_id, k.kick AS frame, b.player_id, b.team FROM (SELECT DISTINCT run_id, frame AS kick FROM gc) k LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, kick ORDER BY v DESC, first) AS rk FROM (
-        SELECT g.run_id, g.frame AS kick, n.player_id, round(sum(0.1::DOUBLE + 0.9::DOUBLE * (n.frame - greatest(0, g.frame - 75)) / greatest(1, g.frame - greatest(0, g.frame - 75))), 9) AS v, min(n.frame) AS first, arg_max(n.team, n.frame) AS team
-        FROM (SELECT DISTINCT run_id, frame FROM gc) g JOIN nr n ON n.run_id = g.run_id AND n.frame BETWEEN greatest(0, g.frame - 75) AND g.frame WHERE n.distance <= 1 GROUP BY ALL)) b ON b.run_id = k.run_id AND b.kick = k.kick AND b.rk = 1"""),
+        SELECT g.run_id, g.frame AS kick, n.player_id, round(sum(0.1::DOUBLE + 0.9::DOUBLE * (n.frame - greatest(0, g.frame - 25)) / greatest(1, g.frame - greatest(0, g.frame - 25))), 9) AS v, min(n.frame) AS first, arg_max(n.team, n.frame) AS team
+        FROM (SELECT DISTINCT run_id, frame FROM gc) g JOIN nr n ON n.run_id = g.run_id AND n.frame BETWEEN greatest(0, g.frame - 25) AND g.frame WHERE n.distance <= 1 GROUP BY ALL)) b ON b.run_id = k.run_id AND b.kick = k.kick AND b.rk = 1"""),
     "passes_to_others": (lambda t: H.without_self_passes(_holders(t)), "SELECT *, printf('pass_%04d', row_number() OVER (PARTITION BY run_id ORDER BY frame)) AS event_id FROM (SELECT run_id, start_frame AS frame, player_id, lead(player_id) OVER (PARTITION BY run_id ORDER BY start_frame) AS receiver_id FROM sp) WHERE receiver_id IS NULL OR player_id <> receiver_id"),
     "camera_checks": (lambda t: A.camera_checks(_cameras(t)), """SELECT run_id, frame, reason = 'ok' AS good, reason FROM (SELECT run_id, frame, CASE WHEN frame % 11 = 0 THEN 'fx-recovery-failed' WHEN frame * 29 % 25000 NOT BETWEEN 10 AND 20000 THEN 'fx-out-of-range(' || frame * 29 % 25000 || ')' WHEN frame % 13 = 0 THEN 'pos-recovery-failed'
         WHEN NOT (frame * 7 % 600 - 300 > -250 AND frame * 7 % 600 - 300 < 250 AND frame * 3 % 560 - 280 > -250 AND frame * 3 % 560 - 280 < 250) THEN 'pos-xy-out-of-range' WHEN frame * 5 % 240 = 120 OR abs(frame * 5 % 240 - 120) >= 100 THEN 'pos-z-out-of-range' ELSE 'ok' END AS reason FROM fs)"""),
@@ -171,8 +171,8 @@ ENTRIES = {
         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, o ORDER BY k DESC, f) AS rk FROM (SELECT run_id AS r, run_id, ord AS o, (frame * 3 + ord) % 6 AS jersey, count(*) AS k, min(frame) AS f FROM players WHERE frame % 4 <> 0 GROUP BY ALL)) j ON j.r = p.run_id AND j.o = p.ord AND j.rk = 1
         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, o ORDER BY k DESC, f) AS rk FROM (SELECT run_id AS r, run_id, ord AS o, CASE WHEN frame * ord % 3 = 0 THEN 'team_A' ELSE 'team_B' END AS team, count(*) AS k, min(frame) AS f FROM players WHERE (frame + ord) % 5 <> 0 GROUP BY ALL)) m ON m.r = p.run_id AND m.o = p.ord AND m.rk = 1
         GROUP BY p.run_id, ord, j.jersey, m.team"""),
-    "exemplars": (lambda t: A.exemplars(_references(t), t["players"].where("frame % 50 = 0").select("run_id", F.col("ord").alias("track_id"), "frame", ((F.col("frame") * 7 + F.col("ord") * 13) % 97).alias("score")), 3),
-        """SELECT run_id, team, place, track_id, frame FROM (SELECT *, row_number() OVER (PARTITION BY run_id, team ORDER BY place) AS rk FROM (SELECT run_id, CASE ord % 2 WHEN 0 THEN 'team_A' ELSE 'team_B' END AS team, ord * 3 % 8 AS place, ord AS track_id, frame, row_number() OVER (PARTITION BY run_id, ord ORDER BY (frame * 7 + ord * 13) % 97 DESC, frame) AS best FROM players WHERE ord < 8 AND frame % 50 = 0) WHERE best = 1) WHERE rk <= 3"""),
+    "exemplars": (lambda t: A.exemplars(_references(t), t["players"].select("run_id", F.col("ord").alias("track_id"), "frame", ((F.col("frame") * 7 + F.col("ord") * 13) % 97).alias("score")), 3),
+        """SELECT run_id, team, place, track_id, frame FROM (SELECT *, row_number() OVER (PARTITION BY run_id, team ORDER BY place) AS rk FROM (SELECT run_id, CASE ord % 2 WHEN 0 THEN 'team_A' ELSE 'team_B' END AS team, ord * 3 % 8 AS place, ord AS track_id, frame, row_number() OVER (PARTITION BY run_id, ord ORDER BY (frame * 7 + ord * 13) % 97 DESC, frame) AS best FROM players WHERE ord < 8) WHERE best = 1) WHERE rk <= 3"""),
     "camera_projection": (_seen, f"""SELECT run_id, frame, z > 0.1 AS ahead, round(CASE WHEN abs(u) < 20000 THEN u END, 4) AS u, round(CASE WHEN abs(v) < 20000 THEN v END, 4) AS v FROM (
         SELECT *, 1500 * (p * o + 2 * 0.001::DOUBLE * p * q - 0.0005::DOUBLE * (w + 2 * p * p)) + 960 AS u, 1500 * (q * o + 0.001::DOUBLE * (w + 2 * q * q) - 2 * 0.0005::DOUBLE * p * q) + 540 AS v FROM (SELECT *, 1 + ((0.002::DOUBLE * w - 0.01::DOUBLE) * w + 0.05::DOUBLE) * w AS o FROM (SELECT *, p*p + q*q AS w FROM (
         SELECT *, (r0*x + r1*y + r2*0.5 + t0) / z AS p, (r3*x + r4*y + r5*0.5 + t1) / z AS q FROM (SELECT *, r6*x + r7*y + r8*0.5 + t2 AS z FROM {_POSED})))))"""),
@@ -183,12 +183,12 @@ ENTRIES = {
         SELECT *, -(r0*t0 + r3*t1 + r6*t2) AS cx, -(r1*t0 + r4*t1 + r7*t2) AS cy, -(r2*t0 + r5*t1 + r8*t2) AS cz, r0*p + r3*q + r6 AS e0, r1*p + r4*q + r7 AS e1, r2*p + r5*q + r8 AS e2 FROM {_undistorted_sql(_POSED)}))))"""),
     "look_at_rotations": (_looks, """SELECT run_id, frame, round(yaw, 6) AS yaw, round(down, 6) AS down, round(roll, 6) AS roll, round(cos(b) * cos(c) - sin(b) * sin(a) * sin(c), 6) AS r0, round(-sin(b) * cos(c) - cos(b) * sin(a) * sin(c), 6) AS r1, round(-cos(a) * cos(c), 6) AS r5, round(-sin(a), 6) AS r8 FROM (
         SELECT *, radians(down) AS a, radians(yaw) AS b, radians(roll) AS c FROM (SELECT run_id, frame, CAST(frame * 7 % 340 - 170 AS DOUBLE) AS yaw, CAST(frame % 80 + 1 AS DOUBLE) AS down, CAST(frame * 3 % 60 - 30 AS DOUBLE) AS roll FROM fs))"""),
-    "event_summaries": (_metadata, "SELECT 'e' || frame AS event_id, round(frame / 25.0::DOUBLE, 2) AS time_s, CASE WHEN frame % 3 = 0 THEN '' WHEN frame % 2 = 0 THEN 'outcome,receiver_id' ELSE 'outcome' END AS keys, CASE WHEN frame % 3 <> 0 AND frame % 2 = 0 THEN CAST(frame AS VARCHAR) END AS receiver_id FROM fs WHERE frame % 10 = 3"),
+    "event_summaries": (_metadata, "SELECT 'e' || frame AS event_id, round(frame / 25.0::DOUBLE, 2) AS time_s, CASE WHEN frame % 3 = 0 THEN '' WHEN frame % 2 = 0 THEN 'outcome,receiver_id' ELSE 'outcome' END AS keys, CASE WHEN frame % 3 <> 0 AND frame % 2 = 0 THEN CAST(frame AS VARCHAR) END AS receiver_id FROM fs"),
     "zone_quota": (lambda t: A.zone_quota(_zones(t), 10), """SELECT run_id, track_id, zone, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rk > greatest(1, 10 // zones), seen, rk) AS place FROM (SELECT *, row_number() OVER (PARTITION BY run_id, zone ORDER BY track_id * 11 % 8 DESC, track_id) AS rk, min(track_id) OVER (PARTITION BY run_id, zone) AS seen, count(DISTINCT zone) OVER (PARTITION BY run_id) AS zones FROM (
         SELECT DISTINCT run_id, ord AS track_id, 'z' || ord * ord % 7 AS zone FROM players))) WHERE place <= 10"""),
     "keypoint_scores": (lambda t: A.keypoint_scores(_points(t, 0), _points(t, 1)).withColumn("mean_error", F.round("mean_error", 6)), """SELECT run_id, frame, count(*) FILTER (a) AS expected, count(*) FILTER (a AND b) AS found, count(*) FILTER (NOT a) AS phantoms, round(avg(CASE WHEN a AND b THEN sqrt(power(frame % 5, 2) + 1) END), 6) AS mean_error FROM (
-        SELECT run_id, frame, frame % 3 <> 0 AS a, (frame + ord) % 3 <> 0 AS b FROM players WHERE ord < 10 AND frame % 20 = 4) WHERE a OR b GROUP BY ALL"""),
-    "both_passes": (lambda t: A.both_passes(t["ball"].where("frame % 3 = 0"), t["ball"].where("frame % 3 = 1")).groupBy("run_id", "source").agg(F.count("*").alias("n")), "SELECT run_id, CASE frame % 3 WHEN 0 THEN 'pass1' ELSE 'pass2' END AS source, count(*) AS n FROM ball WHERE frame % 3 < 2 GROUP BY ALL"),
+        SELECT run_id, frame, frame % 3 <> 0 AS a, (frame + ord) % 3 <> 0 AS b FROM players) WHERE a OR b GROUP BY ALL"""),
+    "both_passes": (lambda t: A.both_passes(t["ball"].where("frame % 3 = 0"), t["ball"].where("frame % 3 > 0")).groupBy("run_id", "source").agg(F.count("*").alias("n")), "SELECT run_id, CASE frame % 3 WHEN 0 THEN 'pass1' ELSE 'pass2' END AS source, count(*) AS n FROM ball GROUP BY ALL"),
     "movement_patterns": (lambda t: A.movement_patterns(t["players"].select("run_id", F.col("ord").alias("track_id"), (F.col("x") * F.when(F.col("ord") % 5 == 0, 0.1007).otherwise(1.0007) + F.when(F.col("ord") % 5 == 0, 45.0).otherwise(0.0)).alias("x"), (F.col("y") * F.when(F.col("ord") % 5 < 2, 0.1009).otherwise(1.0009) + F.when(F.col("ord") % 5 == 1, F.col("ord") * 3.0).otherwise(0.0)).alias("y"))),
         """SELECT run_id, track_id, pattern, 'pattern=' || pattern || '. ' || pattern || ': ' || CASE pattern WHEN 'tight_near_goal' THEN printf('stays within ~%.1fm of the %s goal line (%.1fm from goal), y_med=%.1fm. This is the goalkeeper pattern.', rx, CASE WHEN mx <= 0 THEN 'left' ELSE 'right' END, goal, my)
         WHEN 'covers_whole_pitch' THEN printf('x-range %.1fm (%.0f%% of pitch length), y-range %.1fm (%.0f%% of pitch width). Only the main referee covers this much area.', rx, rx / 105 * 100, ry, ry / 68 * 100) WHEN 'touchline_runner' THEN printf('stays within %.1fm of the %s touchline (median %.1fm from it), runs %.1fm along it. This is the linesman pattern.', ry, CASE WHEN my >= 0 THEN 'top' ELSE 'bottom' END, touch, rx)

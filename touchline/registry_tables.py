@@ -29,7 +29,7 @@ def _boxes(t):
 def _own_boxes(t):
     """Each player's box of the frame, moved a little, as a track's."""
     near = lambda n, d: (F.col(n) + d).alias(n)
-    return _boxes(t).where("ord % 5 = 1").select("run_id", "frame", F.col("ord").alias("track_id"), (F.col("frame") % 3).alias("time_since_update"), "x", "y", near("x1", 5), near("y1", 3), near("x2", 5), near("y2", 3))
+    return _boxes(t).select("run_id", "frame", F.col("ord").alias("track_id"), (F.col("frame") % 3).alias("time_since_update"), "x", "y", near("x1", 5), near("y1", 3), near("x2", 5), near("y2", 3))
 
 
 def _frames(t):
@@ -65,14 +65,15 @@ def _shots(t, k):
 
 
 def _lines(t):
-    return t["players"].where("ord < 6 AND frame % 10 = 0").select("run_id", "frame", "ord", "x", "y", (F.col("x") + F.col("ord") * 3 - 7).alias("x2"), (F.col("y") + F.col("frame") % 13 - 6).alias("y2"))
+    return t["players"].select("run_id", "frame", "ord", "x", "y", (F.col("x") + F.col("ord") * 3 - 7).alias("x2"), (F.col("y") + F.col("frame") % 13 - 6).alias("y2"))
 
 
 def _intersections(t):
     a = _lines(t).select("run_id", "frame", F.col("ord").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("x", "y", "x2", "y2")))
     b = _lines(t).select("run_id", "frame", F.col("ord").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("x", "y", "x2", "y2")))
     x, y = G.meeting_point(*([F.col(f"{s}_{c}") for c in ("x", "y", "x2", "y2")] for s in "ab"))
-    return a.join(b, ["run_id", "frame"]).where("a < b").select("run_id", "frame", "a", "b", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    met = a.join(b, ["run_id", "frame"]).where("a < b").select("run_id", "frame", x.alias("x"), y.alias("y"))
+    return met.groupBy("run_id", "frame").agg(F.count("*").alias("pairs"), F.count("x").alias("met"), F.count_if((F.abs("x") <= 52.5) & (F.abs("y") <= 34.0)).alias("on_field"))
 
 
 def _errors(t, h):
@@ -104,13 +105,16 @@ ENTRIES = {
     "on_field": (lambda t, k: B.on_field(_boxes(t), list(FIELD)).select("run_id", "frame", "ord", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")), "SELECT run_id, frame, ord, round(u, 6) AS x, round(v, 6) AS y FROM (SELECT *, (0.1::DOUBLE * (x1 + x2) / 2 - 60) / w AS u, (0.1::DOUBLE * f - 40) / w AS v FROM (SELECT *, 0.0001::DOUBLE * f + 1 AS w FROM (SELECT *, CASE WHEN class = 0 THEN y2 ELSE (y1 + y2) / 2 END AS f FROM det))) WHERE abs(u) <= 54.5 AND abs(v) <= 36.0"),
     "box_geometry": (lambda t, k: B.box_geometry(_boxes(t)), "SELECT run_id, frame, ord, (x1 + x2) / 2 AS foot_x, y2 AS foot_y, (x1 + x2) / 2 AS center_x, (y1 + y2) / 2 AS center_y, (x2 - x1) * (y2 - y1) AS area FROM det"),
     "best_balls": (lambda t, k: B.best_balls(_boxes(t)), "SELECT run_id, frame, ord, score FROM (SELECT *, row_number() OVER (PARTITION BY run_id, frame ORDER BY score DESC, ord) AS rk FROM (SELECT *, 0.7::DOUBLE * confidence + 0.3::DOUBLE * (1.0 - abs(1.0 - (x2 - x1) / (y2 - y1))) AS score FROM det WHERE class = 32)) WHERE rk = 1"),
-    "stage_totals": (lambda t, k: B.stage_totals(_boxes(t)), "SELECT run_id, class, count(*) AS n, count(DISTINCT frame) AS frames FROM det GROUP BY ALL"),
+    "stage_totals": (lambda t, k: B.stage_totals(_boxes(t), list(FIELD)), """SELECT run_id, count(DISTINCT frame) AS n_frames, count(*) FILTER (class = 0) AS raw_players, count(*) FILTER (class = 32) AS raw_balls, count(*) FILTER (c) AS post_conf_players, count(*) FILTER (c AND s) AS post_size_players, count(*) FILTER (c AND s AND abs(u) <= 54.5 AND abs(v) <= 36.0) AS post_pitch_players
+      FROM (SELECT *, class = 0 AND confidence >= 0.3 AS c, y2 - y1 BETWEEN 50 AND 500 AND (x2 - x1) / (y2 - y1) BETWEEN 0.2 AND 1.5 AS s, (0.1::DOUBLE * (x1 + x2) / 2 - 60) / (0.0001::DOUBLE * y2 + 1) AS u, (0.1::DOUBLE * y2 - 40) / (0.0001::DOUBLE * y2 + 1) AS v FROM det) GROUP BY run_id"""),
     "long_tracks": (lambda t, k: B.long_tracks(t["players"], 57.3), "SELECT run_id, player_id, count(*) AS n FROM players GROUP BY ALL HAVING count(*) >= 1432"),
     "ever_confirmed": (lambda t, k: B.ever_confirmed(t["players"].select("run_id", F.col("ord").alias("track_id"), "frame", ((F.col("frame") + F.col("ord")) % 700 == 13).alias("confirmed"))), "SELECT run_id, ord AS track_id, frame, (frame + ord) % 700 = 13 AS confirmed FROM players p WHERE EXISTS (SELECT 1 FROM players q WHERE q.run_id = p.run_id AND q.ord = p.ord AND (q.frame + q.ord) % 700 = 13)"),
     "pair_costs": (lambda t, k: B.pair_costs(_own_boxes(t), _boxes(t)).groupBy("run_id", "track_id", "ord").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"), F.round(F.sum("iou_cost"), 4).alias("iou_cost"), F.round(F.min("pitch_cost"), 6).alias("pitch_cost")),
         "SELECT run_id, track_id, ord, count(*) AS n, count(*) FILTER (d <= least(4.0 * (tsu + 1), 8.0)) AS allowed, round(sum(1.0 - shared / (a + b - shared)), 4) AS iou_cost, round(min(d), 6) AS pitch_cost FROM pc GROUP BY ALL"),
     "best_overlaps": (lambda t, k: B.best_overlaps(_own_boxes(t), _boxes(t)).select("run_id", "frame", "track_id", "ord", F.round("overlap", 6).alias("overlap")), "SELECT run_id, frame, track_id, ord, round(1.0 - c, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY run_id, frame, track_id ORDER BY 1.0 - c DESC, ord) AS rk FROM (SELECT *, 1.0 - shared / (a + b - shared) AS c FROM pc) WHERE 1.0 - c > 0.3) WHERE rk = 1"),
-    "image_holders": (lambda t, k: B.image_holders(_boxes(t).where("ord = 5"), _boxes(t)), "SELECT run_id, frame, arg_min(ord, (d, ord)) AS ord, min(d) AS distance FROM (SELECT b.run_id, b.frame, CASE WHEN e < 250 THEN p.ord END AS ord, CASE WHEN e < 250 THEN e END AS d FROM (SELECT b.run_id, b.frame, p.ord, sqrt(power((p.x1 + p.x2) / 2 - (b.x1 + b.x2) / 2, 2) + power(p.y2 - (b.y1 + b.y2) / 2, 2)) AS e FROM det b LEFT JOIN det p ON p.run_id = b.run_id AND p.frame = b.frame AND p.class = 0 WHERE b.ord = 5) b(run_id, frame, pord, e), LATERAL (SELECT pord AS ord) p) GROUP BY run_id, frame"),
+    "image_holders": (lambda t, k: B.image_holders(_boxes(t).where("ord = 5"), _boxes(t)), """SELECT b.run_id, b.frame, n.ord, n.d AS distance, CASE WHEN n.ord IS NULL THEN 'ball' ELSE 'player' END AS kind, coalesce(n.x1, b.x1) AS x1, coalesce(n.y1, b.y1) AS y1, coalesce(n.x2, b.x2) AS x2, coalesce(n.y2, b.y2) AS y2 FROM det b LEFT JOIN
+      (SELECT *, row_number() OVER (PARTITION BY run_id, frame ORDER BY d, ord) AS rk FROM (SELECT p.*, sqrt(power((p.x1 + p.x2) / 2 - (b.x1 + b.x2) / 2, 2) + power(p.y2 - (b.y1 + b.y2) / 2, 2)) AS d FROM det b JOIN det p ON p.run_id = b.run_id AND p.frame = b.frame AND p.class = 0 WHERE b.ord = 5) WHERE d < 250) n
+      ON n.run_id = b.run_id AND n.frame = b.frame AND n.rk = 1 WHERE b.ord = 5"""),
     "nearest_frames": (lambda t, k: L.nearest_frames(_frames(t), _anchors(t), reach=12), "SELECT f.run_id, f.frame, (SELECT a.frame FROM an a WHERE a.run_id = f.run_id AND abs(a.frame - f.frame) <= 12 ORDER BY abs(a.frame - f.frame), a.frame LIMIT 1) AS found_frame FROM (SELECT DISTINCT run_id, frame FROM players) f"),
     "interpolated_poses": (lambda t, k: L.interpolated(_frames(t), _anchors(t), ["pan", "tilt"]), "SELECT run_id, frame, CASE WHEN af IS NULL THEN bp WHEN bf IS NULL THEN ap ELSE ap + t * (bp - ap) END AS pan, CASE WHEN af IS NULL THEN bt WHEN bf IS NULL THEN att ELSE att + t * (bt - att) END AS tilt FROM br"),
     "interpolated_gaps": (lambda t, k: L.interpolated(_frames(t), _anchors(t).where("frame % 90 <> 37"), ["pan"], max_gap=30, clamp=False, easing="ease_in_out"), "SELECT run_id, frame, CASE WHEN af IS NOT NULL AND bf IS NOT NULL AND bf - af <= 30 THEN ap + CASE WHEN t < 0.5 THEN 2 * t * t ELSE 1 - power(2 - 2 * t, 2) / 2 END * (bp - ap) END AS pan FROM bg"),
@@ -124,7 +128,7 @@ ENTRIES = {
     "anchor_gaps": (lambda t, k: L.anchor_gaps(_anchors(t).where("frame % 90 <> 37"), 45), "SELECT * FROM (SELECT run_id, frame AS start_frame, lead(frame) OVER (PARTITION BY run_id ORDER BY frame) AS end_frame, lead(frame) OVER (PARTITION BY run_id ORDER BY frame) - frame AS gap FROM an WHERE frame % 90 <> 37) WHERE gap >= 45"),
     "turning_points": (lambda t, k: L.turning_points(_anchors(t), rate=-15.0), "SELECT run_id, sf AS start_frame, ef AS end_frame, t, CAST(floor(sf + t * (ef - sf)) AS BIGINT) AS frame FROM (SELECT *, turn / (2.0 * -15.0 * (ef - sf) / 25.0) + 0.5 AS t FROM (SELECT run_id, frame AS sf, lead(frame) OVER w AS ef, lead(pan) OVER w - pan AS turn FROM an WINDOW w AS (PARTITION BY run_id ORDER BY frame))) WHERE t BETWEEN 0.2 AND 0.8"),
     "warm_starts": (lambda t, k: L.warm_starts(_calibration(t)), "SELECT run_id, frame, coalesce(lag(error) OVER (PARTITION BY run_id ORDER BY frame) < 15, false) AS warm FROM cal"),
-    "reanchor_frames": (lambda t, k: L.reanchor_frames(_calibration(t)), "SELECT run_id, frame FROM (SELECT run_id, frame, avg(inlier_ratio) OVER w AS m, count(*) OVER w AS n FROM cal WINDOW w AS (PARTITION BY run_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE n >= 3 AND m < 0.4"),
+    "reanchor_frames": (lambda t, k: L.reanchor_frames(_calibration(t)), ""),  # its SQL stands below
     "focal_gate": (lambda t, k: L.focal_gate(_calibration(t), 1500.0).select("run_id", "frame", "focal"), "SELECT run_id, frame, focal FROM cal WHERE focal BETWEEN 750 AND 3000"),
     "key_frames": (lambda t, k: L.key_frames(_calibration(t).withColumnRenamed("error", "difference"), 38.0), "SELECT run_id, frame FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY frame) AS i FROM cal) WHERE i = 1 OR error > 38"),
     "ratio_test": (lambda t, k: L.ratio_test(_boxes(t).select("run_id", F.col("frame").alias("query"), F.col("ord").alias("train"), (F.col("confidence") + 0.01).alias("distance"))), "SELECT run_id, frame AS query, ord AS train, d AS distance FROM (SELECT run_id, frame, ord, confidence + 0.01::DOUBLE AS d, row_number() OVER w AS rk, lead(confidence + 0.01::DOUBLE) OVER w AS s FROM det WINDOW w AS (PARTITION BY run_id, frame ORDER BY confidence + 0.01::DOUBLE, ord)) WHERE rk = 1 AND d < 0.75 * s"),
@@ -148,19 +152,20 @@ ENTRIES = {
     "celebrations": (lambda t, k: Q.celebrations(k._events(t), TOTAL), "SELECT run_id, frame, match_time, least(frame + 250, 14999) AS celebration_end FROM ev WHERE type = 'goal'"),
     "ball_boxes_at": (lambda t, k: Q.ball_boxes_at(t["ball"]), "SELECT run_id, frame, x - 40 AS x1, y - 40 AS y1, x + 40 AS x2, y + 40 AS y2 FROM ball"),
     "without_tracks": (lambda t, k: Q.without_tracks(t["players"], k.S.off_field(t["players"], margin=-6.0, share=0.1).select("run_id", "player_id"), t["teams"]), "SELECT p.run_id, coalesce(t.team, 'unknown') AS team, count(DISTINCT p.player_id) AS players, count(*) AS rows FROM players p LEFT JOIN teams t ON p.player_id = t.player_id WHERE NOT EXISTS (SELECT 1 FROM (SELECT run_id, player_id FROM players GROUP BY ALL HAVING count(*) >= 30 AND avg(CASE WHEN abs(x) > 46.5 OR abs(y) > 28.0 THEN 1.0::DOUBLE ELSE 0 END) >= 0.1) o WHERE o.run_id = p.run_id AND o.player_id = p.player_id) GROUP BY ALL"),
-    "nearest_centre": (lambda t, k: Q.nearest_centre(t["players"].select("run_id", F.col("ord").alias("track_id"), "frame", F.array("x", "y").alias("v")).where("frame % 100 = 0"), {"a": (-20.0, 0.0), "b": (20.0, 5.0)}, 25.0), "SELECT run_id, ord AS track_id, CASE WHEN least(da, db) > 25 THEN 'referee' WHEN da <= db THEN 'a' ELSE 'b' END AS label, least(da, db) AS distance FROM (SELECT *, sqrt((x + 20) * (x + 20) + y * y) AS da, sqrt((x - 20) * (x - 20) + (y - 5) * (y - 5)) AS db FROM players WHERE frame % 100 = 0)"),
-    "zone_roles": (lambda t, k: Q.zone_roles(t["players"].where("frame % 50 = 3").select("run_id", F.concat("player_id", F.lit("@"), "frame").alias("player_id"), "x", "y")), "SELECT run_id, player_id || '@' || frame AS player_id, CASE WHEN abs(y) > 32 THEN 'linesman' WHEN abs(x) > 36 AND abs(y) < 0.6::DOUBLE * 34 THEN 'goalkeeper' ELSE 'player' END AS role FROM players WHERE frame % 50 = 3"),
+    "nearest_centre": (lambda t, k: Q.nearest_centre(t["players"].select("run_id", F.col("ord").alias("track_id"), "frame", F.array("x", "y").alias("v")), {"a": (-20.0, 0.0), "b": (20.0, 5.0)}, 25.0), "SELECT run_id, ord AS track_id, CASE WHEN least(da, db) > 25 THEN 'referee' WHEN da <= db THEN 'a' ELSE 'b' END AS label, least(da, db) AS distance FROM (SELECT *, sqrt((x + 20) * (x + 20) + y * y) AS da, sqrt((x - 20) * (x - 20) + (y - 5) * (y - 5)) AS db FROM players)"),
+    "zone_roles": (lambda t, k: Q.zone_roles(t["players"].select("run_id", F.concat("player_id", F.lit("@"), "frame").alias("player_id"), "x", "y")), "SELECT run_id, player_id || '@' || frame AS player_id, CASE WHEN abs(y) > 32 THEN 'linesman' WHEN abs(x) > 36 AND abs(y) < 0.6::DOUBLE * 34 THEN 'goalkeeper' ELSE 'player' END AS role FROM players"),
     "balances": (lambda t, k: Q.balances(k._events(t), "type", ("possession", "pass", "shot", "goal", "carry")), "SELECT r.run_id, v.type, count(e.type) AS n FROM (SELECT DISTINCT run_id FROM ev) r CROSS JOIN (VALUES ('possession'), ('pass'), ('shot'), ('goal'), ('carry')) v(type) LEFT JOIN ev e ON e.run_id = r.run_id AND e.type = v.type GROUP BY ALL"),
     "team_positions": (lambda t, k: S.of_team(t["players"], t["teams"], "team_B").select("run_id", "player_id", "frame", "x", "y"), "SELECT p.run_id, p.player_id, p.frame, p.x, p.y FROM players p JOIN teams t ON p.player_id = t.player_id WHERE t.team = 'team_B'"),
     "top_frames": (lambda t, k: Q.top_frames(_boxes(t).withColumn("area", (F.col("frame") * 37 % 101).cast("double")), 7), "SELECT run_id, player_id, frame FROM (SELECT *, row_number() OVER (PARTITION BY run_id, player_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY run_id, player_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY run_id, player_id ORDER BY frame * 37 % 101 DESC, frame) AS r FROM players) WHERE r <= 21) p WHERE n <= 7 OR i IN (SELECT j * p.n // 7 FROM range(7) q(j))"),
-    "line_intersections": (lambda t, k: _intersections(t), """SELECT run_id, frame, a, b, CASE WHEN abs(den) >= 1e-10 THEN round(x + t * (x2 - x), 6) END AS x, CASE WHEN abs(den) >= 1e-10 THEN round(y + t * (y2 - y), 6) END AS y FROM (SELECT *, ((x - x3) * (y3 - y4) - (y - y3) * (x3 - x4)) / den AS t FROM (SELECT p.run_id, p.frame, p.ord AS a, q.ord AS b, p.x, p.y, p.x2, p.y2, q.x AS x3, q.y AS y3, q.x2 AS x4, q.y2 AS y4, (p.x - p.x2) * (q.y - q.y2) - (p.y - p.y2) * (q.x - q.x2) AS den FROM li p JOIN li q ON p.run_id = q.run_id AND p.frame = q.frame AND p.ord < q.ord))"""),
+    "line_intersections": (lambda t, k: _intersections(t), """SELECT run_id, frame, count(*) AS pairs, count(*) FILTER (abs(den) >= 1e-10) AS met, count(*) FILTER (abs(den) >= 1e-10 AND abs(x + t * (x2 - x)) <= 52.5 AND abs(y + t * (y2 - y)) <= 34.0) AS on_field
+      FROM (SELECT *, ((x - x3) * (y3 - y4) - (y - y3) * (x3 - x4)) / den AS t FROM (SELECT p.run_id, p.frame, p.x, p.y, p.x2, p.y2, q.x AS x3, q.y AS y3, q.x2 AS x4, q.y2 AS y4, (p.x - p.x2) * (q.y - q.y2) - (p.y - p.y2) * (q.x - q.x2) AS den FROM li p JOIN li q ON p.run_id = q.run_id AND p.frame = q.frame AND p.ord < q.ord)) GROUP BY ALL"""),
     "line_orientations": (lambda t, k: _lines(t).select("run_id", "frame", "ord", G.orientation(F.degrees(F.atan2(F.col("y2") - F.col("y"), F.col("x2") - F.col("x")))).alias("orientation")), "SELECT run_id, frame, ord, CASE WHEN CASE WHEN abs(a) > 90 THEN 180 - abs(a) ELSE abs(a) END < 20 THEN 'horizontal' WHEN CASE WHEN abs(a) > 90 THEN 180 - abs(a) ELSE abs(a) END > 70 THEN 'vertical' ELSE 'diagonal' END AS orientation FROM (SELECT *, degrees(atan2(y2 - y, x2 - x)) AS a FROM li)"),
     "reprojection_errors": (lambda t, k: _errors(t, list(VIEW)), "SELECT run_id, count(*) AS n, round(avg(sqrt(power((12.0::DOUBLE*x + 1.5::DOUBLE*y + 960.0) / w - (x * 12 + 960), 2) + power((0.5::DOUBLE*x - 9.0::DOUBLE*y + 540.0) / w - (y * -9 + 540), 2))), 6) AS mean_error FROM (SELECT *, 0.0005::DOUBLE*x - 0.004::DOUBLE*y + 1.0 AS w FROM ball) GROUP BY run_id"),
     "rotations": (lambda t, k: _rotations(t), "SELECT run_id, frame, round(CAST(frame * 7 % 170 - 85 AS DOUBLE), 6) AS pan, round(CAST(frame % 80 + 40 AS DOUBLE), 6) AS tilt, round(CAST(frame * 3 % 60 - 30 AS DOUBLE), 6) AS roll, round(cos(p) * cos(r) - sin(p) * cos(t) * sin(r), 6) AS r0, round(-cos(p) * sin(t), 6) AS r5 FROM (SELECT run_id, frame, radians(frame * 7 % 170 - 85) AS p, radians(frame % 80 + 40) AS t, radians(frame * 3 % 60 - 30) AS r FROM fs)"),
     "focal_lengths": (lambda t, k: _anchors(t).select("run_id", "frame", F.round(G.focal_of(F.col("hfov"), 1920.0), 6).alias("focal"), F.round(G.fov_of(G.focal_of(F.col("hfov"), 1920.0), 1920.0), 6).alias("hfov")), "SELECT run_id, frame, round(1920.0 / (2 * tan(radians(hfov) / 2)), 6) AS focal, round(hfov, 6) AS hfov FROM an"),
     "anchor_quality": (lambda t, k: _calibration(t).select("run_id", "frame", F.round(G.anchor_quality(F.col("inlier_ratio"), F.col("frame") % 15, F.when(F.col("calibrated"), F.col("error")), F.col("inlier_ratio"), F.col("frame") % 9), 6).alias("quality")), "SELECT run_id, frame, round(0.3::DOUBLE * inlier_ratio + 0.25::DOUBLE * least(1.0, (frame % 15) / 12.0::DOUBLE) + 0.2::DOUBLE * CASE WHEN calibrated THEN greatest(0.0, 1.0 - error / 20.0) ELSE 0 END + 0.15::DOUBLE * inlier_ratio + 0.1::DOUBLE * least(1.0, (frame % 9) / 6.0::DOUBLE), 6) AS quality FROM cal"),
     "detected_events": (lambda t, k: detect_events(t, names=("possession", "pass", "interception", "shot")).select("run_id", "type", "frame", "match_time", "player_id", "team", "outcome"), "SELECT * FROM ev"),
-    "consolidated_tracks": (lambda t, k: N.consolidated(t["players"].select("run_id", "frame", F.col("ord").alias("track_id"), "x"), t["players"].where("ord % 3 <> 1").select(F.col("ord").alias("track_id"), "player_id", F.lit("team_A").alias("team"), F.lit("player").alias("role")).distinct()), "SELECT run_id, frame, ord AS track_id, x, CASE WHEN ord % 3 <> 1 THEN player_id ELSE 'unmapped-' || ord END AS player_id, CASE WHEN ord % 3 <> 1 THEN 'team_A' ELSE 'unknown' END AS team, CASE WHEN ord % 3 <> 1 THEN 'player' ELSE 'other' END AS role FROM players"),
+    "consolidated_tracks": (lambda t, k: N.consolidated(t["players"].select("run_id", "frame", F.col("ord").alias("track_id"), "x"), t["players"].where("ord % 3 <> 1").select("run_id", F.col("ord").alias("track_id"), "player_id", F.lit("team_A").alias("team"), F.lit("player").alias("role")).distinct()), "SELECT run_id, frame, ord AS track_id, x, CASE WHEN ord % 3 <> 1 THEN player_id ELSE 'unmapped-' || ord END AS player_id, CASE WHEN ord % 3 <> 1 THEN 'team_A' ELSE 'unknown' END AS team, CASE WHEN ord % 3 <> 1 THEN 'player' ELSE 'other' END AS role FROM players"),
     "tracking_statistics": (lambda t, k: N.tracking_statistics(t["players"].where("frame % 7 <> 0"), _frames(t)), "SELECT f.run_id, count(DISTINCT p.player_id) AS unique_tracks, count(p.player_id) / CAST(count(DISTINCT f.frame) AS DOUBLE) AS avg_tracks_per_frame FROM fs f LEFT JOIN players p ON f.run_id = p.run_id AND f.frame = p.frame AND p.frame % 7 <> 0 GROUP BY f.run_id"),
     "exported_boxes": (lambda t, k: N.exported_boxes(_boxes(t).withColumnRenamed("ord", "track_id")), "SELECT run_id, frame + 1 AS frame_id, ord AS track_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, confidence FROM det"),
     "event_records": (lambda t, k: N.event_records(k._passes(t).select("run_id", "frame", (F.col("frame") / 7).alias("match_time"), F.array(F.col("x") + 0.0013, F.col("y") + 0.0013).alias("start_position"))).select("run_id", "frame", "match_time", F.col("start_position")[0].alias("x"), F.col("start_position")[1].alias("y")), "SELECT run_id, frame, round(frame / 7.0::DOUBLE, 3) AS match_time, round(x + 0.0013::DOUBLE, 2) AS x, round(y + 0.0013::DOUBLE, 2) AS y FROM ps"),
@@ -172,14 +177,14 @@ ENTRIES = {
 CTES = {
     "det": "(SELECT run_id, frame, ord, player_id, x, y, x*10+600 AS x1, y*10+400 AS y1, x*10+600 + 20 + ord%7*15 AS x2, y*10+400 + 30 + ord*22 AS y2, ((frame*7+ord*13)%100)/100.0::DOUBLE AS confidence, CASE WHEN ord%6=5 THEN 32 ELSE 0 END AS class FROM players)",
     "pc": """(SELECT t.run_id, t.frame, t.ord AS track_id, d.ord, t.frame % 3 AS tsu, sqrt((d.x - t.x)*(d.x - t.x) + (d.y - t.y)*(d.y - t.y)) AS d, greatest(0.0, least(t.x2 + 5, d.x2) - greatest(t.x1 + 5, d.x1)) * greatest(0.0, least(t.y2 + 3, d.y2) - greatest(t.y1 + 3, d.y1)) AS shared,
-      (t.x2 - t.x1) * (t.y2 - t.y1) AS a, (d.x2 - d.x1) * (d.y2 - d.y1) AS b FROM det t JOIN det d ON t.run_id = d.run_id AND t.frame = d.frame WHERE t.ord % 5 = 1)""",
+      (t.x2 - t.x1) * (t.y2 - t.y1) AS a, (d.x2 - d.x1) * (d.y2 - d.y1) AS b FROM det t JOIN det d ON t.run_id = d.run_id AND t.frame = d.frame)""",
     "fs": "(SELECT DISTINCT run_id, frame FROM players)",
     "an": "(SELECT run_id, frame, (frame * 13 % 360) / 10.0::DOUBLE AS pan, (frame * 7 % 90) / 10.0::DOUBLE AS tilt, 50.0::DOUBLE + frame % 11 AS hfov, 1.0::DOUBLE + frame % 4 AS weight FROM fs WHERE frame % 30 = 7)",
     "br": "(SELECT *, CASE WHEN bf > af THEN (frame - af) / CAST(bf - af AS DOUBLE) ELSE 0 END AS t FROM (SELECT f.run_id, f.frame, a.frame AS af, a.pan AS ap, a.tilt AS att, b.frame AS bf, b.pan AS bp, b.tilt AS bt FROM fs f ASOF LEFT JOIN an a ON f.run_id = a.run_id AND f.frame >= a.frame ASOF LEFT JOIN an b ON f.run_id = b.run_id AND f.frame <= b.frame))",
     "bg": "(SELECT *, CASE WHEN bf > af THEN (frame - af) / CAST(bf - af AS DOUBLE) ELSE 0 END AS t FROM (SELECT f.run_id, f.frame, a.frame AS af, a.pan AS ap, b.frame AS bf, b.pan AS bp FROM fs f ASOF LEFT JOIN (SELECT * FROM an WHERE frame % 90 <> 37) a ON f.run_id = a.run_id AND f.frame >= a.frame ASOF LEFT JOIN (SELECT * FROM an WHERE frame % 90 <> 37) b ON f.run_id = b.run_id AND f.frame <= b.frame))",
     "cal": "(SELECT run_id, frame, frame % 10 <> 4 AS calibrated, frame % 6 = 2 AS interpolated, (frame * 31 % 400) / 10.0::DOUBLE AS error, (frame * 17 % 100) / 100.0::DOUBLE AS inlier_ratio, 800.0::DOUBLE + frame * 29 % 3000 AS focal FROM fs WHERE frame % 2 = 0)",
     "cl": "(SELECT run_id, ord % 6 AS cluster, ord AS track_id, ord, CAST(ord * 7 % 5 + 1 AS INT) AS number, (ord * 3 % 10) / 10.0::DOUBLE AS score, (ord * 11 % 10) / 10.0::DOUBLE AS track_confidence, CASE WHEN ord % 4 = 0 THEN 'unknown' WHEN ord < 13 THEN 'team_A' ELSE 'team_B' END AS team, CASE WHEN ord = 9 THEN 'goalkeeper' WHEN ord % 2 = 0 THEN 'player' ELSE 'other' END AS role, count(*) AS frames FROM players GROUP BY ALL)",
-    "li": "(SELECT run_id, frame, ord, x, y, x + ord * 3 - 7 AS x2, y + frame % 13 - 6 AS y2 FROM players WHERE ord < 6 AND frame % 10 = 0)",
+    "li": "(SELECT run_id, frame, ord, x, y, x + ord * 3 - 7 AS x2, y + frame % 13 - 6 AS y2 FROM players)",
 }
 
 
@@ -222,3 +227,9 @@ def own_tables() -> tuple[dict, dict]:
         "json_readings": """SELECT event_id, CASE WHEN n BETWEEN 1 AND 99 THEN n END AS reading, CASE WHEN NOT n BETWEEN 1 AND 99 THEN 0.0::DOUBLE WHEN event_id % 4 = 0 THEN 0.5 ELSE least(1.0, (event_id % 13) / 10.0::DOUBLE) END AS confidence, CASE WHEN event_id % 4 = 0 THEN 'it is number ' || n ELSE 'd' || event_type END AS visible, regexp_matches(CAST(value AS VARCHAR), '^[0-9]') AS back FROM (SELECT *, event_id % 120 AS n FROM events)""",
     }
     return {"gallery_matches": gallery, "best_readings": readings, "json_readings": answers, "runs_by_video": listed_runs, "presence_sessions": sessions}, sql
+
+ENTRIES["reanchor_frames"] = (
+    ENTRIES["reanchor_frames"][0],
+    f"""SELECT d.run_id, d.frame FROM ({ENTRIES["drift"][1]}) d JOIN (SELECT run_id, frame, avg(inlier_ratio) OVER w AS m, count(*) OVER w AS n FROM cal WINDOW w AS (PARTITION BY run_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) c ON c.run_id = d.run_id AND c.frame = d.frame
+      WHERE d.cumulative > 50 OR d.confidence < 0.3 OR (n >= 3 AND m < 0.4)""",
+)

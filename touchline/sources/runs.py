@@ -114,9 +114,9 @@ def write_events(events: DataFrame, run_dir: str) -> None:
 
 
 def consolidated(tracks: DataFrame, mapping: DataFrame) -> DataFrame:
-    """tracks(track_id, ...) with player_id, team and role of mapping(track_id, player_id, team, role); others are 'unmapped-' and their id, of role other and team unknown."""
+    """tracks(run_id, track_id, ...) with player_id, team and role of mapping(run_id, track_id, player_id, team, role); others are 'unmapped-' and their id, of role other and team unknown."""
     own = tracks.drop("player_id", "team", "role")
-    joined = own.join(mapping, "track_id", "left")
+    joined = own.join(mapping, ["run_id", "track_id"], "left")
     return joined.select(*own.columns, F.coalesce("player_id", F.concat(F.lit("unmapped-"), F.col("track_id").cast("string"))).alias("player_id"), F.coalesce("team", F.lit("unknown")).alias("team"), F.coalesce("role", F.lit("other")).alias("role"))
 
 
