@@ -19,8 +19,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_PATHS: dict = {}
+#: How often stored tables have been removed: what is remembered from before may be gone.
+removed = 0
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df, computed once: plans that use it several times read it instead, and lost executors recompute nothing."""
     path = f"{shared_folder(df.sparkSession)}/touchline-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes what this application has stored, and tells how many tables: for when no plan that reads them is left."""
+    global removed
+    removed += 1
+    paths = _PATHS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

@@ -31,8 +31,25 @@ def _spans(t):
     return E.possession_spans(_near(t))
 
 
+def _parts(t):
+    """Ball states and spans, each computed once, and the passes between them."""
+    states = stored(E.ball_states(t["ball"]), "states")
+    spans = stored(E.possession_spans(E.nearest_player(states, t["players"], t["teams"])), "spans")
+    return states, spans, E.bridge_passes(spans, states)
+
+
 def _passes(t):
-    return E.bridge_passes(_spans(t), E.ball_states(t["ball"]))
+    return _parts(t)[2]
+
+
+def _tackles(t):
+    states, spans, passes = _parts(t)
+    return D.tackles(spans, stored(passes, "passes"), states, t["players"], t["teams"], **LOOSE)
+
+
+def _deflections(t):
+    states, spans, _ = _parts(t)
+    return D.deflections(spans.select("run_id", F.col("end_frame").alias("frame")), states).withColumn("angle", F.round("angle", 3))
 
 
 def _events(t):
@@ -58,9 +75,8 @@ def _shots(t):
 
 def _team_rows(t):
     """Events with the end frames of spans, and tackles; states, spans and passes are computed once."""
-    states = stored(E.ball_states(t["ball"]), "states")
-    spans = stored(E.possession_spans(E.nearest_player(states, t["players"], t["teams"])), "spans")
-    passes = stored(E.bridge_passes(spans, states), "passes")
+    states, spans, passes = _parts(t)
+    passes = stored(passes, "passes")
     shots = stored(O.detected_shots(states, t["ball"], t["players"], t["teams"]), "shots")
     none = F.lit(None).cast("string")
     row = lambda df, kind, outcome=none, end=F.lit(None).cast("long"): df.select("run_id", "frame", F.lit(kind).alias("type"), end.alias("end_frame"), "team", outcome.alias("outcome"))
@@ -118,8 +134,8 @@ def _boxes(t):
 _PLANS |= {
     "attack_directions": lambda t: D.attack_directions(t["players"], t["teams"]),
     "carries": lambda t: D.carries(_spans(t), t["players"], t["teams"]),
-    "deflections": lambda t: D.deflections(_spans(t).select("run_id", F.col("end_frame").alias("frame")), E.ball_states(t["ball"])).withColumn("angle", F.round("angle", 3)),
-    "tackles": lambda t: D.tackles(_spans(t), _passes(t), E.ball_states(t["ball"]), t["players"], t["teams"], **LOOSE),
+    "deflections": _deflections,
+    "tackles": _tackles,
     "possession_at_frames": lambda t: D.possession_at_frames(E.ball_states(t["ball"]), _spans(t)),
     "nearest_opponents": lambda t: D.nearest_opponents(_near(t), t["players"], t["teams"]),
     "buildup_starts": lambda t: D.buildup_starts(_crossings(t), E.ball_states(t["ball"])),

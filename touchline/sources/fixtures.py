@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans import staging
 from ..plans.staging import stored
 
 #: Frames a run holds; every windowed operator works within a run.
@@ -47,7 +48,7 @@ def match_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     Derived once per session and folder, and stored: queries read them as they would a real match's tables.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, staging.removed)
     if key not in _STORED:
         views = VIEWS.replace("{D}", "D").replace("{R}", str(RUN_FRAMES)).replace("FROM orders", "FROM {orders}").replace("FROM nation", "FROM {nation}")
         tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "nation")}
