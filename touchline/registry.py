@@ -7,6 +7,7 @@ import sys
 from pyspark.sql import functions as F
 
 from . import registry_chains as Z
+from . import registry_live as U
 from . import registry_passes as Y
 from . import registry_shots as N
 from . import registry_tables as R
@@ -362,6 +363,9 @@ for _name, (_plan, _select) in Y.ENTRIES.items():
 for _name, (_plan, _select) in Z.ENTRIES.items():
     QUERIES[_name] = _query(_plan)
     ORACLE_SQL[_name] = "WITH " + duckdb_views() + ",\n" + ",\n".join(f"{k} AS {v}" for k, v in Z.CTES.items()) + "\n" + _select
+for _name, (_plan, _select) in U.ENTRIES.items():
+    QUERIES[_name] = _query(_plan)
+    ORACLE_SQL[_name] = "WITH " + duckdb_views() + "\n" + _select
 _own, _own_sql = R.own_tables()
 QUERIES |= _own
 ORACLE_SQL |= _own_sql
