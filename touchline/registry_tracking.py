@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .operators import assignment as A
 from .operators import consolidation as C
 from .operators import detections as B
+from .operators import teams as W
 from .operators import tracker as K
 from .sources.fixtures import duckdb_views, match_tables
 
@@ -95,7 +96,19 @@ def _goalkeepers(spark, sf_dir):
     return C.goalkeepers(own, rows.select("run_id", "cluster", "x", "y"))
 
 
+def _team_clusters(spark, sf_dir):
+    """Teams of the pieces: a look is its team's kit, the greater part, and its player's own; referees' pieces are dull."""
+    players = match_tables(spark, sf_dir)["players"]
+    t = pieces(players).groupBy("run_id", "track_id", "ord").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("frames"))
+    kit = F.when(F.col("ord") < 11, 40).when(F.col("ord") < 22, 41).otherwise(42)
+    looks = _looks(spark, sf_dir)
+    rows = t.withColumn("kit", kit).join(looks.select(F.col("vec_id").alias("kit"), F.col("look").alias("cloth")), "kit").join(looks.withColumnRenamed("vec_id", "ord"), "ord")
+    rows = rows.select("run_id", "track_id", F.zip_with("cloth", "look", lambda a, b: a + 0.3 * b).alias("feature"), "x", "y", (F.lit(40.0) + F.col("ord")).alias("height"), "frames", F.when(F.col("ord") == 22, 20.0 + F.col("track_id") % 100).otherwise(80.0 + F.col("ord")).alias("saturation"))
+    return W.team_clusters(rows)
+
+
 QUERIES = {
+    "team_clusters": _team_clusters,
     "tracked": _tracked,
     "track_features": _track_features,
     "assigned_pairs": lambda spark, sf_dir: A.assignments(_candidate_pairs(spark, sf_dir), "iou_cost", 0.7),
