@@ -28,18 +28,35 @@ UNIT = "(" + MARK + "num" + VALUE + r"[0-9.,]+) ?(" + "|".join(sorted(UNITS, key
 OTHER = r"[^\p{L}\p{N}\x01\x02\x20\x09-\x0D]+"
 
 
-def template_tokens(text: Column) -> Column:
-    """Lower-case words without punctuation; a slot is MARK, its type, VALUE and its value."""
-    # A name is a capitalised word inside a sentence. Neighbouring names need a second pass, as a match uses up the letter before it.
+def _named(text: Column) -> Column:
+    """text with a mark before each name, a capitalised word inside a sentence."""
+    # Neighbouring names need a second pass, as a match uses up the letter before it.
     once = F.regexp_replace(text, NAME, f"$1{MARK}name{VALUE}$2")
-    named = F.when(text.rlike(NAME), F.regexp_replace(once, NAME, f"$1{MARK}name{VALUE}$2")).otherwise(text)
-    slotted = F.when(named.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, NUMBER, f"{MARK}num{VALUE}$1"), "(?i)" + UNIT, f"$1 {MARK}unit{VALUE}$2")).otherwise(named)
+    return F.when(text.rlike(NAME), F.regexp_replace(once, NAME, f"$1{MARK}name{VALUE}$2")).otherwise(text)
+
+
+def _slotted(named: Column) -> Column:
+    """named with a mark before each number and unit too."""
+    return F.when(named.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, NUMBER, f"{MARK}num{VALUE}$1"), "(?i)" + UNIT, f"$1 {MARK}unit{VALUE}$2")).otherwise(named)
+
+
+def _split(slotted: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(slotted), OTHER, ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def template_tokens(text: Column) -> Column:
+    """Lower-case words without punctuation; a slot is MARK, its type, VALUE and its value."""
+    return _split(_slotted(_named(text)))
+
+
 def template_windows(rows: DataFrame, size: int, keys: list) -> DataFrame:
-    """(*keys, n, pos, h, slots): a row per window of size tokens; slots is null where a window has none."""
-    tokens = rows.select(*keys, template_tokens(F.coalesce("text", F.lit(""))).alias("_t")).where(F.size("_t") >= size)
+    """(*keys, n, pos, h, slots): a row per window of size tokens; slots is null where a window has none.
+
+    Each step is a column of its own, and short texts go by an empty list, not by a filter: a filter
+    would be moved below the steps and take them all once more.
+    """
+    named = rows.select(*keys, _named(F.coalesce("text", F.lit(""))).alias("_named"))
+    tokens = named.select(*keys, _slotted(F.col("_named")).alias("_slotted")).select(*keys, _split(F.col("_slotted")).alias("_t"))
     slotted = F.exists("_t", lambda w: w.startswith(MARK))
     shape = F.transform("_t", lambda w: F.when(w.startswith(MARK), F.substring_index(w, VALUE, 1)).otherwise(w))
     split = tokens.select(*keys, "_t", slotted.alias("_any"))
@@ -50,7 +67,7 @@ def template_windows(rows: DataFrame, size: int, keys: list) -> DataFrame:
         values = F.filter(F.slice("_t", i + 1, size), lambda w: w.startswith(MARK))
         return F.struct(i.alias("pos"), F.xxhash64(*parts).alias("h"), F.when(F.col("_any"), F.when(F.size(values) > 0, values)).alias("slots"))
 
-    starts = F.sequence(F.lit(0), F.size("_c") - size)
+    starts = F.when(F.size("_c") >= size, F.sequence(F.lit(0), F.size("_c") - size))
     return split.select(*keys, (F.size("_c") - size + 1).alias("n"), F.explode(F.transform(starts, window)).alias("w")).select(*keys, "n", "w.*")
 
 
