@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from touchline.registry import QUERIES
 
-HEADLINE = ("ball_states", "possession_spans", "bridge_passes", "match_events", "player_kinematics", "team_stats", "heatmap", "presence_runs", "pass_network")
+HEADLINE = ("ball_states", "possession_spans", "bridge_passes", "match_events", "player_kinematics", "team_stats", "heatmap", "presence_runs", "pass_network", "player_stats", "tackles")
 
 
 def main() -> None:
