@@ -33,7 +33,7 @@ def test_simhash(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for t in ("conversations", "documents", "benchmark"):
+    for t in ("conversations", "documents", "benchmark", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
