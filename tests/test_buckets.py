@@ -6,8 +6,11 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.operators import assignment as A
+from touchline.operators import tracker as K
 from touchline.plans import staging
 from touchline.registry import QUERIES
+from touchline.registry_tracking import detections
 from touchline.sources.fixtures import match_tables
 
 DATA = "/root/testdata/sf0.001"
@@ -32,6 +35,16 @@ def test_nothing_is_shuffled(spark, name, monkeypatch):
     assert joined == []
 
 
+def test_embeddings_stay_where_they_are(spark, monkeypatch):
+    """The tracker's boxes and embeddings, and the pairs that an assignment would never choose, are not shuffled."""
+    monkeypatch.setattr("touchline.sources.fixtures._STORED", {})
+    boxes, frames = detections(spark, DATA), match_tables(spark, DATA)["ball"].select("run_id", "frame")
+    assert not [e for e in exchanges(K.tracked(boxes)) if "run_id" in e]
+    assert "RepartitionByExpression" not in K.tracked(boxes, frames)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = spark.createDataFrame([(1, 1, 1, 1, 0.2, True), (1, 1, 2, 1, 0.9, True)], "run_id long, frame long, track_id long, ord long, iou_cost double, allowed boolean")
+    assert "(iou_cost#" in (plan := A.assignments(pairs, "iou_cost", 0.7)._jdf.queryExecution().optimizedPlan().toString()) and "< 0.7)" in plan
+
+
 def test_a_run_lies_in_one_file(spark):
     players = match_tables(spark, "/root/testdata/sf0.01")["players"]
     files = players.select("run_id", F.input_file_name().alias("file")).distinct().groupBy("run_id").count()
