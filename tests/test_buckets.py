@@ -62,3 +62,8 @@ def test_release_drops_the_tables(spark, tmp_path):
         assert staging.release(spark) == 1 and not spark.catalog.tableExists(stored)
     finally:
         staging._PATHS.update(before[0]), staging._TABLES.update(before[1])
+
+
+def test_spans_of_carries_are_computed_once(spark):
+    plan = QUERIES["carries"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "confidence" not in plan  # of the ball, from which spans are told
