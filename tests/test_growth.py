@@ -22,3 +22,10 @@ def test_frames_are_divided_as_whole_numbers(spark):
         df = spark.sql(f"WITH {X.spark_views()} SELECT * FROM {name}", orders=orders, nation=nation)
         assert "decimal" not in plan(df).lower()
         assert all(r["run_id"] == r["frame"] // 1_500 for r in df.collect()) and df.count()
+
+
+def test_calm_states_are_found_in_one_pass(spark):
+    states = spark.createDataFrame([(1, i, float(i), 0.0, v) for i, v in enumerate([1.0, 12.0, 12.0, 5.0, 1.0, 12.0] + [12.0] * 120 + [2.0])], "run_id long, frame long, x double, y double, speed double")
+    df = M.speed_envelopes(states)
+    assert "currentrow$(), 1, unboundedfollowing" not in plan(df) and ", 1, unboundedfollowing$()" not in plan(df)
+    assert [tuple(r) for r in df.collect()] == [(1, 0, 0.0, 0.0, 3, 3.0, 0.0)]
