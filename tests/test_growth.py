@@ -47,3 +47,13 @@ def test_calm_states_are_found_in_one_pass(spark):
     df = M.speed_envelopes(states)
     assert "currentrow$(), 1, unboundedfollowing" not in plan(df) and ", 1, unboundedfollowing$()" not in plan(df)
     assert [tuple(r) for r in df.collect()] == [(1, 0, 0.0, 0.0, 3, 3.0, 0.0)]
+
+
+def test_bodies_of_all_frames_are_not_sorted_for_shots(spark):
+    states = spark.createDataFrame([(1, f, f / 2.0, 0.0, 9.0) for f in range(100)], "run_id long, frame long, x double, y double, speed double")
+    players = spark.createDataFrame([(1, f, 0, "P0", f / 2.0, 0.5) for f in range(100)], "run_id long, frame long, ord long, player_id string, x double, y double")
+    moments = spark.createDataFrame([(1, 60, "right")], "run_id long, frame long, goal_side string")
+    teams = spark.createDataFrame([("P0", "team_A")], "player_id string, team string")
+    df = O.shooters(moments, states, players, teams)
+    assert [tuple(r) for r in df.collect()] == [(1, 60, "right", "P0", "team_A", 60)]
+    assert "ord" not in plan(df)  # bodies are met once, for the votes and for the last one near
