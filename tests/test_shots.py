@@ -109,3 +109,13 @@ def test_near_shots_are_one(spark):
     got = shots.detected_shots(states, b, p, t).where("type = 'shot'").collect()
     assert len(got) == 1 and got[0].frame > 100 and got[0].confidence > 0.6
     assert shots.detected_shots(states.where("false"), b.where("false"), p, t).collect() == []
+
+
+def test_a_crossing_has_the_confidence_of_its_own_step(spark):
+    """In a flight of equal steps too: the SQL takes the step after it for another crossing, of greater confidence."""
+    ball = [(f, 45.25 + f * 0.5, 0, 0.25 + f / 64, 0.0) for f in range(20)]  # over the line from 14, 52.25 m, to 15
+    ball = [(f + 1, *rest) for f, *rest in ball]  # half a frame after 15 counts as 16, at which the next step starts
+    states, b, p, t = match(spark, ball, [(f, 0, "striker", 45, 0.2) for f in range(20)], TEAMS)
+    assert states.where("frame IN (16, 17)").select("speed").distinct().count() == 1
+    got = shots.detected_shots(states, b, p, t).collect()
+    assert [(r.type, r.frame, r.confidence) for r in sorted(got, key=lambda r: r.type)] == [(k, 16, 0.25 + 14.5 / 64) for k in ("goal", "shot")]
