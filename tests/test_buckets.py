@@ -12,6 +12,7 @@ from touchline.plans import staging
 from touchline.registry import QUERIES
 from touchline.registry_tracking import detections
 from touchline.sources.fixtures import match_tables
+from touchline.streaming import live
 
 DATA = "/root/testdata/sf0.001"
 
@@ -67,3 +68,18 @@ def test_release_drops_the_tables(spark, tmp_path):
 def test_spans_of_carries_are_computed_once(spark):
     plan = QUERIES["carries"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "confidence" not in plan  # of the ball, from which spans are told
+
+
+def test_states_are_carried_where_the_runs_lie(spark, monkeypatch):
+    """Neither bodies nor frames are shuffled for running speeds and carriers; teams are asked only about bodies near the ball."""
+    monkeypatch.setattr("touchline.sources.fixtures._STORED", {})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = match_tables(spark, DATA)
+        near = lambda teams: live.nearest_carriers(t["players"].select("run_id", "frame"), t["ball"], t["players"], teams)
+        assert exchanges(QUERIES["running_speeds"](spark, DATA)) == []
+        assert exchanges(live.carriers(near(F.broadcast(t["teams"])))) == []
+        joins = [line for line in near(t["teams"])._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+        assert len(joins) == 2 and "<= 2.0" in joins[1]  # the distance is asked below the team
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

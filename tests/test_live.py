@@ -53,3 +53,12 @@ def test_nearest_carriers(spark):
     players = spark.createDataFrame([(1, 0, 2, "b", 1.0, 0.0), (1, 0, 1, "a", -1.0, 0.0), (1, 0, 0, "keeper", 0.1, 0.0), (1, 1, 3, "ref", 0.0, 0.0), (1, 2, 1, "a", 2.1, 0.0), (1, 3, 1, "a", 0.0, 0.0)], "run_id long, frame long, ord long, player_id string, x double, y double")
     teams = spark.createDataFrame([("a", "team_A", None), ("b", "team_B", "player"), ("keeper", "team_A", "goalkeeper"), ("ref", "referee", None)], "player_id string, team string, role string")
     assert {r.frame: r.player_id for r in live.nearest_carriers(frames, ball, players, teams).collect()} == {0: "a", 1: None, 2: None, 3: None}
+
+
+def test_keys_start_anew_in_any_deal(spark):
+    """A null run is a key too, rows come from several parts, and no state is left over from one key to the next."""
+    rows = [(run, f, "a") for run in (None, 1, 2, 3) for f in range(7)]
+    near = spark.createDataFrame(rows, "run_id long, frame long, player_id string")
+    for dealt in (near.repartition(5), near.coalesce(1), near.repartition(2, "run_id")):
+        got = {(r.run_id, r.frame): r.carrier for r in live.carriers(dealt).collect()}
+        assert got == {(run, f): None if f < 4 else "a" for run, f, _ in rows}
