@@ -199,3 +199,72 @@ def test_lifecycle():
         ages.append(int(live.rows["age"][0]))
         step(0)
     assert ages == [2, 3, 4, 5] and step(1)[0][0] == 3
+
+
+def test_runs_step_side_by_side(spark):
+    """Runs that begin, pause and end at different frames, with crowds whose best ones clash: each is tracked as it is alone."""
+    p = TrackerPreset(max_age=4)
+    scenes = {run: [(frame, dets) for frame, dets in scene(seed, frames, bodies) if frame % 11 != run] for run, (seed, frames, bodies) in enumerate(((5, 40, 6), (6, 25, 3), (7, 55, 9)))}
+    look = np.random.default_rng(3).normal(size=6)
+    for at, (frame, dets) in enumerate(scenes[2]):  # a crowd of one look, near one another
+        for k, d in enumerate(dets):
+            left = 900 + 9 * k + at % 3
+            d.update(box=[left, 500, left + 22, 560], at=(float(k) * 0.8, 0.0), e=look + 0.01 * k)
+    arrays = lambda dets: (
+        np.array([d["box"] for d in dets], float).reshape(-1, 4), np.array([d["at"] or (np.nan, np.nan) for d in dets], float).reshape(-1, 2),
+        np.array([np.full(6, np.nan) if d["e"] is None else d["e"] for d in dets], float).reshape(-1, 6), np.zeros(len(dets), int),
+    )
+    alone = {}
+    for run, own in scenes.items():
+        live = tracker.LiveTracks(p, 6, 4)
+        alone[run] = [[v.tolist() for v in live.step(*arrays(dets))] for _, dets in own], {f[1]: f[2].tolist() for f in live.means(last=True)}
+    live, got, means = tracker.LiveTracks(p, 6, 4), {run: [] for run in scenes}, {run: {} for run in scenes}
+    left = {run: list(own) for run, own in scenes.items()}
+    for tick in range(200):
+        here = [run for run in left if left[run] and (tick + run) % 4]
+        dets = {run: left[run].pop(0)[1] for run in here}
+        n = [len(dets[run]) for run in here]
+        out = live.step(*arrays([d for run in here for d in dets[run]]), np.repeat(np.array(here, int), n), np.array(here, int))
+        for run, a, b in zip(here, np.cumsum(n) - n, np.cumsum(n)):
+            got[run].append([v[a:b].tolist() for v in out])
+        for run, track, mean in live.means(last=tick == 199):
+            means[run][track] = mean.tolist()
+    for run in scenes:
+        assert got[run] == alone[run][0] and means[run] == alone[run][1] and means[run]
+
+
+def test_features_of_the_trackers_own_pass(spark):
+    """The mean of the last embeddings, as rows and detections tell it, in one pass and without moving detections."""
+    rows = [(run, frame, d["ord"], *map(float, d["box"]), 0, *(d["at"] or (None, None)), None if d["e"] is None else d["e"].tolist()) for run in range(4) for frame, dets in scene(20 + run, 50) for d in dets]
+    df = spark.createDataFrame(rows, "run_id long, frame long, ord long, x1 double, y1 double, x2 double, y2 double, class int, x double, y double, embedding array<double>").repartition(3)
+    for kept in (3, 100):
+        p = TrackerPreset(max_age=5, kept_features=kept)
+        want = {(r.run_id, r.track_id): r.feature for r in tracker.track_features(tracker.tracked(df, None, p), df, kept).collect()}
+        got = {(r.run_id, r.track_id): r.feature for r in tracker.tracked_features(df, None, p).collect()}
+        assert got.keys() == want.keys() and len(got) > 8
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert tracker.tracked_features(df.where("false")).collect() == []
+
+
+def test_detections_that_lie_by_run_are_not_moved(spark):
+    """However many shuffle partitions there are: with more than buckets, all detections were shuffled to meet the frames' numbers."""
+    from pyspark.sql import functions as F
+
+    from touchline.plans.staging import stored_by_run
+
+    rows = spark.range(3_000).select((F.col("id") % 6).alias("run_id"), F.floor(F.col("id") / 30).alias("frame"), F.floor(F.col("id") / 6 % 5).alias("ord"))
+    corner = F.col("ord") * 40.0
+    rows = rows.select("*", corner.alias("x1"), corner.alias("y1"), (corner + 20).alias("x2"), (corner + 50).alias("y2"), F.lit(0).alias("class"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.array(F.lit(1.0)).alias("embedding"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("17", "-1")):
+            spark.conf.set(k, v)
+        table = stored_by_run(rows.repartition(3, "run_id"), "test_boxes", 3)
+        frames = stored_by_run(rows.select("run_id", "frame").distinct().repartition(3, "run_id"), "test_frames", 3)
+        for found in (tracker.tracked(table, frames), tracker.tracked_features(table)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "MapInArrow" in plan
+        assert tracker.tracked(table, frames).groupBy("run_id").agg(F.max("track_id"), F.max("hits"), F.count("*")).where("`max(track_id)` = 5 AND `max(hits)` = 100 AND `count(1)` = 500").count() == 6
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
