@@ -61,3 +61,29 @@ def test_too_few_tracks(spark):
     assert T.team_clusters(spark.createDataFrame(rows, SCHEMA)).collect() == []
     same = spark.createDataFrame([(1, i, [1.0, 0.0], None, None, None, None, None) for i in range(12)], SCHEMA)
     assert {r.team for r in T.team_clusters(same).collect()} == {"team_A"}
+
+
+def test_rounds_store_and_move_nothing(spark):
+    """Each round stored all looks of all starts; now a run's go through its rounds where they lie."""
+    import os
+
+    from touchline.plans.staging import shared_folder, stored_by_run
+
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([row for r in range(6) for row in planted(r, rng)[0]], SCHEMA)
+    table = stored_by_run(df.repartition(2, "run_id"), "kits", 2)
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = T.team_clusters(table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 6 * 24 and set(os.listdir(folder)) == before
+    below = plan[plan.index("FlatMapGroupsInArrow") :]  # of the looks nothing is shuffled; what is told of them may be
+    assert "Exchange" not in below and "FileScan" in below
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in T.team_clusters(df.repartition(5)).collect()}
+
+
+def test_other_columns_stay_beside_the_clusters(spark):
+    rows = [(1, i, [float(i % 2), 1.0], f"t{i}") for i in range(10)] + [(1, 99, None, "no look")]
+    got = T.two_means(spark.createDataFrame(rows, "run_id long, track_id long, v array<double>, name string")).collect()
+    assert {r.name for r in got} == {f"t{i}" for i in range(10)} and {r.distance for r in got} == {0.0}
+    assert len({(r.track_id % 2, r.label) for r in got}) == 2
