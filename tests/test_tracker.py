@@ -268,3 +268,25 @@ def test_detections_that_lie_by_run_are_not_moved(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_empty_frames_of_runs_side_by_side(spark):
+    """Processed frames without detections age the tracks of their own run only, wherever its neighbours are; as the plain tracker does it."""
+    p, rows, frames, want = TrackerPreset(max_age=5), [], [], set()
+    for run in range(4):
+        plain = Plain(p)
+        for k, (frame, dets) in enumerate(scene(40 + run, 50)):
+            if k < 3 * run or (k + 5 * run) % 23 < 2 * run:  # late to begin, and pauses of up to six frames
+                dets = []
+            if run < 3 or dets:  # one run's frames are those of its detections
+                frames.append((run, 10_000 * run + frame))
+                want |= {(run, 10_000 * run + frame, *r) for r in plain.step(dets)}
+            rows += [(run, 10_000 * run + frame, d["ord"], *map(float, d["box"]), 0, *(d["at"] or (None, None)), None if d["e"] is None else d["e"].tolist()) for d in dets]
+    df = spark.createDataFrame(rows, "run_id long, frame long, ord long, x1 double, y1 double, x2 double, y2 double, class int, x double, y double, embedding array<double>").repartition(3)
+    at = spark.createDataFrame(frames + frames[::7], "run_id long, frame long")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", old):  # all runs in one task, and dealt to some
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        for named in (at, at.where("run_id < 3")):  # a run that isn't named has the frames of its detections
+            got = {(r.run_id, r.frame, r.ord, r.track_id, r.confirmed, r.hits, r.age) for r in tracker.tracked(df, named, p).collect()}
+            assert got == want
